@@ -9,11 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# From this length on terms are matched by segments: 5 segments x 5 shifts x 5 partner
-# lengths are fewer keys than all ways to drop two letters.
-LONG_TERM = 16
-SEGMENTS = 5
-
 
 def allowed_edits(term: Column) -> Column:
     """0 edits for up to two letters, 1 for three to five, 2 beyond."""
@@ -21,6 +16,46 @@ def allowed_edits(term: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
+def plain_distance(a: Column, b: Column) -> Column:
+    """Distance without swaps, -1 beyond 4: two edits are at most four when a swap is two."""
+    return F.levenshtein(a, b, 4)
+
+
+def edit_count(a: Column, b: Column, plain: Column) -> Column:
+    """0, 1 or 2 edits, null beyond; ``plain`` is ``plain_distance(a, b)``.
+
+    A swap counts two in the plain distance, so only pairs above it by the right amount
+    are tried with swaps. A swap keeps the length and the letters.
+    """
+    apart = F.abs(F.length(a) - F.length(b))
+    one_swap = (apart == 0) & F.exists(_swaps(a), lambda s: s == b)
+    swap_and_edit = (apart <= 1) & (
+        F.exists(_swaps(a), lambda s: _near(s, b)) | F.exists(_swaps(b), lambda s: _near(a, s))
+    )
+    two_swaps = (apart == 0) & F.exists(_swaps(a), lambda s: F.exists(_swaps(s), lambda t: t == b))
+    return (
+        F.when(plain == 0, 0)
+        .when(plain == 1, 1)
+        .when(plain == 2, F.when(one_swap, 1).otherwise(2))
+        .when((plain > 2) & _same_letters(a, b) & (swap_and_edit | two_swaps), 2)
+    )
+
+
+def drop_letters(term: Column, i: Column, j: Column) -> Column:
+    """``term`` without letters ``i`` and ``j`` (one if equal, none if ``i`` is 0)."""
+    n = F.length(term)
+    head, tail = F.substring(term, F.lit(1), i - 1), F.substring(term, j + 1, n)
+    between = F.substring(term, i + 1, j - i - 1)
+    return F.when(i == 0, term).when(i == j, F.concat(head, tail)).otherwise(F.concat(head, between, tail))
+
+
+def segment(length: Column, s: Column, parts: int) -> tuple[Column, Column]:
+    """(start, size) of segment ``s`` when ``length`` letters are cut into ``parts``."""
+    start = F.floor(length * s / parts).cast("int")
+    end = F.floor(length * (s + 1) / parts).cast("int")
+    return start + 1, end - start
+
+
 def _swap_at(term: Column, i: Column) -> Column:
     return F.concat(
         F.substring(term, F.lit(1), i - 1),
@@ -38,120 +73,14 @@ def _swaps(term: Column) -> Column:
     )
 
 
-def _near(a: Column, b: Column, k: int) -> Column:
-    # With a threshold, levenshtein answers -1 beyond it.
-    return F.levenshtein(a, b, k) >= 0
-
-
-def within_edits(a: Column, b: Column, k: int) -> Column:
-    """True where ``a`` becomes ``b`` with at most ``k`` (0, 1 or 2) edits."""
-    if k == 0:
-        return a == b
-    if k == 1:
-        return _near(a, b, 1) | F.exists(_swaps(a), lambda s: s == b)
-    return (
-        _near(a, b, 2)
-        | F.exists(_swaps(a), lambda s: _near(s, b, 1))
-        | F.exists(_swaps(b), lambda s: _near(a, s, 1))
-        | F.exists(_swaps(a), lambda s: F.exists(_swaps(s), lambda t: t == b))
-    )
-
-
-def edit_count(a: Column, b: Column) -> Column:
-    """0, 1 or 2, null beyond two edits."""
-    return (
-        F.when(a == b, 0)
-        .when(within_edits(a, b, 1), 1)
-        .when(within_edits(a, b, 2), 2)
-    )
-
-
-def _drop_one(term: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(term)),
-        lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.length(term))),
-    )
-
-
-def _drop_two(term: Column) -> Column:
-    n = F.length(term)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.transform(
-            F.sequence(i + 1, n),
-            lambda j: F.concat(
-                F.substring(term, F.lit(1), i - 1),
-                F.substring(term, i + 1, j - i - 1),
-                F.substring(term, j + 1, n),
-            ),
-        ),
-    ))
-
-
-def _tagged(tag: str, keys: Column) -> Column:
-    return F.transform(F.array_distinct(keys), lambda k: F.concat(F.lit(tag), k))
-
+def _same_letters(a: Column, b: Column) -> Column:
+    """Whether the letters in sorted order differ by at most one letter exchanged for another."""
+    def letters(term: Column) -> Column:
+        return F.array_join(F.sort_array(F.split(term, "")), "")
 
-def _segment_start(n: Column, i: int) -> Column:
-    return F.floor(n * i / SEGMENTS).cast("int") + 1
+    return F.levenshtein(letters(a), letters(b), 2) >= 0
 
 
-def _segment_key(n: Column, i: int, text: Column) -> Column:
-    return F.concat_ws(":", F.lit("s"), n, F.lit(i), text)
-
-
-def _query_segments(term: Column) -> Column:
-    n = F.length(term)
-    cuts = [(_segment_start(n, i), _segment_start(n, i + 1)) for i in range(SEGMENTS)]
-    return F.array(*[
-        _segment_key(n, i, F.substring(term, start, end - start)) for i, (start, end) in enumerate(cuts)
-    ])
-
-
-def _term_segments(term: Column) -> Column:
-    """Pieces of ``term`` where a segment of a partner (up to two letters longer or shorter) may lie."""
-    def pieces(partner: Column) -> Column:
-        keys = []
-        for i in range(SEGMENTS):
-            start, end = _segment_start(partner, i), _segment_start(partner, i + 1)
-            for shift in range(-2, 3):
-                at = start + shift
-                keys.append(F.when(
-                    (at >= 1) & (end + shift <= F.length(term) + 1),
-                    _segment_key(partner, i, F.substring(term, at, end - start)),
-                ))
-        return F.array(*keys)
-
-    lengths = F.sequence(F.length(term) - 2, F.length(term) + 2)
-    long_enough = F.filter(lengths, lambda n: n >= LONG_TERM)
-    return F.array_compact(F.array_distinct(F.flatten(F.transform(long_enough, pieces))))
-
-
-def query_keys(term: Column) -> Column:
-    """Keys of a searched term; it shares one with every term within its allowed edits.
-
-    Up to five letters: the term with at most one letter dropped. Up to fifteen: at
-    most two dropped. Beyond: its five segments, of which two edits (a swap touches at
-    most two) leave one whole.
-    """
-    n = F.length(term)
-    return (
-        F.when(n <= 2, F.array(F.concat(F.lit("e"), term)))
-        .when(n <= 5, _tagged("a", F.concat(F.array(term), _drop_one(term))))
-        .when(n < LONG_TERM, _tagged("b", F.flatten(F.array(F.array(term), _drop_one(term), _drop_two(term)))))
-        .otherwise(_query_segments(term))
-    )
-
-
-def term_keys(term: Column) -> Column:
-    """Keys of a catalogue term, matching ``query_keys`` of every term that may reach it."""
-    n = F.length(term)
-    none = F.array().cast("array<string>")
-    exact = F.when(n <= 2, F.array(F.concat(F.lit("e"), term))).otherwise(none)
-    one = F.when(n.between(2, 6), _tagged("a", F.concat(F.array(term), _drop_one(term)))).otherwise(none)
-    two = F.when(
-        n.between(4, LONG_TERM + 1),
-        _tagged("b", F.flatten(F.array(F.array(term), _drop_one(term), _drop_two(term)))),
-    ).otherwise(none)
-    pieces = F.when(n >= LONG_TERM - 2, _term_segments(term)).otherwise(none)
-    return F.flatten(F.array(exact, one, two, pieces))
+def _near(a: Column, b: Column) -> Column:
+    # With a threshold, levenshtein answers -1 beyond it.
+    return F.levenshtein(a, b, 1) >= 0

@@ -32,12 +32,13 @@ def bucket_of(term: Column) -> Column:
 
 
 def analysed(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> DataFrame:
-    """(doc_id, words): the tokens of every document in order."""
-    return docs.select(F.col(id_column).alias("doc_id"), split(text_column, pattern).alias("words"))
+    """(doc_id, doc_len, words): the tokens of every document in order."""
+    words = docs.select(F.col(id_column).alias("doc_id"), split(text_column, pattern).alias("words"))
+    return words.select("doc_id", F.size("words").alias("doc_len"), "words")
 
 
 def token_rows(words: DataFrame) -> DataFrame:
-    return words.select("doc_id", F.size("words").alias("doc_len"), F.posexplode("words").alias("pos", "term")).select(
+    return words.select("doc_id", "doc_len", F.posexplode("words").alias("pos", "term")).select(
         bucket_of(F.col("term")).alias("bucket"), "term", "doc_id", "pos", "doc_len"
     )
 
@@ -50,23 +51,26 @@ def term_rows(words: DataFrame) -> DataFrame:
 
 def total_row(words: DataFrame) -> DataFrame:
     """Documents without any token do not count."""
-    length = F.size("words")
-    return words.where(length > 0).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_len")
-    )
+    return words.where("doc_len > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+
+
+def index_of(words: DataFrame) -> SearchIndex:
+    return SearchIndex(token_rows(words), term_rows(words), total_row(words))
 
 
 def build_index(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> SearchIndex:
     """The tables as plans over ``docs``; nothing is computed or kept."""
-    words = analysed(docs, id_column, text_column, pattern)
-    return SearchIndex(token_rows(words), term_rows(words), total_row(words))
+    return index_of(analysed(docs, id_column, text_column, pattern))
 
 
-def save_index(index: SearchIndex, path: str) -> SearchIndex:
+def save_index(docs: DataFrame, id_column: str, text_column: str, path: str, pattern: str = TOKEN) -> SearchIndex:
     """Write the tables under ``path`` and return them read back.
 
-    The rebalance hint lets AQE split a bucket that a frequent term makes large.
+    The texts are split once, into ``path/words``. The rebalance hint lets AQE split a
+    bucket that a frequent term makes large.
     """
+    words = written(analysed(docs, id_column, text_column, pattern), f"{path}/words")
+    index = index_of(words)
     placed = index.tokens.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id", "pos")
     return SearchIndex(
         written(placed, f"{path}/tokens", partition_by="bucket").select(*index.tokens.columns),
@@ -82,7 +86,7 @@ def load_index(spark: SparkSession, path: str) -> SearchIndex:
 
 def scratch_index(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> SearchIndex:
     """An index kept in the cluster's shared scratch folder."""
-    return save_index(build_index(docs, id_column, text_column, pattern), scratch_dir(docs.sparkSession))
+    return save_index(docs, id_column, text_column, scratch_dir(docs.sparkSession), pattern)
 
 
 def term_statistics(index: SearchIndex) -> DataFrame:

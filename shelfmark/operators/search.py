@@ -15,48 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.fixed import MATCH_BOOST, MAX_EXPANSIONS, MAX_SIZE, PHRASE_BOOST, PREFIX_BOOST
-from shelfmark.functions import edits
 from shelfmark.functions.scoring import idf, saturation
 from shelfmark.functions.text import TOKEN, sanitize_query
 from shelfmark.operators.index import SearchIndex, bucket_of
 from shelfmark.operators.requests import query_tokens, valid_requests
+from shelfmark.operators.typos import LONGEST, fuzzy_terms
 from shelfmark.session import settled
 
 STRATEGIES = ("combined", "match")
 
-# Term lengths from here on count as one, so a list of lengths has at most this many rows.
-LONGEST = 255
-
-
-def fuzzy_terms(
-    searched: DataFrame, terms: DataFrame, max_expansions: int | None = MAX_EXPANSIONS
-) -> DataFrame:
-    """(qterm, term, df, edits, weight) for every term within the allowed edits of ``qterm``.
-
-    Candidates share a key (see ``functions.edits``) and are then compared exactly, so
-    the two term lists are never crossed. Each searched term keeps its
-    ``max_expansions`` closest terms, weight first, then term order; None keeps all.
-    """
-    wanted = searched.select("qterm").distinct()
-    near = _near_lengths(terms, wanted)
-    left = wanted.select("qterm", F.explode(edits.query_keys(F.col("qterm"))).alias("_key"))
-    right = near.select("term", "df", F.explode(edits.term_keys(F.col("term"))).alias("_key"))
-    q, t = F.col("qterm"), F.col("term")
-    pairs = (
-        left.join(right, "_key")
-        .where(F.abs(F.length(q) - F.length(t)) <= edits.allowed_edits(q))
-        .select("qterm", "term", "df")
-        .distinct()
-        .withColumn("edits", edits.edit_count(q, t))
-        .where(F.col("edits") <= edits.allowed_edits(q))
-    )
-    shorter = F.least(F.length(q), F.length(t))
-    weighted = pairs.withColumn("weight", F.lit(1.0) - F.col("edits") / shorter).where("weight > 0")
-    if max_expansions is None:
-        return weighted
-    best = Window.partitionBy("qterm").orderBy(F.desc("weight"), F.asc("term"))
-    return weighted.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_expansions).drop("_r")
-
 
 def prefix_terms(
     prefixes: DataFrame, terms: DataFrame, max_expansions: int | None = MAX_EXPANSIONS
@@ -167,24 +134,19 @@ def phrase_matches(slots: DataFrame, index: SearchIndex) -> DataFrame:
         .where("_start >= 0 AND _start + n <= doc_len")
         .select(*keys, "n", "_rest")
     )
-    single = hits.where("n = 1").select(*keys)
-    wanted = (
-        hits.where("n > 1")
-        .select(*keys, "n", F.explode("_rest").alias("_slot"))
-        .select(*keys, "n", (F.col("_start") + F.col("_slot.qpos")).alias("pos"), F.explode("_slot._terms").alias("term"))
+    wanted = hits.select(*keys, "n", F.explode_outer("_rest").alias("_slot")).select(
+        *keys, "n", (F.col("_start") + F.col("_slot.qpos")).alias("pos"), F.explode_outer("_slot._terms").alias("term")
     )
-    seen = _tokens_of(index, slots.where("n > 1").select("term").distinct()).select("term", "doc_id", "pos")
-    several = (
-        wanted.join(seen, ["doc_id", "pos", "term"])
+    others = slots.where("n > 1").select("term").distinct()
+    seen = _tokens_of(index, others).select("term", "doc_id", "pos", F.lit(1).alias("_seen"))
+    complete = (
+        wanted.join(seen, ["doc_id", "pos", "term"], "left")
         .groupBy(*keys, "n")
-        .agg(F.count(F.lit(1)).alias("_found"))
+        .agg(F.count("_seen").alias("_found"))
         .where("_found = n - 1")
-        .select(*keys)
     )
-    return (
-        single.unionByName(several)
-        .groupBy("query_id", "boost", "doc_id", "doc_len", "idf_sum")
-        .agg(F.count(F.lit(1)).alias("freq"))
+    return complete.groupBy("query_id", "boost", "doc_id", "doc_len", "idf_sum").agg(
+        F.count(F.lit(1)).alias("freq")
     )
 
 
@@ -251,11 +213,3 @@ def _tokens_of(index: SearchIndex, searched: DataFrame) -> DataFrame:
 
 def _length_class(term: Column) -> Column:
     return F.least(F.length(term), F.lit(LONGEST))
-
-
-def _near_lengths(terms: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Terms whose length is within two letters of some searched term."""
-    shifts = F.array(*[F.lit(i) for i in range(-2, 3)])
-    near = F.explode(F.transform(shifts, lambda i: F.least(F.length("qterm") + i, F.lit(LONGEST))))
-    lengths = wanted.select(near.alias("n")).agg(F.collect_set("n").alias("l")).scalar()
-    return terms.where(F.array_contains(lengths, _length_class(F.col("term"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES
 from shelfmark.operators import quality
 from shelfmark.operators.documents import build_documents, write_documents
-from shelfmark.operators.index import SearchIndex, build_index, save_index
+from shelfmark.operators.index import SearchIndex, save_index
 from shelfmark.operators.ingest import (
     judge_items,
     judge_measures,
@@ -73,7 +73,7 @@ def load_catalogue(spark: SparkSession, folder: str, target: str, multi_line: bo
     )
     write_documents(build_documents(items, measures), f"{target}/documents")
     documents = spark.read.parquet(f"{target}/documents")
-    index = save_index(build_index(documents, "item_id", "name"), f"{target}/index")
+    index = save_index(documents, "item_id", "name", f"{target}/index")
     return Catalogue(reference, items, measures, documents, index)
 
 

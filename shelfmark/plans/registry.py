@@ -13,6 +13,7 @@ from shelfmark.operators import changes, constraints, documents, ingest, mutatio
 from shelfmark.operators import index as indexes
 from shelfmark.operators import requests as req
 from shelfmark.operators import search as text_search
+from shelfmark.operators import typos
 from shelfmark.plans import bindings as b
 from shelfmark.plans.catalogue import table_counts
 from shelfmark.session import settled
@@ -356,7 +357,7 @@ def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of the documents close to a word of the benchmark texts, all of them."""
     index = indexes.build_index(b.corpus(spark, sf), "doc_id", "name")
     words = settled(_words(b.passages(spark, sf)).select("qterm").distinct())
-    found = text_search.fuzzy_terms(words, index.terms, max_expansions=None)
+    found = typos.fuzzy_terms(words, index.terms, max_expansions=None)
     return found.select("qterm", "term", "edits")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -25,6 +26,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Over all shuffle partitions by ``key``, where AQE would join them for their few bytes.
+
+    The key is hashed first: a plain repartition by a key the rows are grouped by already
+    would be planned away.
+    """
+    return df.repartition(shuffle_partitions(df.sparkSession), F.xxhash64(key))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
