@@ -114,7 +114,7 @@ def assign_ids(base: DataFrame, batch: DataFrame, id_column: str, order: str) ->
     the whole batch. The cut points are read once and fixed in the plan.
     """
     steps = [i / NUMBER_RANGES for i in range(1, NUMBER_RANGES)]
-    cuts = sorted(set(batch.approxQuantile(order, steps, 1 / (4 * NUMBER_RANGES))))
+    cuts = sorted(set(batch.approxQuantile(order, steps, 1 / (4 * NUMBER_RANGES)))) or [0.0]
     ranges = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_range", handleInvalid="keep"
     )

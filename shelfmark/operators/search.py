@@ -126,7 +126,7 @@ def phrase_matches(slots: DataFrame, index: SearchIndex) -> DataFrame:
         "query_id", "boost", "n", "idf_sum", F.col("_rarest.qpos").alias("_at"),
         F.filter("_slots", lambda s: s["qpos"] != F.col("_rarest.qpos")).alias("_rest"),
         F.explode("_rarest._terms").alias("term"),
-    ).withColumn("bucket", bucket_of(F.col("term")))
+    ).where("term >= ''").withColumn("bucket", bucket_of(F.col("term")))
     keys = ["query_id", "boost", "doc_id", "doc_len", "idf_sum", "_start"]
     hits = (
         anchors.join(index.tokens, ["bucket", "term"])
@@ -206,8 +206,12 @@ def rank_hits(scores: DataFrame, requests: DataFrame, documents: DataFrame) -> D
 
 
 def _tokens_of(index: SearchIndex, searched: DataFrame) -> DataFrame:
-    """Token rows of the searched terms; the bucket lets partitions be pruned."""
-    keys = searched.withColumn("bucket", bucket_of(F.col("term")))
+    """Token rows of the searched terms.
+
+    Only the folders of their buckets are opened: the planner prunes partitions by a
+    joined table if that is filtered, and a comparison that all terms pass will do.
+    """
+    keys = searched.where("term >= ''").withColumn("bucket", bucket_of(F.col("term")))
     return index.tokens.join(keys, ["bucket", "term"], "left_semi")
 
 

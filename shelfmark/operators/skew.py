@@ -13,6 +13,9 @@ BROADCAST_KEYS = 1_000_000
 # A key is heavy from this share of the rows on, so at most 200 keys are heavy.
 HEAVY_SHARE = 200
 
+# Parts are placed by hash; several small ones per task even out.
+PARTS_PER_TASK = 4
+
 
 def fits_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
     """Counts at most ``limit + 1`` rows."""
@@ -20,13 +23,13 @@ def fits_broadcast(keys: DataFrame, limit: int = BROADCAST_KEYS) -> bool:
 
 
 def heavy_keys(facts: DataFrame, key: str) -> DataFrame:
-    """(key, _parts): the heavy keys and over how many tasks each should be spread.
+    """(key, _parts): the heavy keys and into how many parts each should be split.
 
     Counted with map-side combine on the key column alone. There are at most
-    ``HEAVY_SHARE`` rows, and ``_parts`` adds up to at most the shuffle partitions
-    plus one per key.
+    ``HEAVY_SHARE`` rows, and ``_parts`` adds up to at most ``PARTS_PER_TASK`` times the
+    shuffle partitions plus one per key.
     """
-    tasks = shuffle_partitions(facts.sparkSession)
+    tasks = PARTS_PER_TASK * shuffle_partitions(facts.sparkSession)
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = facts.agg(F.count(F.lit(1)).alias("_total")).scalar()
     return counts.where(F.col("_n") * HEAVY_SHARE >= total).select(

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from shelfmark.fixed import MAX_RETRIES
 from shelfmark.operators.changes import (
@@ -97,7 +97,7 @@ class DocumentSync:
     def current(self, spark: SparkSession) -> DataFrame:
         """(item_id, name, nutrients): the base and the log, last entry per document."""
         base = _read(spark, f"{self.target}/base", DOCUMENTS)
-        log = _read(spark, f"{self.target}/log", StructType([*LOG.fields]).add("batch_id", "bigint"))
+        log = _read(spark, f"{self.target}/log", StructType([*LOG.fields]).add("batch_id", LongType()))
         last = latest(log, "item_id", "batch_id")
         untouched = base.join(last.select("item_id"), "item_id", "left_anti")
         return untouched.unionByName(last.where("NOT deleted").select(*DOCUMENTS.names))
@@ -119,7 +119,7 @@ class DocumentSync:
 
 
 def _with_batch(spark: SparkSession, schema: str) -> StructType:
-    return spark.createDataFrame([], schema).schema.add("batch_id", "bigint")
+    return spark.createDataFrame([], schema).schema.add("batch_id", LongType())
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
