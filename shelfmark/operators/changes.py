@@ -68,17 +68,19 @@ def parse_events(events: DataFrame) -> DataFrame:
     may be text or a number, whose fraction is cut off; booleans are refused.
     """
     table, op, item = EVENT_KEYS
+    # Fields taken out with inline are read once; as plain columns they would be read
+    # again for every condition on them.
     read = F.from_json("payload", f"`{table}` STRING, `{op}` STRING, `{item}` STRING")
-    fields = events.withColumn("_e", read)
-    raw_table, raw_op, raw_id = F.col(f"_e.{table}"), F.col(f"_e.{op}"), clean_text(F.col(f"_e.{item}"))
+    fields = events.select(*events.columns, F.inline_outer(F.array(read)).alias("_table", "_op", "_id"))
+    raw_table, raw_op, raw_id = F.col("_table"), F.col("_op"), clean_text("_id")
     number = F.when(raw_id.rlike(r"^[+-]?\d+$"), raw_id.try_cast("bigint")).when(
         raw_id.rlike(r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?$"), raw_id.try_cast("double").try_cast("bigint")
     )
     reason = (
-        F.when(raw_table.isNull() & raw_op.isNull() & F.col(f"_e.{item}").isNull(), "not_an_event")
+        F.when(raw_table.isNull() & raw_op.isNull() & F.col("_id").isNull(), "not_an_event")
         .when(F.coalesce(raw_table, F.lit("")) == "", "no_table")
         .when(F.coalesce(raw_op, F.lit("")) == "", "no_op")
-        .when(F.col(f"_e.{item}").isNull(), "no_id")
+        .when(F.col("_id").isNull(), "no_id")
         .when(number.isNull(), "bad_id")
     )
     return fields.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES
 from shelfmark.functions.parsing import blank_to_null, clean_text, safe_date, safe_double, safe_int
-from shelfmark.operators.skew import BROADCAST_KEYS, with_membership
+from shelfmark.operators.skew import BROADCAST_KEYS, keep_known, with_membership
 
 
 def load_reference(raw: DataFrame, mapping: Mapping[int, str] = MEASURE_NAMES) -> DataFrame:
@@ -48,12 +48,7 @@ def judge_measures(
 
     The order is: measure not listed, amount, row id, item id, item not loaded.
     """
-    typed = raw.select(
-        safe_int("row_id").alias("row_id"),
-        safe_int("item_id").alias("item_id"),
-        safe_int("measure_id").alias("measure_id"),
-        safe_double("amount").alias("amount"),
-    )
+    typed = _typed_measures(raw)
     marked = with_membership(typed, items, "item_id", "_loaded", broadcast_limit)
     return marked.withColumn(
         "reject_reason",
@@ -71,12 +66,12 @@ def load_measures(
     mapping: Mapping[int, str] = MEASURE_NAMES,
     broadcast_limit: int = BROADCAST_KEYS,
 ) -> DataFrame:
-    return (
-        judge_measures(raw.where(_listed(mapping, safe_int("measure_id"))), items, mapping, broadcast_limit)
-        .where("reject_reason IS NULL")
-        .drop("reject_reason")
-        .withColumn("measure_id", F.col("measure_id").cast("int"))
-    )
+    """The rows ``judge_measures`` finds nothing against, dropped before the join where possible."""
+    valid = _listed(mapping)
+    for column in ("amount", "row_id", "item_id"):
+        valid = valid & F.col(column).isNotNull()
+    known = keep_known(_typed_measures(raw).where(valid), items, "item_id", broadcast_limit)
+    return known.withColumn("measure_id", F.col("measure_id").cast("int"))
 
 
 def item_counters(judged: DataFrame) -> DataFrame:
@@ -130,11 +125,20 @@ def load_funnel(judged_measures: DataFrame) -> DataFrame:
     )
 
 
+def _typed_measures(raw: DataFrame) -> DataFrame:
+    return raw.select(
+        safe_int("row_id").alias("row_id"),
+        safe_int("item_id").alias("item_id"),
+        safe_int("measure_id").alias("measure_id"),
+        safe_double("amount").alias("amount"),
+    )
+
+
 def reject_counts(judged: DataFrame) -> DataFrame:
     return judged.groupBy(F.coalesce("reject_reason", F.lit("loaded")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
-def _listed(mapping: Mapping[int, str], column: Column | None = None) -> Column:
-    return (F.col("measure_id") if column is None else column).isin(list(mapping))
+def _listed(mapping: Mapping[int, str]) -> Column:
+    return F.col("measure_id").isin(list(mapping))

@@ -19,6 +19,7 @@ from shelfmark.functions.scoring import idf, saturation
 from shelfmark.functions.text import TOKEN, sanitize_query
 from shelfmark.operators.index import SearchIndex, bucket_of
 from shelfmark.operators.requests import query_tokens, valid_requests
+from shelfmark.operators.skew import fits_broadcast
 from shelfmark.operators.typos import LONGEST, fuzzy_terms
 from shelfmark.session import settled
 
@@ -186,25 +187,35 @@ def rank_hits(scores: DataFrame, requests: DataFrame, documents: DataFrame) -> D
     """The best ``size`` documents per request: score down, name up, id up.
 
     Scores are rounded first, so the order in which parts were added cannot decide a
-    rank. Names are fetched only for documents whose score can still make the list;
-    all documents tied on the last score count among them.
+    rank. The score of the last place is found first; documents that reach it, however
+    many tie on it, then get their names and are ranked. Both rankings are cut before
+    the shuffle, so the ties of one request are never brought together.
     """
-    totals = scores.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    # The literal bound is the largest size a request may have; it prunes before the shuffle.
-    near = totals.withColumn("_r", F.rank().over(by_score)).where(F.col("_r") <= MAX_SIZE)
-    sized = near.join(requests.select("query_id", "size"), "query_id").where(F.col("_r") <= F.col("size"))
-    named = sized.drop("_r").join(documents, "doc_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("name"), F.asc("doc_id"))
+    # Read twice below, so the sums are written rather than added up twice.
+    totals = settled(scores.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")))
+    sizes = requests.select("query_id", "size")
+    last = _top(totals, [F.desc("score")], "_place").join(sizes, "query_id").where("_place <= size").groupBy(
+        "query_id", "size"
+    ).agg(F.min("score").alias("_last"))
+    # A row per request; broadcast if there are few, so the sums are not shuffled by request.
+    if fits_broadcast(sizes):
+        last = F.broadcast(last)
+    near = totals.join(last, "query_id").where(F.col("score") >= F.col("_last")).drop("_last")
+    named = near.join(documents, "doc_id")
     rest = [c for c in documents.columns if c != "doc_id"]
     return (
-        named.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= MAX_SIZE)
-        .where(F.col("rank") <= F.col("size"))
+        _top(named, [F.desc("score"), F.asc("name"), F.asc("doc_id")], "rank")
+        .where("rank <= size")
         .select("query_id", "rank", "doc_id", "score", *rest)
     )
 
 
+def _top(rows: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """The first rows per request; the literal bound, the largest size allowed, is applied map-side."""
+    window = Window.partitionBy("query_id").orderBy(*order)
+    return rows.withColumn(place, F.row_number().over(window)).where(F.col(place) <= MAX_SIZE)
+
+
 def _tokens_of(index: SearchIndex, searched: DataFrame) -> DataFrame:
     """Token rows of the searched terms.
 

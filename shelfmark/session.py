@@ -58,9 +58,9 @@ def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFr
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A small intermediate table written to the shared scratch folder.
+    """An intermediate table written to the shared scratch folder.
 
-    It is computed once, and the size of its files tells the planner whether a join may
-    broadcast it.
+    It is computed once, survives lost executors, and the size of its files tells the
+    planner whether a join may broadcast it.
     """
     return written(df, scratch_dir(df.sparkSession))
