@@ -142,6 +142,21 @@ def shape_hits(hits: DataFrame, names: Sequence[str] = PUBLISHED_NAMES) -> DataF
     return hits.select("query_id", "rank", F.coalesce("name", F.lit("")).alias("name"), usable.alias("nutrients"))
 
 
+def responses(shaped: DataFrame, requests: DataFrame) -> DataFrame:
+    """(query_id, response) per request: its results in rank order as JSON, an empty list without any.
+
+    A request has at most a hundred results, so the list of one is short.
+    """
+    entry = F.struct("rank", "name", "nutrients")
+    lists = shaped.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
+    foods = F.transform(
+        F.coalesce("hits", F.array()),
+        lambda h: F.struct(h["name"].alias("name"), h["nutrients"].alias("nutrients")),
+    )
+    found = requests.select("query_id").join(lists, "query_id", "left")
+    return found.select("query_id", F.to_json(F.struct(foods.alias("foods"))).alias("response"))
+
+
 def page(items: DataFrame, key: str, offset: int = 0, limit: int = DEFAULT_SIZE) -> DataFrame:
     """One page in key order."""
     return items.orderBy(key).offset(offset).limit(limit)

@@ -88,13 +88,23 @@ def funnel(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFra
     return load_funnel(judge_measures(raw.measures.rows, load_items(raw.items.rows)))
 
 
-def quality_checks(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
-    """All checks over the three files; a missing file is an issue of its source."""
+def quality_checks(
+    spark: SparkSession, folder: str, multi_line: bool = True, max_rows: int | None = None
+) -> DataFrame:
+    """All checks over the three files; a missing file is an issue of its source.
+
+    ``max_rows`` stops the scan of items and measures before that row, for a quick look;
+    by default everything is read.
+    """
     raw = read_catalogue(spark, folder, multi_line)
     item_source, measure_source, reference_source = quality.SOURCES
+
+    def scanned(table: RawTable) -> DataFrame:
+        return table.rows.limit(max_rows - 1) if max_rows else table.rows
+
     parts = [
-        (raw.items, item_source, lambda t: quality.item_checks(t.rows)),
-        (raw.measures, measure_source, lambda t: quality.measure_checks(t.rows)),
+        (raw.items, item_source, lambda t: quality.item_checks(scanned(t))),
+        (raw.measures, measure_source, lambda t: quality.measure_checks(scanned(t))),
         (raw.reference, reference_source, lambda t: quality.reference_checks(t.rows, t.missing_columns)),
     ]
     checks = [
@@ -125,6 +135,13 @@ def quality_report(checks: DataFrame) -> str:
     return "\n".join(text)
 
 
+def write_quality_report(checks: DataFrame, path: str) -> str:
+    """Save the report as a text file in the folder ``path`` and return it."""
+    text = quality_report(checks)
+    checks.sparkSession.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
 def table_counts(items: DataFrame, measures: DataFrame, item_class: str = INDEXED_CLASS) -> DataFrame:
     """One row: items, items of the class, measures."""
     n_measures = measures.agg(F.count(F.lit(1)).alias("n")).scalar()

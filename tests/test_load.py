@@ -149,6 +149,17 @@ def test_quality_report(spark, folder):
     assert "  - Missing required columns (id, name, unit_name): none" in text
 
 
+def test_row_cap_and_saved_report(spark, folder, tmp_path):
+    checks = catalogue.quality_checks(spark, folder, max_rows=4)
+    counts = {(r.source, r.check): r.n for r in checks.collect()}
+    # Three rows of each are read.
+    assert counts["food", "class_rows"] == 3 and counts["food_nutrient", "empty_amounts"] == 1
+    assert counts["nutrient", "duplicate_ids"] == 1
+    text = catalogue.write_quality_report(checks, str(tmp_path / "report"))
+    saved = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+    assert saved == text
+
+
 def test_quality_of_a_clean_folder(spark, tmp_path):
     (tmp_path / "food.csv").write_text("fdc_id,data_type,description,publication_date\n1,foundation_food,A,2024-01-01\n")
     (tmp_path / "food_nutrient.csv").write_text("id,fdc_id,nutrient_id,amount\n1,1,1008,5\n")
