@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from shelfmark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from shelfmark.llm.exact import OP8_SQL, op8_exact_dedup
+from shelfmark.llm.packing import op5_packing
+from shelfmark.llm.sharding import op6_sharding, op6_sql
+from shelfmark.llm.urls import OP1_SQL, op1_url_rules
 
 QUERIES = {
+    "op1_url_rules": op1_url_rules,
+    "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
+    "op8_exact_dedup": op8_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
+    "op1_url_rules": OP1_SQL,
+    "op6_sharding": op6_sql(),
+    "op8_exact_dedup": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
 }
