@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.common import shipped
 from shelfmark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from shelfmark.llm.exact import OP8_SQL, op8_exact_dedup
 from shelfmark.llm.packing import op5_packing
+from shelfmark.llm.quality import op9_quality
 from shelfmark.llm.sharding import op6_sharding, op6_sql
 from shelfmark.llm.urls import OP1_SQL, op1_url_rules
 
 QUERIES = {
-    "op1_url_rules": op1_url_rules,
-    "op5_packing": op5_packing,
+    "op1_url_rules": shipped(op1_url_rules),
+    "op5_packing": shipped(op5_packing),
     "op6_sharding": op6_sharding,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op10_decontaminate": op10_decontaminate,
+    "op8_exact_dedup": shipped(op8_exact_dedup),
+    "op9_quality": shipped(op9_quality),
+    "op10_decontaminate": shipped(op10_decontaminate),
 }
 
 ORACLES = {
