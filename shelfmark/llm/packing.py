@@ -9,6 +9,7 @@ room left. Only lengths and checksums are moved between machines, never tokens.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -17,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import settled, table
+from shelfmark.llm.common import raw, row_chunks, settled, table
 
 LENGTH = 2048
 END = 1
 GROUP = 8192
 
-# Words whose ids a worker keeps, about 50 MB.
-KEPT_WORDS = 300_000
+# A worker keeps the ids of up to twice so many words, about 200 bytes each.
+KEPT_WORDS = 400_000
+
+# Texts of about so many bytes are split into words at a time, and so many new words are encoded in a row.
+CHUNK = 1 << 20
+IN_A_ROW = 4096
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -32,27 +37,75 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 class Tokens:
     """Ids of whole texts as little-endian 32-bit integers, each blank-separated word encoded once.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of
-    its words in a row.
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a
+    row; it also parts letters from marks, so a word of letters with marks after it is its two parts in a row.
+    Words of letters are encoded many at a time: each ends with the one id that ends a word.
     """
 
+    MARKS = "!#$%&()*+,-./:;=?@[]^_`{|}~"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known = {}
-                new = list(set(words))
-            for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(code.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.asarray(c.ids, "<u4").tobytes() for c in codes]
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        code = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.asarray(code.ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # a letter that is no letter in its normal form
+            return self.encode(words)
+        whole, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    @staticmethod
+    def is_letters(word: str) -> bool:
+        """Letters alone, in the tokenizer's normal form too."""
+        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+    def learn(self, words: set[str]) -> None:
+        """Makes all of ``words`` known."""
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        split = [(w, w.rstrip(self.MARKS)) for w in new]
+        letters = [(w, base) for w, base in split if self.is_letters(base)]
+        plain = [w for w, base in split if not self.is_letters(base)]
+        parts = {base for _, base in letters} | {w[len(base) :] for w, base in letters}
+        parts = [p for p in parts if p not in known]
+        heads, tails = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        for i in range(0, len(heads), IN_A_ROW):
+            some = heads[i : i + IN_A_ROW]
+            known.update(zip(some, self.encode_letters(some), strict=True))
+        plain += tails
+        for i in range(0, len(plain), IN_A_ROW):
+            some = plain[i : i + IN_A_ROW]
+            known.update(zip(some, self.encode(some), strict=True))
+        for w, base in letters:
+            known[w] = known[base] + known[w[len(base) :]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        distinct = set().union(*split)
+        self.learn(distinct.difference(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -108,16 +161,20 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def go(batches):
         encode = tokens(path)
+        names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
-            out = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    part = ids[4 * start : 4 * (start + length)]
-                    for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[c.split()[0] for c in PIECES.split(", ")])
+            _, at = raw(batch.column(1))
+            for lo, hi in row_chunks(at, CHUNK):
+                out = [[] for _ in names]
+                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                for doc_id, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), encode(texts), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, length):
+                        part = ids[4 * start : 4 * (start + length)]
+                        for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, PIECES)
 
