@@ -6,6 +6,7 @@ from shelfmark.llm.common import shipped
 from shelfmark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from shelfmark.llm.exact import OP8_SQL, op8_exact_dedup
 from shelfmark.llm.jaccard import op3_jaccard
+from shelfmark.llm.likelihood import op4_lattice
 from shelfmark.llm.packing import op5_packing
 from shelfmark.llm.quality import op9_quality
 from shelfmark.llm.sharding import op6_sharding, op6_sql
@@ -14,6 +15,7 @@ from shelfmark.llm.urls import OP1_SQL, op1_url_rules
 QUERIES = {
     "op1_url_rules": shipped(op1_url_rules),
     "op3_jaccard": shipped(op3_jaccard),
+    "op4_lattice": shipped(op4_lattice),
     "op5_packing": shipped(op5_packing),
     "op6_sharding": op6_sharding,
     "op8_exact_dedup": shipped(op8_exact_dedup),
