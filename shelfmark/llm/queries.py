@@ -7,6 +7,7 @@ from shelfmark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from shelfmark.llm.exact import OP8_SQL, op8_exact_dedup
 from shelfmark.llm.jaccard import op3_jaccard
 from shelfmark.llm.likelihood import op4_lattice
+from shelfmark.llm.lines import op7_line_dedup
 from shelfmark.llm.packing import op5_packing
 from shelfmark.llm.quality import op9_quality
 from shelfmark.llm.sharding import op6_sharding, op6_sql
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_lattice": shipped(op4_lattice),
     "op5_packing": shipped(op5_packing),
     "op6_sharding": op6_sharding,
+    "op7_line_dedup": shipped(op7_line_dedup),
     "op8_exact_dedup": shipped(op8_exact_dedup),
     "op9_quality": shipped(op9_quality),
     "op10_decontaminate": shipped(op10_decontaminate),
