@@ -11,10 +11,12 @@ from shelfmark.llm.lines import op7_line_dedup
 from shelfmark.llm.packing import op5_packing
 from shelfmark.llm.quality import op9_quality
 from shelfmark.llm.sharding import op6_sharding, op6_sql
+from shelfmark.llm.suffixes import op2_suffix_dedup
 from shelfmark.llm.urls import OP1_SQL, op1_url_rules
 
 QUERIES = {
     "op1_url_rules": shipped(op1_url_rules),
+    "op2_suffix_dedup": shipped(op2_suffix_dedup),
     "op3_jaccard": shipped(op3_jaccard),
     "op4_lattice": shipped(op4_lattice),
     "op5_packing": shipped(op5_packing),
