@@ -28,6 +28,9 @@ ITEM_TABLE = "foods"
 MEASURE_TABLE = "food_nutrients"
 EVENT_KEYS = ("table", "op", "fdc_id")
 
+# Titles of the quality report's parts, by source.
+REPORT_TITLES = {"food": "Food issues:", "food_nutrient": "Food nutrient issues:", "nutrient": "Nutrient issues:"}
+
 # Request limits and the codes/messages of refused requests.
 DEFAULT_SIZE = 20
 MIN_SIZE = 1
@@ -46,7 +49,6 @@ PREFIX_BOOST = 2.0
 MATCH_BOOST = 1.0
 BM25_K1 = 1.2
 BM25_B = 0.75
-MAX_EXPANSIONS = 50
 
 # Whitespace as the raw files' readers understand it: Unicode White_Space plus the
 # four ASCII separators.

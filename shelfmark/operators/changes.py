@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from shelfmark.fixed import EVENT_KEYS, INDEXED_CLASS, ITEM_TABLE, MAX_RETRIES, MEASURE_TABLE
 from shelfmark.functions.parsing import clean_text
-from shelfmark.operators.documents import documents_for
+from shelfmark.operators.documents import documents_for, of_class
 
 
-def item_events(old: DataFrame, new: DataFrame, item_class: str = INDEXED_CLASS) -> DataFrame:
+def item_events(
+    old: DataFrame, new: DataFrame, item_class: str = INDEXED_CLASS, trim_class: bool = True
+) -> DataFrame:
     """(table, op, item_id) for items that differ between two images.
 
     An insert or delete counts if the row is of the class, an update if it was or is.
     """
     both = _images(old, new, "item_id")
-    was, now = F.col("_old.item_class") == item_class, F.col("_new.item_class") == item_class
+    was, now = (of_class(f"{side}.item_class", item_class, trim_class) for side in ("_old", "_new"))
     return both.where(F.coalesce(was, F.lit(False)) | F.coalesce(now, F.lit(False))).select(
         F.lit(ITEM_TABLE).alias("table"), _op().alias("op"), "item_id"
     )
@@ -45,9 +47,10 @@ def table_events(
     new_measures: DataFrame,
     item_class: str = INDEXED_CLASS,
     notify_both_owners: bool = True,
+    trim_class: bool = True,
 ) -> DataFrame:
     """Events of both tables; measures that went with their item are among them."""
-    return item_events(old_items, new_items, item_class).unionByName(
+    return item_events(old_items, new_items, item_class, trim_class).unionByName(
         measure_events(old_measures, new_measures, notify_both_owners)
     )
 
@@ -64,34 +67,50 @@ def with_payload(events: DataFrame) -> DataFrame:
 def parse_events(events: DataFrame) -> DataFrame:
     """``events`` with table, op, item_id and ``reject_reason`` read from ``payload``.
 
-    Table and op are trimmed after the test for emptiness, so a blank one passes. An id
-    may be text or a number, whose fraction is cut off; booleans are refused.
+    Table and op are missing where they are empty, zero, false or null; they are trimmed after that
+    test, so a blank one passes. An id is a number, whose fraction is cut off, or text that is an
+    integer; booleans are refused.
     """
-    table, op, item = EVENT_KEYS
     # Fields taken out with inline are read once; as plain columns they would be read
     # again for every condition on them.
-    read = F.from_json("payload", f"`{table}` STRING, `{op}` STRING, `{item}` STRING")
-    fields = events.select(*events.columns, F.inline_outer(F.array(read)).alias("_table", "_op", "_id"))
-    raw_table, raw_op, raw_id = F.col("_table"), F.col("_op"), clean_text("_id")
-    number = F.when(raw_id.rlike(r"^[+-]?\d+$"), raw_id.try_cast("bigint")).when(
-        raw_id.rlike(r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?$"), raw_id.try_cast("double").try_cast("bigint")
-    )
+    event = F.try_parse_json("payload")
+    parts = []
+    for name, key in zip(("_table", "_op", "_id"), EVENT_KEYS):
+        value = F.try_variant_get(event, f"$.{key}", "variant")
+        parts += [
+            F.try_variant_get(event, f"$.{key}", "string").alias(name),
+            F.schema_of_variant(value).alias(f"{name}_kind"),
+        ]
+    names = [f"{n}{s}" for n in ("_table", "_op", "_id") for s in ("", "_kind")]
+    fields = events.select(*events.columns, F.inline_outer(F.array(F.struct(*parts))).alias(*names))
+    text = clean_text("_id")
+    number = F.when(F.col("_id_kind") == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))).when(
+        F.col("_id_kind").rlike("^(BIGINT|DECIMAL.*)$"), F.col("_id").try_cast("decimal(38,18)").try_cast("bigint")
+    ).when(F.col("_id_kind").rlike("^(DOUBLE|FLOAT)$"), F.col("_id").try_cast("double").try_cast("bigint"))
     reason = (
-        F.when(raw_table.isNull() & raw_op.isNull() & F.col("_id").isNull(), "not_an_event")
-        .when(F.coalesce(raw_table, F.lit("")) == "", "no_table")
-        .when(F.coalesce(raw_op, F.lit("")) == "", "no_op")
+        F.when(F.col("_table").isNull() & F.col("_op").isNull() & F.col("_id").isNull(), "not_an_event")
+        .when(_missing("_table"), "no_table")
+        .when(_missing("_op"), "no_op")
         .when(F.col("_id").isNull(), "no_id")
         .when(number.isNull(), "bad_id")
     )
     return fields.select(
         *events.columns,
-        clean_text(raw_table).alias("table"),
-        clean_text(raw_op).alias("op"),
+        clean_text("_table").alias("table"),
+        clean_text("_op").alias("op"),
         number.alias("item_id"),
         reason.alias("reject_reason"),
     )
 
 
+def _missing(field: str) -> Column:
+    """Empty text, or another value that stands for nothing."""
+    value, kind = F.coalesce(field, F.lit("")), F.col(f"{field}_kind")
+    zero = F.coalesce(value.try_cast("double") == 0, F.lit(False))
+    nothing = (kind != "STRING") & (value.isin("false", "[]", "{}") | zero)
+    return (value == "") | F.coalesce(nothing, F.lit(False))
+
+
 def is_delete() -> Column:
     return (F.col("table") == ITEM_TABLE) & (F.col("op") == "DELETE")
 

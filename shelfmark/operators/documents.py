@@ -12,10 +12,6 @@ from shelfmark.functions.parsing import clean_text, safe_double
 from shelfmark.operators.mutations import upsert
 from shelfmark.operators.skew import keep_known
 
-# Up to this many measures are gathered as columns of one aggregation.
-WIDE_MEASURES = 16
-
-
 def published_mapping(
     mapping: Mapping[int, str] = MEASURE_NAMES, names: Sequence[str] = PUBLISHED_NAMES
 ) -> dict[int, str]:
@@ -55,37 +51,28 @@ def measure_arrays(
 ) -> DataFrame:
     """(item_id, nutrients): the published measures of each item, in the order of ``mapping``.
 
-    One shuffle: the last amount of every measure is an aggregate of its own, combined
-    before the shuffle, so an item with very many rows costs no more than any other.
+    The last amount of each measure is found first, combined before the shuffle, so an item with
+    very many rows brings one row per measure to its list. An item without any amount has no row.
     """
     known = published_mapping(mapping, names)
-    if not known or len(known) > WIDE_MEASURES:
-        rank = F.array_position(F.array(*[F.lit(i) for i in known]), F.col("measure_id"))
-        entry = F.struct(rank.alias("rank"), "type", "amount")
-        return (
-            map_measures(measures, mapping, order, names)
-            .groupBy("item_id")
-            .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-            .select("item_id", F.transform("e", lambda x: F.struct(x["type"].alias("type"), x["amount"].alias("amount"))).alias("nutrients"))
-        )
-    order = F.col(order) if isinstance(order, str) else order
-    rows = measures.where(F.col("measure_id").isin(list(known))).select(
-        "item_id", "measure_id", _amount(measures), order.alias("_order")
+    rank = F.array_position(F.array(*[F.lit(i) for i in known]).cast("array<int>"), F.col("measure_id").cast("int"))
+    entry = F.struct(rank.alias("rank"), "type", "amount")
+    return (
+        map_measures(measures, mapping, order, names)
+        .groupBy("item_id")
+        .agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        .select("item_id", F.transform("e", lambda x: F.struct(x["type"].alias("type"), x["amount"].alias("amount"))).alias("nutrients"))
     )
-    wide = rows.groupBy("item_id").agg(*[
-        F.max_by("amount", F.when(F.col("measure_id") == i, F.col("_order"))).alias(f"m{i}") for i in known
-    ])
-    entries = F.array(*[
-        F.when(F.col(f"m{i}").isNotNull(), F.struct(F.lit(n).alias("type"), F.col(f"m{i}").alias("amount")))
-        for i, n in known.items()
-    ])
-    return wide.select("item_id", F.array_compact(entries).alias("nutrients"))
+
+
+def of_class(column: str, item_class: str = INDEXED_CLASS, trim_class: bool = True) -> Column:
+    """Whether a class is the indexed one; without ``trim_class`` exactly, which reaches the scan of loaded items."""
+    return (clean_text(column) if trim_class else F.col(column)) == item_class
 
 
 def indexable(items: DataFrame, item_class: str = INDEXED_CLASS, trim_class: bool = True) -> DataFrame:
     """Items that get a document."""
-    cls = clean_text("item_class") if trim_class else F.col("item_class")
-    return items.where((cls == item_class) & F.col("item_id").isNotNull())
+    return items.where(of_class("item_class", item_class, trim_class) & F.col("item_id").isNotNull())
 
 
 def build_documents(
@@ -157,14 +144,20 @@ def responses(shaped: DataFrame, requests: DataFrame) -> DataFrame:
     return found.select("query_id", F.to_json(F.struct(foods.alias("foods"))).alias("response"))
 
 
-def page(items: DataFrame, key: str, offset: int = 0, limit: int = DEFAULT_SIZE) -> DataFrame:
-    """One page in key order."""
-    return items.orderBy(key).offset(offset).limit(limit)
+def page(items: DataFrame, key: str, offset: int = 0, limit: int = DEFAULT_SIZE, after=None) -> DataFrame:
+    """One page in key order: past ``offset`` rows, or past the key ``after`` of the page before.
+
+    With ``after`` only ``limit`` rows leave each task however deep the page lies; an offset costs
+    as many rows more.
+    """
+    rows = items if after is None else items.where(F.col(key) > after)
+    ordered = rows.orderBy(key)
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
 def lookup(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``table`` whose key (its own, not a foreign one) is asked for."""
-    return table.join(keys.select(key), key, "left_semi").select(*table.columns)
+    return table.join(keys.select(key).distinct(), key, "left_semi").select(*table.columns)
 
 
 def _no_measures() -> Column:

@@ -1,10 +1,11 @@
-"""The token tables that text search reads.
-
-``tokens`` has a row per occurrence, ``terms`` a row per distinct term with the number
-of documents holding it, ``totals`` one row with the number of documents and their
-average length. For repeated use write them once with ``save_index``: the tokens are
-then partitioned by a hash of the term and sorted, so a search opens only the folders of
-its own terms.
+"""The tables that text search reads.
+
+``postings`` has a row per term and document with the number of occurrences and their
+positions, ``terms`` a row per distinct term with the documents holding it and the
+occurrences, ``totals`` one row of sums over the documents. For repeated use write them once
+with ``save_index``: the postings are then partitioned by a hash of the term and sorted, so a
+search opens only the folders of its own terms. ``updated`` follows changed documents
+without reading the others' texts again.
 """
 
 from __future__ import annotations
@@ -15,20 +16,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import TOKEN, tokens as split
-from shelfmark.session import scratch_dir, written
+from shelfmark.session import drop_folder, scratch_dir, written
 
-TERM_BUCKETS = 64
+# Postings of a folder, about; their number decides how many folders there are.
+BUCKET_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    tokens: DataFrame  # bucket, term, doc_id, pos, doc_len
-    terms: DataFrame  # term, df
-    totals: DataFrame  # n_docs, avg_len
+    postings: DataFrame  # bucket, term, doc_id, doc_len, tf, positions
+    terms: DataFrame  # term, df, cf
+    totals: DataFrame  # n_docs, sum_len, avg_len
+    buckets: int = 1
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def analysed(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> DataFrame:
@@ -37,25 +40,34 @@ def analysed(docs: DataFrame, id_column: str, text_column: str, pattern: str = T
     return words.select("doc_id", F.size("words").alias("doc_len"), "words")
 
 
-def token_rows(words: DataFrame) -> DataFrame:
-    return words.select("doc_id", "doc_len", F.posexplode("words").alias("pos", "term")).select(
-        bucket_of(F.col("term")).alias("bucket"), "term", "doc_id", "pos", "doc_len"
+def posting_rows(words: DataFrame, buckets: int = 1) -> DataFrame:
+    """Occurrences folded by term and document; those of a document lie in one task, so little is left to shuffle."""
+    rows = words.select("doc_id", "doc_len", F.posexplode("words").alias("pos", "term"))
+    folded = rows.groupBy("term", "doc_id", "doc_len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return folded.select(
+        bucket_of(F.col("term"), buckets).alias("bucket"), "term", "doc_id", "doc_len", F.size("positions").alias("tf"), "positions"
     )
 
 
-def term_rows(words: DataFrame) -> DataFrame:
-    """Document frequencies: terms made distinct inside each document, then counted map-side."""
-    once = words.select(F.explode(F.array_distinct("words")).alias("term"))
-    return once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_rows(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf"))
 
 
 def total_row(words: DataFrame) -> DataFrame:
     """Documents without any token do not count."""
-    return words.where("doc_len > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    sums = words.where("doc_len > 0").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("bigint").alias("sum_len")
+    )
+    return _with_average(sums)
+
+
+def _with_average(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("avg_len", F.try_divide(F.col("sum_len").cast("double"), F.col("n_docs")))
 
 
 def index_of(words: DataFrame) -> SearchIndex:
-    return SearchIndex(token_rows(words), term_rows(words), total_row(words))
+    postings = posting_rows(words)
+    return SearchIndex(postings, term_rows(postings), total_row(words))
 
 
 def build_index(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> SearchIndex:
@@ -66,22 +78,27 @@ def build_index(docs: DataFrame, id_column: str, text_column: str, pattern: str
 def save_index(docs: DataFrame, id_column: str, text_column: str, path: str, pattern: str = TOKEN) -> SearchIndex:
     """Write the tables under ``path`` and return them read back.
 
-    The texts are split once, into ``path/words``. The rebalance hint lets AQE split a
-    bucket that a frequent term makes large.
+    The texts are split once, into a folder that goes when the tables are written. The rebalance
+    hint lets AQE split a bucket that a frequent term makes large.
     """
+    spark = docs.sparkSession
     words = written(analysed(docs, id_column, text_column, pattern), f"{path}/words")
-    index = index_of(words)
-    placed = index.tokens.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id", "pos")
-    return SearchIndex(
-        written(placed, f"{path}/tokens", partition_by="bucket").select(*index.tokens.columns),
-        written(index.terms, f"{path}/terms"),
-        written(index.totals, f"{path}/totals"),
-    )
+    totals = written(total_row(words), f"{path}/totals")
+    # A text has fewer distinct terms than words; this errs towards more folders.
+    buckets = max(1, -(-totals.first()["sum_len"] // BUCKET_ROWS))
+    placed = posting_rows(words, buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    columns = placed.columns
+    postings = written(placed, f"{path}/postings", partition_by="bucket").select(*columns)
+    terms = written(term_rows(postings), f"{path}/terms")
+    written(spark.range(1).select(F.lit(buckets).alias("buckets")), f"{path}/buckets")
+    drop_folder(spark, f"{path}/words")
+    return SearchIndex(postings, terms, totals, buckets)
 
 
 def load_index(spark: SparkSession, path: str) -> SearchIndex:
     read = spark.read.parquet
-    return SearchIndex(read(f"{path}/tokens"), read(f"{path}/terms"), read(f"{path}/totals"))
+    buckets = read(f"{path}/buckets").first()["buckets"]
+    return SearchIndex(read(f"{path}/postings"), read(f"{path}/terms"), read(f"{path}/totals"), buckets)
 
 
 def scratch_index(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> SearchIndex:
@@ -89,7 +106,26 @@ def scratch_index(docs: DataFrame, id_column: str, text_column: str, pattern: st
     return save_index(docs, id_column, text_column, scratch_dir(docs.sparkSession), pattern)
 
 
+def updated(index: SearchIndex, before: DataFrame, after: DataFrame, pattern: str = TOKEN) -> SearchIndex:
+    """The index after some documents changed.
+
+    ``before`` and ``after`` are (doc_id, name) of the changed documents alone, as indexed and as they
+    are now; one that is new or gone is in one of them. Only these are split into words. The postings are
+    those of the others and the new ones; frequencies and sums follow by addition.
+    """
+    old, new = (analysed(df, "doc_id", "name", pattern) for df in (before, after))
+    touched = before.select("doc_id").union(after.select("doc_id")).distinct()
+    segment = posting_rows(new, index.buckets)
+    postings = index.postings.join(touched, "doc_id", "left_anti").select(*segment.columns).unionByName(segment)
+    gone = term_rows(posting_rows(old)).select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+    parts = index.terms.select("term", "df", "cf").unionByName(gone).unionByName(term_rows(segment))
+    terms = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+    less = total_row(old).select((-F.col("n_docs")).alias("n_docs"), (-F.col("sum_len")).alias("sum_len"))
+    sums = index.totals.select("n_docs", "sum_len").unionByName(less).unionByName(total_row(new).select("n_docs", "sum_len"))
+    totals = _with_average(sums.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_len").alias("sum_len")))
+    return SearchIndex(postings, terms, totals, index.buckets)
+
+
 def term_statistics(index: SearchIndex) -> DataFrame:
     """(term, df, cf): documents holding the term, and occurrences."""
-    occurrences = index.tokens.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    return index.terms.join(occurrences, "term").select("term", "df", "cf")
+    return index.terms.select("term", "df", "cf")

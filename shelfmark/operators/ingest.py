@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES
 from shelfmark.functions.parsing import blank_to_null, clean_text, safe_date, safe_double, safe_int
 from shelfmark.operators.skew import BROADCAST_KEYS, keep_known, with_membership
+from shelfmark.sources.files import READ_ORDER
 
 
 def load_reference(raw: DataFrame, mapping: Mapping[int, str] = MEASURE_NAMES) -> DataFrame:
@@ -18,6 +19,7 @@ def load_reference(raw: DataFrame, mapping: Mapping[int, str] = MEASURE_NAMES) -
         safe_int("measure_id").alias("measure_id"),
         blank_to_null("name").alias("name"),
         blank_to_null("unit_name").alias("unit_name"),
+        *_order(raw),
     ).where(_listed(mapping)).withColumn("measure_id", F.col("measure_id").cast("int"))
 
 
@@ -28,6 +30,7 @@ def judge_items(raw: DataFrame, item_class: str = INDEXED_CLASS) -> DataFrame:
         clean_text("item_class").alias("item_class"),
         clean_text("description").alias("description"),
         safe_date("published").alias("published"),
+        *_order(raw),
     ).withColumn(
         "reject_reason",
         F.when(F.col("item_class") != item_class, "other_class").when(F.col("item_id").isNull(), "bad_item_id"),
@@ -48,7 +51,7 @@ def judge_measures(
 
     The order is: measure not listed, amount, row id, item id, item not loaded.
     """
-    typed = _typed_measures(raw)
+    typed = typed_measures(raw)
     marked = with_membership(typed, items, "item_id", "_loaded", broadcast_limit)
     return marked.withColumn(
         "reject_reason",
@@ -70,7 +73,7 @@ def load_measures(
     valid = _listed(mapping)
     for column in ("amount", "row_id", "item_id"):
         valid = valid & F.col(column).isNotNull()
-    known = keep_known(_typed_measures(raw).where(valid), items, "item_id", broadcast_limit)
+    known = keep_known(typed_measures(raw).where(valid), items, "item_id", broadcast_limit)
     return known.withColumn("measure_id", F.col("measure_id").cast("int"))
 
 
@@ -125,12 +128,14 @@ def load_funnel(judged_measures: DataFrame) -> DataFrame:
     )
 
 
-def _typed_measures(raw: DataFrame) -> DataFrame:
+def typed_measures(raw: DataFrame) -> DataFrame:
+    """Measures with every value that can be read, null for the others."""
     return raw.select(
         safe_int("row_id").alias("row_id"),
         safe_int("item_id").alias("item_id"),
         safe_int("measure_id").alias("measure_id"),
         safe_double("amount").alias("amount"),
+        *_order(raw),
     )
 
 
@@ -140,5 +145,10 @@ def reject_counts(judged: DataFrame) -> DataFrame:
     )
 
 
+def _order(raw: DataFrame) -> list[str]:
+    """The column that says in which order rows were read, where the reader added it."""
+    return [READ_ORDER] if READ_ORDER in raw.columns else []
+
+
 def _listed(mapping: Mapping[int, str]) -> Column:
     return F.col("measure_id").isin(list(mapping))

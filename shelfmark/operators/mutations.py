@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions.parsing import clean_text, safe_date
 from shelfmark.operators.skew import drop_known, latest, with_membership
 
-# Ranges a batch is cut into when it is numbered.
-NUMBER_RANGES = 256
+# Rows of a range when a batch is numbered; their number decides how many ranges there are.
+NUMBERED_ROWS = 500_000
 
 
 def upsert(
@@ -25,10 +25,11 @@ def upsert(
     """``base`` with every changed key replaced or added, all other columns overwritten.
 
     A key that is changed twice takes its last row, or fails the job when
-    ``on_duplicate`` is ``"error"``.
+    ``on_duplicate`` is ``"error"``. Rows without a key are passed over; one without an order
+    counts as the earliest. Both sides of the join have one row per key.
     """
-    new = _fold(changes, key, order, on_duplicate).select(*base.columns)
-    return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(new)
+    new = _fold(changes.where(F.col(key).isNotNull()), key, order, on_duplicate).select(*base.columns)
+    return base.join(new.select(key), key, "left_anti").select(*base.columns).unionByName(new)
 
 
 def upsert_counts(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -45,12 +46,18 @@ def upsert_counts(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def insert_status(base: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """``new`` with ``status``: ``inserted``, or ``conflict`` where the key exists or came earlier.
 
-    The winners are found per key with map-side combine and joined back on key and
+    A row that cannot be judged has the status ``null_key`` or ``null_order``. The winners are found per key with map-side combine and joined back on key and
     order, so the conflicts of one busy key stay spread.
     """
-    first = new.groupBy(key).agg(F.min(order).alias(order))
+    usable = F.col(key).isNotNull() & F.col(order).isNotNull()
+    first = new.where(usable).groupBy(key).agg(F.min(order).alias(order))
     winners = first.join(base.select(key), key, "left_anti").withColumn("_won", F.lit(True))
-    status = F.when(F.col("_won"), "inserted").otherwise("conflict")
+    status = (
+        F.when(F.col(key).isNull(), "null_key")
+        .when(F.col(order).isNull(), "null_order")
+        .when(F.col("_won"), "inserted")
+        .otherwise("conflict")
+    )
     return new.join(winners, [key, order], "left").withColumn("status", status).select(*new.columns, "status")
 
 
@@ -94,8 +101,9 @@ def delete_status(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def delete_items(items: DataFrame, measures: DataFrame, keys: DataFrame, key: str = "item_id"):
     """(items, measures) without the given items; their measures go with them."""
-    left = items.join(keys.select(key), key, "left_anti").select(*items.columns)
-    return left, drop_known(measures, keys, key)
+    asked = keys.select(key).distinct()
+    left = items.join(asked, key, "left_anti").select(*items.columns)
+    return left, drop_known(measures, asked, key)
 
 
 def delete_measures(measures: DataFrame, keys: DataFrame, key: str = "row_id", owner: str = "item_id"):
@@ -108,13 +116,14 @@ def delete_measures(measures: DataFrame, keys: DataFrame, key: str = "row_id", o
 def assign_ids(base: DataFrame, batch: DataFrame, id_column: str, order: str) -> DataFrame:
     """``batch`` with ``id_column``: the highest id of ``base`` plus 1, 2, 3, ... in ``order``.
 
-    ``order`` is numeric and unique within the batch. It is cut into at most
-    ``NUMBER_RANGES`` ranges at estimated quantiles; ranges are counted, the counts
-    (one row per range) added up, and rows numbered inside their range, so no task sees
-    the whole batch. The cut points are read once and fixed in the plan.
+    ``order`` is numeric and unique within the batch. It is cut at estimated quantiles into
+    ranges of about ``NUMBERED_ROWS`` rows; ranges are counted, the counts (one row per
+    range) added up, and rows numbered inside their range, so no task sees the whole batch.
+    The cut points are read once and fixed in the plan.
     """
-    steps = [i / NUMBER_RANGES for i in range(1, NUMBER_RANGES)]
-    cuts = sorted(set(batch.approxQuantile(order, steps, 1 / (4 * NUMBER_RANGES)))) or [0.0]
+    ranges_wanted = max(2, -(-batch.count() // NUMBERED_ROWS))
+    steps = [i / ranges_wanted for i in range(1, ranges_wanted)]
+    cuts = sorted(set(batch.approxQuantile(order, steps, 1 / (4 * ranges_wanted)))) or [0.0]
     ranges = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_range", handleInvalid="keep"
     )

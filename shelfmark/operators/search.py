@@ -4,9 +4,9 @@ Three clauses score every matching document: all words in a row, all words in a
 with the last one a prefix, and any word with typos allowed. Their scores are added and
 the best documents of each request are ranked.
 
-A request's words are reduced to distinct terms before any term table is read; token
-rows are joined on their terms; only sums per request and document are shuffled
-afterwards.
+A request's words are reduced to distinct terms before any term table is read; postings
+are joined on their terms, and documents that cannot reach a request's list are left out by
+upper bounds before frequent terms are looked up.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.fixed import MATCH_BOOST, MAX_EXPANSIONS, MAX_SIZE, PHRASE_BOOST, PREFIX_BOOST
+from shelfmark.fixed import BM25_K1, MATCH_BOOST, MAX_SIZE, MIN_SIZE, PHRASE_BOOST, PREFIX_BOOST
 from shelfmark.functions.scoring import idf, saturation
 from shelfmark.functions.text import TOKEN, sanitize_query
 from shelfmark.operators.index import SearchIndex, bucket_of
@@ -25,11 +25,14 @@ from shelfmark.session import settled
 
 STRATEGIES = ("combined", "match")
 
+# A request's rarest terms are scored first until they have so many postings for each place of its list.
+SEEDS = 8
+
 
 def prefix_terms(
-    prefixes: DataFrame, terms: DataFrame, max_expansions: int | None = MAX_EXPANSIONS
+    prefixes: DataFrame, terms: DataFrame, max_expansions: int | None = None
 ) -> DataFrame:
-    """(prefix, term, df): terms starting with a prefix, the first ``max_expansions`` in term order.
+    """(prefix, term, df): terms starting with a prefix; with ``max_expansions`` the first in term order.
 
     A term is cut to each length that some prefix has, and joined on equality.
     """
@@ -51,36 +54,82 @@ def prefix_terms(
 
 
 def match_weights(
-    words: DataFrame, index: SearchIndex, max_expansions: int | None = MAX_EXPANSIONS
+    words: DataFrame, index: SearchIndex, max_expansions: int | None = None
 ) -> DataFrame:
-    """(query_id, term, w): what one full occurrence of ``term`` adds to the score.
+    """(query_id, term, df, w): what one full occurrence of ``term`` adds to the score.
 
     All expansions of a searched term share its rarest-case weight: the idf of the
     largest document frequency among them. A word asked for twice counts twice.
     """
-    expanded = fuzzy_terms(words, index.terms, max_expansions)
-    widest = Window.partitionBy("qterm")
+    expanded = settled(fuzzy_terms(words, index.terms, max_expansions))
     n_docs = index.totals.select("n_docs").scalar()
-    scored = expanded.withColumn("_df", F.max("df").over(widest)).select(
-        "qterm", "term", (F.col("weight") * idf(n_docs, F.col("_df"))).alias("_w")
+    widest = expanded.groupBy("qterm").agg(F.max("df").alias("_df"))
+    scored = expanded.join(widest, "qterm").select(
+        "qterm", "term", "df", (F.col("weight") * idf(n_docs, F.col("_df"))).alias("_w")
     )
     asked = words.groupBy("query_id", "qterm").agg(F.count(F.lit(1)).alias("_times"))
-    return asked.join(scored, "qterm").groupBy("query_id", "term").agg(
+    return asked.join(scored, "qterm").groupBy("query_id", "term", "df").agg(
         F.sum(F.col("_w") * F.col("_times")).alias("w")
     )
 
 
 def match_scores(weights: DataFrame, index: SearchIndex, boost: float = MATCH_BOOST) -> DataFrame:
     """(query_id, doc_id, score) per request, document and matched term; to be summed."""
-    searched = weights.select("term").distinct()
-    counted = _tokens_of(index, searched).groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    found = _postings_of(index, weights.select("term").distinct())
     average = index.totals.select("avg_len").scalar()
     part = saturation(F.col("tf"), F.col("doc_len"), average)
-    return weights.join(counted, "term").select(
+    return weights.join(found, "term").select(
         "query_id", "doc_id", (F.lit(boost) * F.col("w") * part).alias("score")
     )
 
 
+def best_scores(
+    weights: DataFrame, others: DataFrame, sizes: DataFrame, index: SearchIndex, boost: float = MATCH_BOOST
+) -> DataFrame:
+    """(query_id, doc_id, score), summed, for every document that can be among the ``size`` best of its request.
+
+    ``weights`` are the words' terms, ``others`` (query_id, doc_id, score) what other clauses add, ``sizes``
+    (query_id, size). A term adds at most its weight times ``BM25_K1 + 1``. First the documents of each request's
+    rarest terms are scored, enough of them to fill its list several times over; the score in its last place is one that every hit
+    reaches. Terms that together stay below it cannot bring a document in by themselves, so documents are found
+    by the other terms alone, and the frequent terms are looked up for those documents only. The result is that of
+    scoring everything; stop words do not multiply requests by documents.
+    """
+    most = F.lit(boost * (BM25_K1 + 1)) * F.col("w")
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    by_weight = Window.partitionBy("query_id").orderBy("_most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    planned = settled(
+        weights.withColumn("_most", most)
+        .withColumn("_before", F.coalesce(F.sum("df").over(by_rarity), F.lit(0)))
+        .withColumn("_upto", F.sum("_most").over(by_weight))
+        .join(sizes, "query_id")
+    )
+    rare = planned.where(F.col("_before") < SEEDS * F.col("size")).select("query_id", "term", "w")
+    seeds = _summed(match_scores(rare, index, boost).unionByName(others))
+    # A partial score of the last place, a little lower for rounding; without a full list none.
+    reached = (
+        _top(seeds, [F.desc("score")], "_place").join(sizes, "query_id").where("_place = size")
+        .select("query_id", (F.col("score") - 1e-4).alias("_reach"))
+    )
+    judged = settled(planned.join(reached, "query_id", "left").withColumn("_weak", F.coalesce(F.col("_upto") < F.col("_reach"), F.lit(False))))
+    strong = judged.where("NOT _weak").select("query_id", "term", "w")
+    scores = settled(_summed(match_scores(strong, index, boost).unionByName(others)))
+    weak = judged.where("_weak")
+    rest = weak.groupBy("query_id").agg(F.max("_upto").alias("_rest"), F.first("_reach").alias("_reach"))
+    near = scores.join(rest, "query_id", "left").where("_reach IS NULL OR score + _rest >= _reach").select("query_id", "doc_id", "score")
+    asked = near.select("query_id", "doc_id").join(weak.select("query_id", "term", "w"), "query_id")
+    found = _postings_of(index, weak.select("term").distinct()).select("term", "doc_id", "doc_len", "tf")
+    average = index.totals.select("avg_len").scalar()
+    added = asked.join(found, ["term", "doc_id"]).select(
+        "query_id", "doc_id", (F.lit(boost) * F.col("w") * saturation(F.col("tf"), F.col("doc_len"), average)).alias("score")
+    )
+    return _summed(near.unionByName(added))
+
+
+def _summed(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def phrase_slots(words: DataFrame, index: SearchIndex, boost: float = PHRASE_BOOST) -> DataFrame:
     """(query_id, boost, n, qpos, term, df): the one term allowed at each position."""
     known = index.terms.withColumnRenamed("term", "qterm")
@@ -92,7 +141,7 @@ def phrase_slots(words: DataFrame, index: SearchIndex, boost: float = PHRASE_BOO
 def prefix_slots(
     words: DataFrame,
     index: SearchIndex,
-    max_expansions: int | None = MAX_EXPANSIONS,
+    max_expansions: int | None = None,
     boost: float = PREFIX_BOOST,
 ) -> DataFrame:
     """As ``phrase_slots``, with every expansion allowed at the last position."""
@@ -108,45 +157,30 @@ def prefix_slots(
 def phrase_matches(slots: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, boost, doc_id, doc_len, freq, idf_sum): documents with all positions in a row.
 
-    Only occurrences of the request's rarest position are candidates. Each carries the
-    request's other positions along and looks them up by document, position and term.
+    Documents of the request's rarest position are the candidates. The other positions' terms are looked up
+    for those documents; each gives where the phrase would begin, and the begins common to all positions are
+    the occurrences.
     """
     n_docs = index.totals.select("n_docs").scalar()
-    positions = slots.groupBy("query_id", "boost", "n", "qpos").agg(
-        F.sum("df").alias("_df"),
-        F.sum(idf(n_docs, F.col("df"))).alias("_idf"),
-        F.collect_set("term").alias("_terms"),
-    )
-    plans = positions.groupBy("query_id", "boost", "n").agg(
+    keys = ["query_id", "boost", "n"]
+    positions = slots.groupBy(*keys, "qpos").agg(F.sum("df").alias("_df"), F.sum(idf(n_docs, F.col("df"))).alias("_idf"))
+    plans = positions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_found"),
         F.sum("_idf").alias("idf_sum"),
-        F.min(F.struct("_df", "qpos", "_terms")).alias("_rarest"),
-        F.collect_list(F.struct("qpos", "_terms")).alias("_slots"),
+        F.min(F.struct("_df", "qpos")).alias("_rarest"),
     ).where(F.col("_found") == F.col("n"))
-    anchors = plans.select(
-        "query_id", "boost", "n", "idf_sum", F.col("_rarest.qpos").alias("_at"),
-        F.filter("_slots", lambda s: s["qpos"] != F.col("_rarest.qpos")).alias("_rest"),
-        F.explode("_rarest._terms").alias("term"),
-    ).where("term >= ''").withColumn("bucket", bucket_of(F.col("term")))
-    keys = ["query_id", "boost", "doc_id", "doc_len", "idf_sum", "_start"]
-    hits = (
-        anchors.join(index.tokens, ["bucket", "term"])
-        .withColumn("_start", F.col("pos") - F.col("_at"))
-        .where("_start >= 0 AND _start + n <= doc_len")
-        .select(*keys, "n", "_rest")
-    )
-    wanted = hits.select(*keys, "n", F.explode_outer("_rest").alias("_slot")).select(
-        *keys, "n", (F.col("_start") + F.col("_slot.qpos")).alias("pos"), F.explode_outer("_slot._terms").alias("term")
-    )
-    others = slots.where("n > 1").select("term").distinct()
-    seen = _tokens_of(index, others).select("term", "doc_id", "pos", F.lit(1).alias("_seen"))
-    complete = (
-        wanted.join(seen, ["doc_id", "pos", "term"], "left")
-        .groupBy(*keys, "n")
-        .agg(F.count("_seen").alias("_found"))
-        .where("_found = n - 1")
-    )
-    return complete.groupBy("query_id", "boost", "doc_id", "doc_len", "idf_sum").agg(
+    chosen = settled(slots.join(plans.select(*keys, "idf_sum", F.col("_rarest.qpos").alias("_at")), keys))
+    found = _postings_of(index, chosen.select("term").distinct()).select("term", "doc_id", "doc_len", "positions")
+    columns = [*keys, "idf_sum", "qpos", "doc_id", "doc_len"]
+    first = chosen.where("qpos = _at").join(found, "term").select(*columns, "positions")
+    others = chosen.where("qpos <> _at").join(first.select(*keys, "doc_id").distinct(), keys)
+    more = others.join(found, ["term", "doc_id"]).select(*columns, "positions")
+    begins = first.unionByName(more).select(
+        *columns, F.explode(F.transform("positions", lambda p: p - F.col("qpos"))).alias("_start")
+    ).where("_start >= 0 AND _start + n <= doc_len")
+    # A position may be held by several terms, a place by one of them.
+    rows = begins.groupBy(*keys, "idf_sum", "doc_id", "doc_len", "_start").agg(F.count(F.lit(1)).alias("_hits"))
+    return rows.where("_hits = n").groupBy("query_id", "boost", "doc_id", "doc_len", "idf_sum").agg(
         F.count(F.lit(1)).alias("freq")
     )
 
@@ -162,13 +196,14 @@ def search(
     index: SearchIndex,
     documents: DataFrame,
     strategy: str = "combined",
-    max_expansions: int | None = MAX_EXPANSIONS,
+    max_expansions: int | None = None,
     pattern: str = TOKEN,
     unicode_queries: bool = False,
+    stale: bool = False,
 ) -> DataFrame:
     """(query_id, rank, doc_id, score, ...documents' other columns) for valid requests.
 
-    ``documents`` has doc_id and name. ``strategy`` is ``combined`` (three clauses, the
+    ``documents`` has doc_id and name; ``stale`` says that some indexed documents may be missing there. ``strategy`` is ``combined`` (three clauses, the
     text sanitised) or ``match`` (typo-tolerant words only, the text as given).
     """
     if strategy not in STRATEGIES:
@@ -176,11 +211,17 @@ def search(
     valid = valid_requests(requests)
     text = sanitize_query("query", unicode_queries) if strategy == "combined" else F.col("query")
     words = settled(query_tokens(valid.select("query_id", text.alias("text")), pattern))
-    scores = match_scores(settled(match_weights(words, index, max_expansions)), index)
+    weights = settled(match_weights(words, index, max_expansions))
     if strategy == "combined":
         slots = settled(phrase_slots(words, index).unionByName(prefix_slots(words, index, max_expansions)))
-        scores = scores.unionByName(phrase_scores(phrase_matches(slots, index), index))
-    return rank_hits(scores, valid, documents)
+        others = phrase_scores(phrase_matches(slots, index), index)
+    else:
+        others = weights.select("query_id", F.lit(None).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")).where("false")
+    # A document that went since the index was built must not take a place.
+    there = documents.select("doc_id")
+    present = SearchIndex(index.postings.join(there, "doc_id", "left_semi"), index.terms, index.totals, index.buckets) if stale else index
+    others = settled(others.join(there, "doc_id", "left_semi") if stale else others)
+    return rank_hits(best_scores(weights, others, valid.select("query_id", "size"), present), valid, documents)
 
 
 def rank_hits(scores: DataFrame, requests: DataFrame, documents: DataFrame) -> DataFrame:
@@ -191,9 +232,10 @@ def rank_hits(scores: DataFrame, requests: DataFrame, documents: DataFrame) -> D
     many tie on it, then get their names and are ranked. Both rankings are cut before
     the shuffle, so the ties of one request are never brought together.
     """
+    allowed = F.col("size").between(MIN_SIZE, MAX_SIZE)
+    sizes = requests.select("query_id", F.when(allowed, F.col("size")).otherwise(F.raise_error(F.lit("a size is out of range"))).alias("size"))
     # Read twice below, so the sums are written rather than added up twice.
     totals = settled(scores.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")))
-    sizes = requests.select("query_id", "size")
     last = _top(totals, [F.desc("score")], "_place").join(sizes, "query_id").where("_place <= size").groupBy(
         "query_id", "size"
     ).agg(F.min("score").alias("_last"))
@@ -216,14 +258,14 @@ def _top(rows: DataFrame, order: list[Column], place: str) -> DataFrame:
     return rows.withColumn(place, F.row_number().over(window)).where(F.col(place) <= MAX_SIZE)
 
 
-def _tokens_of(index: SearchIndex, searched: DataFrame) -> DataFrame:
-    """Token rows of the searched terms.
+def _postings_of(index: SearchIndex, searched: DataFrame) -> DataFrame:
+    """Postings of the searched terms.
 
     Only the folders of their buckets are opened: the planner prunes partitions by a
     joined table if that is filtered, and a comparison that all terms pass will do.
     """
-    keys = searched.where("term >= ''").withColumn("bucket", bucket_of(F.col("term")))
-    return index.tokens.join(keys, ["bucket", "term"], "left_semi")
+    keys = searched.where("term >= ''").withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    return index.postings.join(keys, ["bucket", "term"], "left_semi")
 
 
 def _length_class(term: Column) -> Column:

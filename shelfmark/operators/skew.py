@@ -76,12 +76,16 @@ def drop_known(facts: DataFrame, keys: DataFrame, key: str, limit: int = BROADCA
 
 
 def latest(df: DataFrame, key: str, order: Column | str) -> DataFrame:
-    """One row per key, the one with the highest ``order``, combined before the shuffle."""
+    """One row per key, the one with the highest ``order``, combined before the shuffle.
+
+    A null order comes before all others, so a key of which no row has one keeps a row. Rows are
+    structs, which Spark aggregates after a sort within each task, before the shuffle and after it.
+    """
     rest = [c for c in df.columns if c != key]
     order = F.col(order) if isinstance(order, str) else order
     return (
         df.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), order).alias("_row"))
+        .agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order)).alias("_row"))
         .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
         .select(*df.columns)
     )

@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.fixed import MAX_EXPANSIONS
 from shelfmark.functions.edits import allowed_edits, drop_letters, edit_count, plain_distance, segment
 from shelfmark.session import spread
 
@@ -65,12 +64,12 @@ def term_keys(terms: DataFrame, term: str = "term") -> DataFrame:
 
 
 def fuzzy_terms(
-    words: DataFrame, terms: DataFrame, max_expansions: int | None = MAX_EXPANSIONS
+    words: DataFrame, terms: DataFrame, max_expansions: int | None = None
 ) -> DataFrame:
     """(qterm, term, df, edits, weight) for every term within the allowed edits of ``qterm``.
 
-    Each searched term keeps its ``max_expansions`` closest terms, weight first, then
-    term order; None keeps all.
+    With ``max_expansions`` each searched term keeps so many of the closest terms, weight first,
+    then term order.
     """
     wanted = words.select("qterm").distinct()
     # Few bytes make many keys, so the terms are spread before they are expanded.

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES
+from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES, REPORT_TITLES
 from shelfmark.operators import quality
-from shelfmark.operators.documents import build_documents, write_documents
+from shelfmark.operators.documents import build_documents, of_class, write_documents
 from shelfmark.operators.index import SearchIndex, save_index
 from shelfmark.operators.ingest import (
     judge_items,
@@ -23,7 +24,7 @@ from shelfmark.operators.ingest import (
 from shelfmark.operators.search import search
 from shelfmark.operators.skew import latest
 from shelfmark.session import written
-from shelfmark.sources.files import RawTable, read_items, read_measures, read_reference
+from shelfmark.sources.files import READ_ORDER, RawTable, read_items, read_measures, read_reference
 
 FILES = {"items": "food.csv", "measures": "food_nutrient.csv", "reference": "nutrient.csv"}
 
@@ -48,12 +49,14 @@ class RawCatalogue:
     reference: RawTable
 
 
-def read_catalogue(spark: SparkSession, folder: str, multi_line: bool = True) -> RawCatalogue:
+def read_catalogue(
+    spark: SparkSession, folder: str, multi_line: bool = True, ordered: bool = False
+) -> RawCatalogue:
     at = {name: f"{folder.rstrip('/')}/{file}" for name, file in FILES.items()}
     return RawCatalogue(
-        read_items(spark, at["items"], multi_line),
-        read_measures(spark, at["measures"], multi_line),
-        read_reference(spark, at["reference"], multi_line),
+        read_items(spark, at["items"], multi_line, ordered),
+        read_measures(spark, at["measures"], multi_line, ordered),
+        read_reference(spark, at["reference"], multi_line, ordered),
     )
 
 
@@ -61,9 +64,9 @@ def load_catalogue(spark: SparkSession, folder: str, target: str, multi_line: bo
     """Read, check, deduplicate and write the tables, then the documents and their search index.
 
     Everything below ``target`` is replaced, so running it again is a reset and rebuild.
-    Of rows with the same key the last one read is kept.
+    Of rows with the same key the last one read is kept: the last of the last file by name.
     """
-    raw = read_catalogue(spark, folder, multi_line)
+    raw = read_catalogue(spark, folder, multi_line, ordered=True)
     reference = _one_per_key(load_reference(raw.reference.rows), "measure_id")
     items = _one_per_key(load_items(raw.items.rows), "item_id")
     reference = written(reference, f"{target}/reference")
@@ -71,7 +74,8 @@ def load_catalogue(spark: SparkSession, folder: str, target: str, multi_line: bo
     measures = written(
         _one_per_key(load_measures(raw.measures.rows, items), "row_id"), f"{target}/measures"
     )
-    write_documents(build_documents(items, measures), f"{target}/documents")
+    # Loaded classes are trimmed, so the plain comparison is right and reaches the scan.
+    write_documents(build_documents(items, measures, trim_class=False), f"{target}/documents")
     documents = spark.read.parquet(f"{target}/documents")
     index = save_index(documents, "item_id", "name", f"{target}/index")
     return Catalogue(reference, items, measures, documents, index)
@@ -88,38 +92,38 @@ def funnel(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFra
     return load_funnel(judge_measures(raw.measures.rows, load_items(raw.items.rows)))
 
 
-def quality_checks(
-    spark: SparkSession, folder: str, multi_line: bool = True, max_rows: int | None = None
-) -> DataFrame:
-    """All checks over the three files; a missing file is an issue of its source.
+def quality_checks(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+    """All checks over the three files; a missing or unreadable file is an issue of its source.
 
-    ``max_rows`` stops the scan of items and measures before that row, for a quick look;
-    by default everything is read.
+    The checks of a source are computed here, a handful of rows each, as only reading a file shows
+    whether it can be read.
     """
     raw = read_catalogue(spark, folder, multi_line)
     item_source, measure_source, reference_source = quality.SOURCES
 
-    def scanned(table: RawTable) -> DataFrame:
-        return table.rows.limit(max_rows - 1) if max_rows else table.rows
-
     parts = [
-        (raw.items, item_source, lambda t: quality.item_checks(scanned(t))),
-        (raw.measures, measure_source, lambda t: quality.measure_checks(scanned(t))),
+        (raw.items, item_source, lambda t: quality.item_checks(t.rows)),
+        (raw.measures, measure_source, lambda t: quality.measure_checks(t.rows)),
         (raw.reference, reference_source, lambda t: quality.reference_checks(t.rows, t.missing_columns)),
     ]
-    checks = [
-        build(table) if table.found
-        else quality.unreadable_source(spark, source, f"File not found: {table.path}")
-        for table, source, build in parts
-    ]
+    checks = [_checked(spark, table, source, build) for table, source, build in parts]
     return checks[0].unionByName(checks[1]).unionByName(checks[2])
 
 
+def _checked(spark: SparkSession, table: RawTable, source: str, build) -> DataFrame:
+    if not table.found:
+        return quality.unreadable_source(spark, source, f"File not found: {table.path}")
+    try:
+        checks = build(table)
+        return spark.createDataFrame(checks.collect(), checks.schema)
+    except PySparkException as error:
+        return quality.unreadable_source(spark, source, f"Error reading {source} CSV: {error}")
+
+
 def quality_report(checks: DataFrame) -> str:
     """The report as text. ``checks`` has a row per check, so it is small."""
     lines = quality.report_lines(checks).orderBy("position").collect()
     summary = quality.summary_text(checks).first()
-    titles = dict(zip(quality.SOURCES, ("Food issues:", "Food nutrient issues:", "Nutrient issues:")))
     text = [
         "=== Data cleaning report ===",
         "",
@@ -129,7 +133,7 @@ def quality_report(checks: DataFrame) -> str:
         "",
         f"Summary: {summary['summary']}",
     ]
-    for source, title in titles.items():
+    for source, title in REPORT_TITLES.items():
         own = [f"  - {row['line']}" for row in lines if row["source"] == source]
         text += ["", title, *(own or ["  (none)"])]
     return "\n".join(text)
@@ -142,15 +146,18 @@ def write_quality_report(checks: DataFrame, path: str) -> str:
     return text
 
 
-def table_counts(items: DataFrame, measures: DataFrame, item_class: str = INDEXED_CLASS) -> DataFrame:
+def table_counts(
+    items: DataFrame, measures: DataFrame, item_class: str = INDEXED_CLASS, trim_class: bool = True
+) -> DataFrame:
     """One row: items, items of the class, measures."""
     n_measures = measures.agg(F.count(F.lit(1)).alias("n")).scalar()
     return items.agg(
         F.count(F.lit(1)).alias("items"),
-        F.count_if(F.col("item_class") == item_class).alias("class_items"),
+        F.count_if(of_class("item_class", item_class, trim_class)).alias("class_items"),
     ).select("items", "class_items", n_measures.alias("measures"))
 
 
 def _one_per_key(table: DataFrame, key: str) -> DataFrame:
-    rest = [c for c in table.columns if c != key]
-    return latest(table.withColumn("_seq", F.monotonically_increasing_id()), key, "_seq").select(key, *rest)
+    """``table`` with the last row read of each key."""
+    rest = [c for c in table.columns if c not in (key, READ_ORDER)]
+    return latest(table, key, READ_ORDER).select(key, *rest)

@@ -296,8 +296,7 @@ _FUZZY = f"""vocab AS (SELECT term, df, length(term) AS tl, {_one_byte('term')}
     fuzzy AS (SELECT qterm, term, df, damerau_levenshtein(qb, tb) AS edits, least(ql, tl) AS shorter
         FROM asked JOIN vocab ON tl BETWEEN ql - k AND ql + k WHERE damerau_levenshtein(qb, tb) <= k),
     expanded AS (SELECT qterm, term, df, 1.0 - CAST(edits AS DOUBLE) / shorter AS weight FROM fuzzy),
-    capped AS (SELECT *, max(df) OVER (PARTITION BY qterm) AS max_df FROM (
-        SELECT *, row_number() OVER (PARTITION BY qterm ORDER BY weight DESC, term) AS r FROM expanded) WHERE r <= 50)"""
+    weighted AS (SELECT *, max(df) OVER (PARTITION BY qterm) AS max_df FROM expanded)"""
 ORACLES["fuzzy_terms"] = f"""WITH {_tokens(_CORPUS)}, {_query_words(_PASSAGES, _sanitize('query'))}, {_FUZZY}
 SELECT qterm, term, CAST(edits AS INTEGER) AS edits FROM fuzzy"""
 
@@ -312,7 +311,7 @@ def _saturation(freq: str) -> str:
 
 _MATCH = f"""match_scores AS (
     SELECT query_id, doc_id, weight * {_idf('max_df')} * {_saturation('tf')} AS score
-    FROM qt JOIN capped USING (qterm) JOIN tf USING (term), totals)"""
+    FROM qt JOIN weighted USING (qterm) JOIN tf USING (term), totals)"""
 
 
 def _phrases(name: str, slots: str, boost: int) -> str:
@@ -330,8 +329,7 @@ _PHRASE = _phrases(
     "phrase", "SELECT query_id, n, qpos, term, df FROM qt JOIN terms ON term = qterm", 3
 )
 _PREFIX = "heads AS (SELECT DISTINCT qterm FROM qt WHERE qpos = n - 1), prefixed AS (" + """
-        SELECT * FROM (SELECT qterm, term, df, row_number() OVER (PARTITION BY qterm ORDER BY term) AS r
-            FROM heads JOIN terms ON starts_with(term, qterm)) WHERE r <= 50), """ + _phrases(
+        SELECT qterm, term, df FROM heads JOIN terms ON starts_with(term, qterm)), """ + _phrases(
     "prefix",
     """SELECT query_id, n, qpos, term, df FROM qt JOIN terms ON term = qterm WHERE qpos < n - 1
         UNION ALL SELECT query_id, n, qpos, term, df FROM qt JOIN prefixed USING (qterm) WHERE qpos = n - 1""",

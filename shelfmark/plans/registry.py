@@ -16,7 +16,7 @@ from shelfmark.operators import search as text_search
 from shelfmark.operators import typos
 from shelfmark.plans import bindings as b
 from shelfmark.plans.catalogue import table_counts
-from shelfmark.session import settled
+from shelfmark.session import scratch_dir, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,12 +121,12 @@ def measure_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_items(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.indexable(b.items(spark, sf), b.CLASS)
+    return documents.indexable(b.items(spark, sf), b.CLASS, trim_class=False)
 
 
 @query
 def paged_items(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.page(documents.indexable(b.items(spark, sf), b.CLASS), "item_id", offset=20, limit=20)
+    return documents.page(documents.indexable(b.items(spark, sf), b.CLASS, trim_class=False), "item_id", offset=20, limit=20)
 
 
 @query
@@ -265,7 +265,7 @@ def pk_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def null_violations(spark: SparkSession, sf: str) -> DataFrame:
-    typed = _judged_measures(spark, sf)
+    typed = ingest.typed_measures(b.raw_measures(spark, sf))
     return constraints.null_counts(typed, ["row_id", "item_id", "measure_id", "amount"])
 
 
@@ -313,8 +313,11 @@ def docs_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def docs_rebuild(spark: SparkSession, sf: str) -> DataFrame:
-    """As ``docs_upsert`` from an emptied target."""
-    return documents.explode_documents(settled(_image_documents(spark, sf, "new")))
+    """The newer documents written over a target that held the older ones, and read back."""
+    target = scratch_dir(spark)
+    documents.write_documents(_image_documents(spark, sf, "old"), target)
+    documents.write_documents(_image_documents(spark, sf, "new"), target)
+    return documents.explode_documents(spark.read.parquet(target))
 
 
 # --- text and search ----------------------------------------------------------------
@@ -334,14 +337,15 @@ def search_requests(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
     words = indexes.analysed(b.corpus(spark, sf), "doc_id", "name")
-    return indexes.token_rows(words).groupBy("doc_id", "doc_len", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+    return indexes.posting_rows(words).select(
+        "doc_id", "doc_len", "term", F.col("tf").cast("bigint").alias("tf"),
+        F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"),
     )
 
 
 @query
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    index = indexes.build_index(b.corpus(spark, sf), "doc_id", "name")
+    index = indexes.scratch_index(b.corpus(spark, sf), "doc_id", "name")
     n_docs = index.totals.select("n_docs").scalar()
     return indexes.term_statistics(index).withColumn("n_docs", n_docs)
 
@@ -355,9 +359,9 @@ def _words(requests: DataFrame, sanitize: bool = True) -> DataFrame:
 @query
 def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of the documents close to a word of the benchmark texts, all of them."""
-    index = indexes.build_index(b.corpus(spark, sf), "doc_id", "name")
+    index = indexes.scratch_index(b.corpus(spark, sf), "doc_id", "name")
     words = settled(_words(b.passages(spark, sf)).select("qterm").distinct())
-    found = typos.fuzzy_terms(words, index.terms, max_expansions=None)
+    found = typos.fuzzy_terms(words, index.terms)
     return found.select("qterm", "term", "edits")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,19 +37,45 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), F.xxhash64(key))
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    The machine's own temporary folder is used only where the session names
-    none, as in tests.
+    Where the session names none, under the user's folder of the default file system if that is
+    shared; this machine's temporary folder serves only a session that runs in one process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _default_root(spark)
     return f"{root.rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
 
 
+def _default_root(spark: SparkSession) -> str:
+    jvm = spark._jvm.org.apache.hadoop.fs
+    system = jvm.FileSystem.get(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file":
+        return f"{system.getHomeDirectory().toString()}/shelfmark-scratch"
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="shelfmark-"))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder that goes when the block ends; what is read from it must be used up by then."""
+    path = scratch_dir(spark)
+    try:
+        yield path
+    finally:
+        drop_folder(spark, path)
+
+
 def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and return the table read back, so later stages start from files."""
     writer = df.write.mode("overwrite")

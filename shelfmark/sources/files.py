@@ -6,13 +6,17 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from shelfmark.fixed import ITEM_COLUMNS, MEASURE_COLUMNS, REFERENCE_COLUMNS
 
 
+# Where a row lay in its file: comparable, larger for rows read later.
+READ_ORDER = "_read"
+
+
 @dataclass(frozen=True)
 class RawTable:
     """``rows`` has every asked-for column as text, null where the file lacks it."""
@@ -24,7 +28,7 @@ class RawTable:
 
 
 def read_raw(
-    spark: SparkSession, path: str, columns: Mapping[str, str], multi_line: bool = False
+    spark: SparkSession, path: str, columns: Mapping[str, str], multi_line: bool = False, ordered: bool = False
 ) -> RawTable:
     """Read ``path`` (a file or a folder) by header name; ``columns`` maps header to column name.
 
@@ -32,7 +36,8 @@ def read_raw(
     blank lines are passed over, nothing is inferred. ``multi_line`` allows line breaks
     inside quotes, at the price that a file is then one split. All files of a folder
     must have the same header; a different one fails the read. A missing path gives an
-    empty table with ``found`` false.
+    empty table with ``found`` false. ``ordered`` adds ``READ_ORDER``: file, split and place in
+    the split, taken on the scan, so no later shuffle changes it.
     """
     try:
         table = (
@@ -50,22 +55,29 @@ def read_raw(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         schema = StructType([StructField(c, StringType()) for c in columns.values()])
-        return RawTable(spark.createDataFrame([], schema), path, False, ())
+        empty = spark.createDataFrame([], schema)
+        if ordered:
+            empty = empty.withColumn(READ_ORDER, _place(F.lit(""), F.lit(0).cast("long")))
+        return RawTable(empty, path, False, ())
     present = set(table.columns)
     rows = table.select(*[
         (F.col(f"`{header}`") if header in present else F.lit(None).cast("string")).alias(name)
         for header, name in columns.items()
-    ])
+    ], *([_place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias(READ_ORDER)] if ordered else []))
     return RawTable(rows, path, True, tuple(h for h in columns if h not in present))
 
 
-def read_reference(spark: SparkSession, path: str, multi_line: bool = False) -> RawTable:
-    return read_raw(spark, path, REFERENCE_COLUMNS, multi_line)
+def _place(file: Column, start: Column) -> Column:
+    return F.struct(file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_reference(spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = False) -> RawTable:
+    return read_raw(spark, path, REFERENCE_COLUMNS, multi_line, ordered)
 
 
-def read_items(spark: SparkSession, path: str, multi_line: bool = False) -> RawTable:
-    return read_raw(spark, path, ITEM_COLUMNS, multi_line)
+def read_items(spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = False) -> RawTable:
+    return read_raw(spark, path, ITEM_COLUMNS, multi_line, ordered)
 
 
-def read_measures(spark: SparkSession, path: str, multi_line: bool = False) -> RawTable:
-    return read_raw(spark, path, MEASURE_COLUMNS, multi_line)
+def read_measures(spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = False) -> RawTable:
+    return read_raw(spark, path, MEASURE_COLUMNS, multi_line, ordered)
