@@ -43,6 +43,9 @@ INVALID_SIZE_MESSAGE = "size must be between 1 and 100"
 # An event that failed is tried again this many times.
 MAX_RETRIES = 3
 
+# Seconds before a failed event is tried again.
+RETRY_INTERVAL = 10.0
+
 # Clause boosts and BM25 constants.
 PHRASE_BOOST = 3.0
 PREFIX_BOOST = 2.0

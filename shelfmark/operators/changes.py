@@ -164,6 +164,16 @@ def split_failures(failures: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
     return raised.withColumn("outcome", F.when(F.col("attempt") <= max_retries, "retry").otherwise("dead"))
 
 
+def settle_events(routed: DataFrame, failed: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """``routed`` events with ``outcome`` after a batch in which the items of ``failed`` (item_id, error) failed.
+
+    An event of another item is ``done``; one of a failed item is tried again or dead, on its own count of attempts.
+    """
+    marked = routed.join(failed.select("item_id", "error"), "item_id", "left")
+    bad = split_failures(marked.where("error IS NOT NULL"), max_retries)
+    return bad.unionByName(marked.where("error IS NULL").withColumn("outcome", F.lit("done")))
+
+
 def _images(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, _old, _new) for the keys whose rows differ; either image may be absent."""
     columns = [c for c in new.columns if c != key]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def _checked(spark: SparkSession, table: RawTable, source: str, build) -> DataFr
     try:
         checks = build(table)
         return spark.createDataFrame(checks.collect(), checks.schema)
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         return quality.unreadable_source(spark, source, f"Error reading {source} CSV: {error}")
 
 

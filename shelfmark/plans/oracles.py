@@ -390,6 +390,10 @@ ORACLES["parse_events"] = f'WITH {_EVENTS} SELECT seq, "table", op, item_id, rej
 ORACLES["route_events"] = f"WITH {_EVENTS} SELECT seq, item_id, action FROM routed"
 ORACLES["last_actions"] = f"WITH {_EVENTS} SELECT item_id, action FROM folded"
 
+ORACLES["event_outcomes"] = f"""WITH {_EVENTS} SELECT seq, item_id,
+    CAST(CASE WHEN item_id % 3 = 0 THEN seq % 5 + 1 ELSE seq % 5 END AS INTEGER) AS attempt,
+    CASE WHEN item_id % 3 <> 0 THEN 'done' WHEN seq % 5 + 1 <= 3 THEN 'retry' ELSE 'dead' END AS outcome FROM routed"""
+
 ORACLES["retry_split"] = """SELECT event_id AS seq, CAST(floor(value / 10) + 1 AS INTEGER) AS attempt,
     CASE WHEN floor(value / 10) + 1 <= 3 THEN 'retry' ELSE 'dead' END AS outcome FROM events"""
 
@@ -414,3 +418,9 @@ SELECT "table", op, item_id, '{{"table":"' || "table" || '","op":"' || op || '",
 ORACLES["apply_events"] = f"""WITH {_IMAGES}, {_image_docs('old')}, {_image_docs('new')}, {_EVENTS}
 SELECT * FROM old_docs WHERE item_id NOT IN (SELECT item_id FROM folded)
 UNION ALL SELECT * FROM new_docs WHERE item_id IN (SELECT item_id FROM folded WHERE action = 'refresh')"""
+
+ORACLES["search_after_events"] = f"""WITH {_IMAGES}, {_image_docs('old')}, {_image_docs('new')}, {_EVENTS}, {_search(
+    """docs AS (SELECT DISTINCT item_id AS doc_id, name FROM old_docs WHERE item_id NOT IN (SELECT item_id FROM folded)
+    UNION SELECT item_id, name FROM new_docs WHERE item_id IN (SELECT item_id FROM folded WHERE action = 'refresh'))""",
+    _TYPED_REQUESTS)}
+SELECT query_id, rank, doc_id, score, name FROM hits"""

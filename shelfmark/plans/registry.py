@@ -408,6 +408,23 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     return text_search.search(b.passages(spark, sf), index, docs).select("query_id", "rank", "doc_id", "score")
 
 
+@query
+def search_after_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names searched after the feed: the older documents are indexed, and the index follows the changes."""
+    images = b.images(spark, sf)
+    old = settled(_image_documents(spark, sf, "old"))
+    index = indexes.scratch_index(old.select(F.col("item_id").alias("doc_id"), "name"), "doc_id", "name")
+    actions = changes.last_actions(changes.route_events(changes.parse_events(b.feed(spark, sf))))
+    changed = settled(changes.document_changes(
+        actions, images["new_items"], images["new_measures"], item_class=b.CLASS, mapping=b.MAPPING,
+    ))
+    before = old.join(changed.select("item_id"), "item_id", "left_semi")
+    named = [df.select(F.col("item_id").alias("doc_id"), "name") for df in (before, changed.where("NOT deleted"))]
+    docs = settled(changes.apply_changes(old, changed).select(F.col("item_id").alias("doc_id"), "name"))
+    found = text_search.search(b.name_requests(spark, sf, b.TYPED_REQUESTS), indexes.updated(index, *named), docs)
+    return found.select("query_id", "rank", "doc_id", "score", "name")
+
+
 @query
 def shape_results(spark: SparkSession, sf: str) -> DataFrame:
     """Hits of typed part names among the documents, with their measures, a row per measure."""
@@ -448,6 +465,14 @@ def last_actions(spark: SparkSession, sf: str) -> DataFrame:
     return changes.last_actions(changes.route_events(changes.parse_events(b.feed(spark, sf))))
 
 
+@query
+def event_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every routed event after a batch in which the items whose id is divisible by three failed."""
+    routed = changes.route_events(changes.parse_events(b.feed(spark, sf))).withColumn("attempt", F.pmod("seq", F.lit(5)).cast("int"))
+    failed = routed.where("item_id % 3 = 0").select("item_id", F.lit("not reachable").alias("error")).distinct()
+    return changes.settle_events(routed, failed).select("seq", "item_id", "attempt", "outcome")
+
+
 @query
 def retry_split(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as one that failed, tried as often before as its value says."""

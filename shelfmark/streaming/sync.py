@@ -9,11 +9,15 @@ Layout below the target folder::
     base/                  documents of the last full build or compaction
     log/batch_id=N/        item_id, name, nutrients, deleted
     rejects/batch_id=N/    payloads that are not events, with the reason
-    retry/batch_id=N/      events whose batch failed, with attempt and outcome
+    retry/batch_id=N/      events whose item failed, with attempt, outcome and the time from which they are due
+
+An item that fails does not take its batch with it: the batch is halved by a hash of the item until
+the failing items are alone. If the tables cannot be read at all, every event of the batch waits.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,21 +27,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from shelfmark.fixed import MAX_RETRIES
+from shelfmark.fixed import MAX_RETRIES, RETRY_INTERVAL
 from shelfmark.operators.changes import (
     document_changes,
     last_actions,
     parse_events,
     route_events,
-    split_failures,
+    settle_events,
 )
 from shelfmark.operators.documents import write_documents
+from shelfmark.operators.index import SearchIndex, updated
 from shelfmark.operators.skew import latest
 from shelfmark.schemas import DOCUMENTS
+from shelfmark.session import settled
 
 LOG = StructType([*DOCUMENTS.fields, StructField("deleted", BooleanType())])
 REJECTS = "seq BIGINT, payload STRING, reject_reason STRING"
-RETRY = "seq BIGINT, payload STRING, attempt INT, error STRING, outcome STRING"
+RETRY = "seq BIGINT, payload STRING, attempt INT, error STRING, outcome STRING, due DOUBLE"
 
 Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 
@@ -50,13 +56,23 @@ class DocumentSync:
     tables: Tables
     options: dict = field(default_factory=dict)
     max_retries: int = MAX_RETRIES
+    retry_interval: float = RETRY_INTERVAL
+    clock: Callable[[], float] = time.time
 
     def rebuild(self, documents: DataFrame) -> None:
         """Start from a full build."""
         write_documents(documents, f"{self.target}/base")
 
     def start(self, feed: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-        """Follow the feed every ``interval``; without one, read what is there and stop."""
+        """Follow the feed every ``interval``; without one, read what is there and stop.
+
+        With an interval a timer beside the feed starts batches while it is quiet, so events that wait come due.
+        """
+        if interval:
+            ticks = feed.sparkSession.readStream.format("rate").load().where("value < 0")
+            feed = feed.select("seq", "payload").unionByName(
+                ticks.select(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("payload"))
+            )
         writer = feed.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
         return writer.trigger(**trigger).start()
@@ -64,31 +80,54 @@ class DocumentSync:
     def handle(self, events: DataFrame, batch_id: int) -> None:
         """One micro-batch: new events and those due again, against one reading of the tables."""
         spark = events.sparkSession
-        parsed = parse_events(events.select("seq", "payload"))
+        # Read once: rejects, changes and outcomes start from the parsed events.
+        parsed = settled(parse_events(events.select("seq", "payload")))
         parsed.where("reject_reason IS NOT NULL").select("seq", "payload", "reject_reason").write.mode(
             "overwrite"
         ).parquet(f"{self.target}/rejects/batch_id={batch_id}")
 
+        now = self.clock()
+        waiting = self._waiting(spark, batch_id)
         fresh = route_events(parsed).select("seq", "payload", "item_id", "action", F.lit(0).alias("attempt"))
-        due = self._due(spark, batch_id)
         # An event tried again is always a refresh: a deleted item is gone from the tables,
         # and an item that came back since must not be deleted by the older event.
-        again = route_events(parse_events(due)).select(
+        again = route_events(parse_events(waiting.where(F.col("due") <= now).select("seq", "payload", "attempt"))).select(
             "seq", "payload", "item_id", F.lit("refresh").alias("action"), "attempt"
         )
-        routed = fresh.unionByName(again)
+        routed = settled(fresh.unionByName(again))
+        log = f"{self.target}/log/batch_id={batch_id}"
+        spark.createDataFrame([], LOG).write.mode("overwrite").parquet(log)
+        failed = self._apply(spark, settled(last_actions(routed)), log)
+        outcomes = settle_events(routed, failed, self.max_retries).where("outcome <> 'done'")
+        later = outcomes.withColumn("due", F.lit(now + self.retry_interval)).select("seq", "payload", "attempt", "error", "outcome", "due")
+        kept = waiting.where(F.col("due") > now)
+        later.unionByName(kept).write.mode("overwrite").parquet(f"{self.target}/retry/batch_id={batch_id}")
+
+    def _apply(self, spark: SparkSession, actions: DataFrame, log: str) -> DataFrame:
+        """Writes the documents of ``actions`` to ``log``; (item_id, error) of the items that failed."""
+        failures = spark.createDataFrame([], "item_id BIGINT, error STRING")
+        if actions.isEmpty():
+            return failures
         try:
             items, measures = self.tables(spark)
-            changes = document_changes(last_actions(routed), items, measures, **self.options)
-            changes.select(*LOG.names).write.mode("overwrite").parquet(f"{self.target}/log/batch_id={batch_id}")
-            failed = spark.createDataFrame([], RETRY)
         except Exception as error:  # noqa: BLE001 - whatever failed, its events are kept for another try
-            failures = routed.select("seq", "payload", "attempt", F.lit(str(error)[:1000]).alias("error"))
-            failed = split_failures(failures, self.max_retries)
-            spark.createDataFrame([], LOG).write.mode("overwrite").parquet(f"{self.target}/log/batch_id={batch_id}")
-        failed.select("seq", "payload", "attempt", "error", "outcome").write.mode("overwrite").parquet(
-            f"{self.target}/retry/batch_id={batch_id}"
-        )
+            return actions.select("item_id", F.lit(str(error)).alias("error"))
+        parts = [(1, 0)]
+        while parts:
+            modulus, rest = parts.pop()
+            mine = actions.where(F.pmod(F.xxhash64("item_id"), F.lit(modulus)) == rest)
+            if modulus > 1 and mine.isEmpty():
+                continue
+            try:
+                changes = settled(document_changes(mine, items, measures, **self.options).select(*LOG.names))
+            except Exception as error:  # noqa: BLE001
+                if modulus >= 1 << 40 or len(mine.limit(2).collect()) == 1:
+                    failures = failures.union(mine.select("item_id", F.lit(str(error)).alias("error")))
+                else:
+                    parts += [(2 * modulus, rest), (2 * modulus, rest + modulus)]
+                continue
+            changes.write.mode("append").parquet(log)
+        return settled(failures)
 
     def retry_pending(self, spark: SparkSession, batch_id: int) -> None:
         """A micro-batch without new events, for events that wait while the feed is quiet."""
@@ -112,10 +151,18 @@ class DocumentSync:
         """Write the current documents to ``path``, to be the base of a fresh target."""
         write_documents(self.current(spark), path)
 
-    def _due(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Events the batch before this one left for another try."""
+    def index(self, spark: SparkSession, base: SearchIndex) -> SearchIndex:
+        """The search index of the current documents, from one of the base; only changed documents are split into words."""
+        log = _read(spark, f"{self.target}/log", StructType([*LOG.fields]).add("batch_id", LongType()))
+        last = settled(latest(log, "item_id", "batch_id"))
+        old = _read(spark, f"{self.target}/base", DOCUMENTS).join(last.select("item_id"), "item_id", "left_semi")
+        new = last.where("NOT deleted")
+        return updated(base, *[df.select(F.col("item_id").alias("doc_id"), "name") for df in (old, new)])
+
+    def _waiting(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Events the batch before this one left for another try, due or not; it took over those of earlier ones."""
         before = _read(spark, f"{self.target}/retry/batch_id={batch_id - 1}", spark.createDataFrame([], RETRY).schema)
-        return before.where("outcome = 'retry'").select("seq", "payload", "attempt")
+        return before.where("outcome = 'retry'")
 
 
 def _with_batch(spark: SparkSession, schema: str) -> StructType:

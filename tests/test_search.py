@@ -103,7 +103,7 @@ def test_prefix_limit_is_in_term_order(spark):
     docs = spark.createDataFrame([(i, f"ab{i:03d}") for i in range(80)], "doc_id BIGINT, name STRING")
     terms = indexes.build_index(docs, "doc_id", "name").terms
     prefixes = spark.createDataFrame([("ab",), ("ab07",), ("zz",)], "prefix STRING")
-    found = text_search.prefix_terms(prefixes, terms)
+    found = text_search.prefix_terms(prefixes, terms, 50)
     got = sorted(r.term for r in found.where("prefix = 'ab'").collect())
     assert got == [f"ab{i:03d}" for i in range(50)]
     assert found.where("prefix = 'ab07'").count() == 10
@@ -120,10 +120,10 @@ def test_sizes_up_to_a_hundred(spark):
 def test_saved_index_reads_only_its_terms(spark, docs, tmp_path, capsys):
     saved = indexes.save_index(docs, "doc_id", "name", str(tmp_path / "index"))
     loaded = indexes.load_index(spark, str(tmp_path / "index"))
-    assert loaded.tokens.count() == saved.tokens.count() == 26
+    assert [i.postings.agg(F.sum("tf")).first()[0] for i in (loaded, saved)] == [26, 26]
     assert run(spark, loaded, docs, "haddock raw")[0] == 1
     term = spark.createDataFrame([("cod",)], "term STRING")
-    text_search._tokens_of(loaded, term).explain()
+    text_search._postings_of(loaded, term).explain()
     assert "dynamicpruning" in capsys.readouterr().out
     # A plan over the documents gives the same matches as tables on disk.
     plain = indexes.build_index(docs, "doc_id", "name")
@@ -139,3 +139,33 @@ def test_many_requests_at_once_equal_one_by_one(spark, index, docs):
         got[r.query_id].append(r.doc_id)
     assert got == {i: run(spark, index, docs, q, 3) for i, q in enumerate(queries)}
     assert together.agg(F.max("rank")).first()[0] == 3
+
+
+def test_frequent_terms_do_not_multiply_requests_by_documents(spark):
+    """Every document holds the stop word; only those that can be ranked are scored."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("the the "), F.when(F.col("id") % 100 == 0, F.concat(F.lit("rare"), (F.col("id") % 500).cast("string"))).otherwise("other"), F.lit(" x"),
+    ).alias("name"))
+    index = indexes.scratch_index(docs, "doc_id", "name")
+    requests = spark.createDataFrame([(i, f"the rare{i * 100}", 3) for i in range(5)], REQUEST)
+    words = req.query_tokens(requests.select("query_id", F.col("query").alias("text")))
+    weights = text_search.match_weights(words, index)
+    none = spark.createDataFrame([], "query_id BIGINT, doc_id BIGINT, score DOUBLE")
+    best = text_search.best_scores(weights, none, requests.select("query_id", "size"), index)
+    whole = text_search.match_scores(weights, index).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    assert whole.count() == 5 * 3000 and best.count() <= 5 * 60
+    ranked = [sorted((r.query_id, r.rank, r.doc_id, r.score) for r in text_search.rank_hits(s, requests, docs).collect()) for s in (best, whole)]
+    assert ranked[0] == ranked[1] and len(ranked[0]) == 15
+
+
+def test_an_absent_document_takes_no_place(spark, docs, index):
+    left = docs.where("doc_id <> 3")
+    requests = spark.createDataFrame([(1, "milk whole", 1)], REQUEST)
+    assert [r.doc_id for r in text_search.search(requests, index, left, stale=True).collect()] == [11]
+
+
+def test_a_size_out_of_range_is_refused(spark, docs, index):
+    scores = spark.createDataFrame([(1, 3, 1.0)], "query_id BIGINT, doc_id BIGINT, score DOUBLE")
+    requests = spark.createDataFrame([(1, 101)], "query_id BIGINT, size INT")
+    with pytest.raises(Exception, match="out of range"):
+        text_search.rank_hits(scores, requests, docs).collect()

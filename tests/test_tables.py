@@ -100,17 +100,17 @@ def amounts(spark, entries):
 
 
 @pytest.mark.parametrize("entries, mapping, want", [
-    ([(1008, "200"), (1003, "10"), (2039, "5"), (1085, "3")], None, {"calories": 200, "protein": 10, "carbs": 5, "fat": 3}),
-    ([(1008, "200")], None, {"calories": 200}),
+    ([(1085, "4.5"), (1008, "61"), (2039, "7"), (1003, "3.25")], None, {"calories": 61, "protein": 3.25, "carbs": 7, "fat": 4.5}),
+    ([(2039, "88.1")], None, {"carbs": 88.1}),
     ([], None, {}),
-    ([(1008, "0")], None, {"calories": 0}),
-    ([(999, "7"), (1008, "1")], {999: "calories"}, {"calories": 7}),
-    ([(9999, "1")], None, {}),
-    ([(1008, "bad"), (1003, None), (2039, "[1]"), (1085, "{}")], None, {}),
-    ([(1008, "1")], {1008: "invalid_key"}, {}),
-    ([(1008, "1")], {}, {}),
-    ([(1008, "1")], {"1008": "calories"}, {}),
-    ([(1008, "1"), (1008, "2")], None, {"calories": 2}),
+    ([(1085, "0.0"), (1085, "-2")], None, {"fat": -2}),
+    ([(17, "6"), (1003, "5")], {17: "protein"}, {"protein": 6}),
+    ([(555, "12"), (None, "3")], None, {}),
+    ([(1008, "12 g"), (1003, None), (2039, "{1}"), (1085, " ")], None, {}),
+    ([(1003, "2")], {1003: "vitamins"}, {}),
+    ([(1003, "2")], {}, {}),
+    ([(1003, "2")], {"1003": "protein"}, {}),
+    ([(1003, "2"), (1003, "3"), (1003, "1")], None, {"protein": 1}),
 ])
 def test_mapping_cases(spark, entries, mapping, want):
     table = amounts(spark, entries)
