@@ -149,7 +149,7 @@ def _judged(rows: DataFrame, shared, verdict: str, part: int, parts: int) -> Dat
             flat, at = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
             a, b = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            hit = np.flatnonzero(listed(shared.value, a, b) & ((b.view(np.uint64) % np.uint64(parts)) == np.uint64(part)))
+            hit = np.flatnonzero(listed(shared.value, a, b) & (b % parts == part))
             best = batch.column("best").to_numpy(zero_copy_only=False).copy()
             names = batch.column("verdict").to_pylist()
             for r, place in zip(row[hit].tolist(), (hit - at[row[hit]]).tolist(), strict=True):
@@ -187,7 +187,7 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str
     for verdict, own in kinds.items():
         ab = own.select(hashes(F.concat("host", "path")).alias("h")).select("h.*")
         for part in range(parts):
-            mine = lambda df, p=part: df.where(F.expr(f"pmod(conv(hex(b), 16, 10), {parts}) = {p}")) if parts > 1 else df
+            mine = lambda df, p=part: df.where(F.pmod("b", F.lit(parts)) == p)
             shared = spark.sparkContext.broadcast(cascade(mine(ab), mine(universe)))
             out = _judged(out, shared, verdict, part, parts)
     rule = F.when(F.col("best") >= 0, F.element_at(keys(F.col("host"), F.col("path"), lengths), F.col("best") + 1))
