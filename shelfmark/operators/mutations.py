@@ -143,6 +143,46 @@ def assign_ids(base: DataFrame, batch: DataFrame, id_column: str, order: str) ->
     )
 
 
+def insert_measures(
+    base: DataFrame, batch: DataFrame, items: DataFrame, reference: DataFrame, id_column: str = "row_id", order: str = "seq"
+) -> DataFrame:
+    """``batch`` with ``status``, and an id for each row inserted without one.
+
+    A row is refused by the first of: ``null_key`` (no item, measure or order), ``unknown_item``,
+    ``unknown_measure``. One with an id is ``inserted`` or a ``conflict`` as in ``insert_status``; the
+    others take the ids after the highest of ``base`` and of those inserted, in ``order``.
+    """
+    marked = with_membership(batch, items, "item_id", "_item")
+    marked = with_membership(marked, reference, "measure_id", "_measure")
+    missing = F.col("item_id").isNull() | F.col("measure_id").isNull() | F.col(order).isNull()
+    reason = (
+        F.when(missing, "null_key").when(~F.col("_item"), "unknown_item").when(~F.col("_measure"), "unknown_measure")
+    )
+    judged = marked.select(*batch.columns, reason.alias("status"))
+    refused = judged.where("status IS NOT NULL")
+    good = judged.where("status IS NULL").drop("status")
+    supplied = insert_status(base, good.where(F.col(id_column).isNotNull()), id_column, order)
+    taken = base.select(id_column).unionByName(supplied.where("status = 'inserted'").select(id_column))
+    numbered = assign_ids(taken, good.where(F.col(id_column).isNull()).drop(id_column), id_column, order)
+    return refused.unionByName(supplied).unionByName(numbered.withColumn("status", F.lit("inserted")))
+
+
+def delete_reference(reference: DataFrame, keys: DataFrame, child: DataFrame, key: str, foreign_key: str):
+    """(reference rows left, (key, status) per distinct key asked for): a row still referred to stays.
+
+    The status is ``deleted``, ``restricted`` or ``not_found``.
+    """
+    asked = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    used = child.select(F.col(foreign_key).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn("_used", F.lit(True))
+    there = reference.select(key).distinct().withColumn("_there", F.lit(True))
+    status = (
+        F.when(F.col("_there").isNull(), "not_found").when(F.col("_used").isNotNull(), "restricted").otherwise("deleted")
+    )
+    statuses = asked.join(there, key, "left").join(used, key, "left").select(key, status.alias("status"))
+    gone = statuses.where("status = 'deleted'").select(key)
+    return reference.join(gone, key, "left_anti").select(*reference.columns), statuses
+
+
 def typed_item_changes(raw: DataFrame) -> DataFrame:
     """Item mutations with ``published`` given as text: typed, with ``reject_reason`` for a bad date."""
     given = clean_text("published") != ""

@@ -161,6 +161,27 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"))
 
 
+# One new measure per event: some without a key, some of unknown items or measures, some with an id of their own.
+NEW_MEASURES_BATCH = {
+    "row_id": "CASE WHEN value > 20 THEN event_id % 400 END",
+    "item_id": "CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'signup' THEN -1 - user_id ELSE user_id END",
+    "measure_id": "CAST(CASE WHEN value < 5 THEN 99 WHEN value < 8 THEN NULL ELSE event_id % 25 END AS INT)",
+    "amount": "value",
+    "seq": "event_id",
+}
+
+
+def measure_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return _derived(table(spark, sf, "events"), NEW_MEASURES_BATCH)
+
+
+# Every event tries to insert its user; some have no key, some no order.
+INSERTS = {
+    "item_id": "CASE WHEN event_type = 'error' THEN NULL ELSE user_id END",
+    "seq": "CASE WHEN event_type = 'signup' THEN NULL ELSE event_id END",
+}
+
+
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, query, size): every benchmark text as a request."""
     return table(spark, sf, "benchmark").select(

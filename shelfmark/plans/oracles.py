@@ -165,9 +165,28 @@ ORACLES["upsert_items"] = f"""WITH old_items AS ({b.OLD_ITEMS}), changed AS (
         FROM lineitem GROUP BY 1, 2) WHERE rn = 1)
 SELECT * FROM changed UNION ALL SELECT * FROM old_items WHERE item_id NOT IN (SELECT item_id FROM changed)"""
 
-ORACLES["insert_conflicts"] = f"""WITH old_items AS ({b.OLD_ITEMS}) SELECT user_id AS item_id, event_id AS seq,
-    CASE WHEN user_id NOT IN (SELECT item_id FROM old_items)
-        AND event_id = min(event_id) OVER (PARTITION BY user_id) THEN 'inserted' ELSE 'conflict' END AS status FROM events"""
+ORACLES["insert_conflicts"] = f"""WITH old_items AS ({b.OLD_ITEMS}), {_derived('new', b.INSERTS, 'events')}
+SELECT item_id, seq, CASE WHEN item_id IS NULL THEN 'null_key' WHEN seq IS NULL THEN 'null_order'
+    WHEN item_id NOT IN (SELECT item_id FROM old_items) AND seq = min(seq) OVER (PARTITION BY item_id) THEN 'inserted'
+    ELSE 'conflict' END AS status FROM new"""
+
+ORACLES["insert_measures"] = f"""WITH {_MEASURES}, {_derived('batch', b.NEW_MEASURES_BATCH, 'events')}, judged AS (
+    SELECT *, CASE WHEN item_id IS NULL OR measure_id IS NULL THEN 'null_key'
+        WHEN item_id NOT IN (SELECT p_partkey FROM part) THEN 'unknown_item'
+        WHEN measure_id NOT IN (SELECT n_nationkey FROM nation) THEN 'unknown_measure' END AS refused FROM batch),
+supplied AS (SELECT *, CASE WHEN row_id NOT IN (SELECT row_id FROM measures) AND seq = min(seq) OVER (PARTITION BY row_id)
+    THEN 'inserted' ELSE 'conflict' END AS status FROM judged WHERE refused IS NULL AND row_id IS NOT NULL),
+highest AS (SELECT max(row_id) AS m FROM (SELECT row_id FROM measures UNION ALL SELECT row_id FROM supplied WHERE status = 'inserted'))
+SELECT row_id, item_id, measure_id, amount, seq, refused AS status FROM judged WHERE refused IS NOT NULL
+UNION ALL SELECT row_id, item_id, measure_id, amount, seq, status FROM supplied
+UNION ALL SELECT (SELECT m FROM highest) + row_number() OVER (ORDER BY seq), item_id, measure_id, amount, seq, 'inserted'
+    FROM judged WHERE refused IS NULL AND row_id IS NULL"""
+
+ORACLES["delete_reference"] = """WITH keys AS (SELECT n_nationkey AS nation FROM nation UNION SELECT n_nationkey + 20 FROM nation),
+judged AS (SELECT nation, CASE WHEN nation NOT IN (SELECT n_nationkey FROM nation) THEN 'not_found'
+    WHEN nation IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000) THEN 'restricted'
+    ELSE 'deleted' END AS status FROM keys)
+SELECT CAST(nation AS INTEGER) AS nation, status, status = 'restricted' AS stays FROM judged"""
 
 _UPDATES = """updates AS (SELECT user_id AS item_id, event_id AS seq,
     CASE WHEN event_type = 'click' THEN 'CLICKED' WHEN event_type = 'view' THEN 'VIEWED' END AS item_class,

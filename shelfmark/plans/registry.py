@@ -196,10 +196,29 @@ def upsert_items(spark: SparkSession, sf: str) -> DataFrame:
 def insert_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Every event tries to insert its user as an item."""
     base = b.images(spark, sf)["old_items"]
-    new = b.table(spark, sf, "events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"))
+    new = b.table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in b.INSERTS.items()])
     return mutations.insert_status(base, new, "item_id", "seq")
 
 
+@query
+def insert_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a new measure, with and without an id, against the parts and the nations' keys."""
+    reference = b.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("measure_id"))
+    return mutations.insert_measures(
+        b.keyed_measures(spark, sf), b.measure_batch(spark, sf), b.items(spark, sf), reference
+    )
+
+
+@query
+def delete_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations and some other keys, asked to be deleted while customers of one market segment refer to them."""
+    nations = b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))
+    keys = nations.union(nations.select((F.col("nation") + 20).cast("int")))
+    users = b.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
+    left, statuses = mutations.delete_reference(nations, keys, users, "nation", "c_nationkey")
+    return statuses.join(left.withColumn("stays", F.lit(True)), "nation", "left").select("nation", "status", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
 def _updates(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "events").select(
         F.col("user_id").alias("item_id"),
