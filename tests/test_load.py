@@ -1,6 +1,8 @@
 """Raw files: reading, loading, counters, funnel, quality, rebuild."""
 
+import csv
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import ingest, quality
 from shelfmark.operators.documents import build_documents
 from shelfmark.plans import catalogue
-from shelfmark.sources.files import read_items, read_measures, read_raw, read_reference
+from shelfmark.sources.files import READ_ORDER, read_items, read_measures, read_raw, read_reference
 
 FOOD = '''"fdc_id","data_type","description","publication_date","extra"
 "1","foundation_food","Milk, ""whole"", raw","2024-01-05","z"
@@ -57,8 +59,8 @@ def folder(tmp_path):
 
 
 def test_reader_by_header_name(spark, folder):
-    items = read_items(spark, f"{folder}/food.csv", multi_line=True)
-    rows = items.rows.collect()
+    items = read_items(spark, f"{folder}/food.csv", multi_line=True, ordered=True)
+    rows = items.rows.orderBy(READ_ORDER).collect()
     assert items.found and items.missing_columns == ()
     assert rows[0].description == 'Milk, "whole", raw'
     assert rows[1].description == "  Fish\nhaddock  " and rows[1].published == "2024-1-5"
@@ -69,6 +71,26 @@ def test_reader_by_header_name(spark, folder):
     assert measures.first().asDict() == {"row_id": "100", "item_id": "1", "measure_id": "1008", "amount": "10.5"}
 
 
+def test_records_over_split_ends_in_many_tasks(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(str(i), "".join(rng.choice('ab,"\n ') for _ in range(rng.randint(0, 90))) + "z") for i in range(300)]
+    for name, part in (("a.csv", rows[:200]), ("b.csv", rows[200:])):
+        with open(tmp_path / name, "w", newline="") as f:
+            out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+            out.writerows([("id", "name"), *part])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        table = read_raw(spark, str(tmp_path), {"id": "id", "name": "name"}, multi_line=True, ordered=True)
+        got = table.rows.orderBy(READ_ORDER).select("id", "name").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r) for r in got] == rows
+
+
 def test_missing_file_and_columns(spark, tmp_path):
     gone = read_items(spark, str(tmp_path / "none.csv"))
     assert not gone.found and gone.rows.count() == 0
