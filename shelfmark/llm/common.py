@@ -45,8 +45,16 @@ def settled(df: DataFrame, path: str | None = None) -> DataFrame:
 _sent: set[str] = set()
 
 
+# Rows go to Python in batches of at most so many bytes; Spark's own limit is a number of rows.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, as ``--py-files`` would."""
+    """Sends this package to the executors, once for each application, as ``--py-files`` would.
+
+    It also bounds the session's Arrow batches by bytes, as rows may be long texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _sent:
         return

@@ -11,29 +11,20 @@ from shelfmark.llm.common import settled
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id each id reaches by ``links`` (a, b), for all ids in a link.
 
-    In each round every id joins its neighbour of the least hash, or stays where its own is less, and
-    the links between the groups so made go on. Hashes change with the round, so the number of ids left falls
-    by a constant factor a round whatever the shape. Aggregates combine before they shuffle and the joins are
-    plain equi-joins, which the planner can split for an id that many others link to.
+    In each round every id joins its neighbour of the least hash, or stays where its own is less, and the links between
+    the groups so made go on. Where all link to one, two rounds do; along a path the ids left fall by a constant
+    factor a round. Aggregates combine before they shuffle and the joins are plain equi-joins, which the planner can
+    split for an id that many others link to. What each round did is put together once, at the end.
     """
     left = settled(links.select("a", "b").where("a <> b").distinct())
-    labels = settled(left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("root", F.col("id")))
-    turn = 0
+    labels = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("root", F.col("id"))
     while not left.isEmpty():
-        both = left.union(left.select("b", "a"))
-        order = F.struct(F.xxhash64("v", F.lit(turn)), F.col("v"))
-        steps = (
-            both.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            .union(both.select(F.col("a").alias("u"), F.col("a").alias("v")))
-            .groupBy("u")
-            .agg(F.min(order).alias("least"))
-            .select("u", F.col("least.v").alias("to"))
-        )
-        steps = settled(steps)
-        a, b = steps.toDF("a", "a2"), steps.toDF("b", "b2")
-        moved = left.join(a, "a").join(b, "b").where("a2 <> b2")
+        both = left.union(left.select("b", "a")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        least = F.least(F.min(F.struct(F.xxhash64("v"), F.col("v"))), F.struct(F.xxhash64("u"), F.col("u").alias("v")))
+        steps = settled(both.groupBy("u").agg(least.alias("least")).select("u", F.col("least.v").alias("to")))
+        moved = left.join(steps.toDF("a", "a2"), "a").join(steps.toDF("b", "b2"), "b").where("a2 <> b2")
         left = settled(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
-        labels = settled(labels.join(steps.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-        turn += 1
+        labels = labels.join(steps.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    labels = settled(labels)
     least = labels.groupBy("root").agg(F.min("id").alias("component"))
     return labels.join(least, "root").select("id", "component")

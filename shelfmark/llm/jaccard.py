@@ -7,8 +7,10 @@ and their range of sizes, and pairs of nodes are followed down only while the bi
 the overlap that their sizes ask for. What comes out is compared set by set.
 
 The result is components, not pairs. A first round compares each class with the two that share most of its
-first shingles; in the second round the trees leave out pairs that are connected already, so a group of thousands
-of copies does not give its pairs, and no link between different components is lost.
+first shingles. In the second round the trees leave out pairs that are connected already, and tell which components may be
+connected beyond that; those are brought together once and compared set by set, again without pairs that are
+connected by then. So a group of thousands of copies does not give its pairs, and no link between
+different components is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from shelfmark.llm.quality import BLANKS
 SHINGLE = 3
 PERCENT = 90
 
-# Bits of a set's bitmap: twice its size as a power of two, within these bounds.
-BITS = (64, 4096)
+# A set of more than so many shingles is drawn as a bitmap of those in the lowest half, quarter or eighth of all
+# hashes only; unlike sets still differ there by more than like ones can in all.
+DRAWN = 2048
+LEAST_SHARE = 3
 
 # Shingles in a hundredth of so many sampled documents are put last in the common order, the most frequent
 # ones only up to a bound. Any order gives the same links; this one keeps frequent shingles from being met at.
@@ -42,6 +46,9 @@ BROADCAST_IDS = 1_000_000
 
 LEAF = 32
 
+# Sets of a cluster that are compared in one task, about so many bytes of them.
+BLOCK_BYTES = 32 << 20
+
 
 def _sets(data: np.ndarray, at: np.ndarray, words: Words, k: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingle hashes in order; one of all words where they are fewer than ``k``."""
@@ -56,12 +63,12 @@ def _sets(data: np.ndarray, at: np.ndarray, words: Words, k: int) -> Iterator[np
             yield whole[:0]
 
 
-def sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
-    words, out = Words(BLANKS), []
-    data, at = raw(column)
+def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(doc_ids, sets) of a batch (doc_id, text), for about a megabyte of text at a time."""
+    words = Words(BLANKS)
+    data, at = raw(batch.column(1))
     for lo, hi in row_chunks(at):
-        out += _sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words, k)
-    return out
+        yield batch.column(0).slice(lo, hi - lo), list(_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words, k))
 
 
 def need(n: int, percent: int) -> int:
@@ -69,11 +76,32 @@ def need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = min(max(BITS[0], 1 << (2 * len(s) - 1).bit_length()), BITS[1])
+def bitmap(s: np.ndarray) -> bytes:
+    """A byte k and the bits of the hashes below 2**(64 - k), in their order: at least two bits for each of them."""
+    k = min(LEAST_SHARE, max(0, (len(s) // DRAWN).bit_length()))
+    bits = max(64, 1 << (2 * (len(s) >> k) - 1).bit_length())
+    width = bits.bit_length() - 1
+    low = s[: np.searchsorted(s, np.uint64(1 << (64 - k)))] if k else s
     out = np.zeros(bits, np.uint8)
-    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
+    out[(low >> np.uint64(64 - k - width)).astype(np.int64)] = 1
+    return bytes([k]) + np.packbits(out).tobytes()
+
+
+def drawn(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of one range of hashes and one width, as rows of 64-bit words: the smallest range, the coarsest steps."""
+    range_ = max(m[0] for m in maps)
+    widths = [(len(m) - 1) * 8 for m in maps]
+    step = max(64 - m[0] - (w.bit_length() - 1) for m, w in zip(maps, widths, strict=True))
+    bits = 1 << (64 - range_ - step)
+    rows = np.empty((len(maps), bits // 8), np.uint8)
+    for row, m, w in zip(rows, maps, widths, strict=True):
+        own = np.frombuffer(m, np.uint8, offset=1)
+        within = w >> (range_ - m[0])
+        if within == bits:
+            row[:] = own[: bits // 8]
+        else:
+            row[:] = np.packbits(np.unpackbits(own[: within // 8]).reshape(bits, -1).any(axis=1))
+    return rows.view(np.uint64) if bits >= 64 else np.pad(rows, ((0, 0), (0, 8 - bits // 8))).view(np.uint64)
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -84,9 +112,10 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches):
         for batch in batches:
-            sets = [s for s in sets_of(batch.column(1), k) if len(s)]
-            values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["token", "n"])
+            for _, sets in sets_of(batch, k):
+                some = [s for s in sets if len(s)] or [np.zeros(0, np.uint64)]
+                values, n = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["token", "n"])
 
     counts = sample.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(8, min(SAMPLE, total) // FREQUENT_SHARE)
@@ -99,28 +128,28 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def go(batches):
+        late = shared.value
         for batch in batches:
-            late = shared.value
-            n, h1, h2, prefixes, maps = [], [], [], [], []
-            for s in sets_of(batch.column(1), k):
-                n.append(len(s))
-                h1.append(mixed(s + np.uint64(1)).sum(dtype=np.uint64))
-                h2.append(mixed(s + np.uint64(2)).sum(dtype=np.uint64))
-                p = len(s) - need(len(s), percent) + 1 if len(s) else 0
-                at = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
-                is_late = late[at] == s if len(late) else np.zeros(len(s), bool)
-                early = s[~is_late]
-                chosen = early[:p] if len(early) >= p else np.concatenate([early, s[is_late][: p - len(early)]])
-                prefixes.append(chosen.view(np.int64))
-                maps.append(bitmap(s).tobytes() if len(s) else b"")
-            ints = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            sizes = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(n, np.int64)), ints(h1), ints(h2), lists, pa.array(maps, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "prefix", "bits"],
-            )
+            for ids, sets in sets_of(batch, k):
+                n, h1, h2, prefixes, maps = [], [], [], [], []
+                for s in sets:
+                    n.append(len(s))
+                    h1.append(mixed(s + np.uint64(1)).sum(dtype=np.uint64))
+                    h2.append(mixed(s + np.uint64(2)).sum(dtype=np.uint64))
+                    p = len(s) - need(len(s), percent) + 1 if len(s) else 0
+                    at = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
+                    is_late = late[at] == s if len(late) else np.zeros(len(s), bool)
+                    early = s[~is_late]
+                    chosen = early[:p] if len(early) >= p else np.concatenate([early, s[is_late][: p - len(early)]])
+                    prefixes.append(chosen.view(np.int64))
+                    maps.append(bitmap(s) if len(s) else b"")
+                sizes = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefixes)))
+                hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(np.array(n, np.int64)), *hashes, lists, pa.array(maps, pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", "prefix", "bits"],
+                )
 
     return docs.mapInArrow(go, "doc_id bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, bits binary")
 
@@ -188,10 +217,9 @@ def whole_groups(batches, keys: int) -> Iterator[pa.Table]:
 class Tree:
     """Sets of a group in order of size, and levels of nodes above them: ORed bitmaps, sizes, components."""
 
-    def __init__(self, n: np.ndarray, component: np.ndarray, maps: list[np.ndarray]):
+    def __init__(self, n: np.ndarray, component: np.ndarray, maps: list[bytes]):
         self.order = np.argsort(n, kind="stable")
-        width = min(map(len, maps))
-        self.maps = np.stack([self.folded(maps[i], width) for i in self.order])
+        self.maps = drawn([maps[i] for i in self.order])
         self.n, self.component = n[self.order], component[self.order]
         self.slack = self.n - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)
         edges = np.arange(0, len(n), LEAF)
@@ -206,10 +234,6 @@ class Tree:
             level = tuple(j.reduceat(x, pairs) for j, x in zip(joins, level, strict=True))
             self.levels.append(level)
 
-    @staticmethod
-    def folded(words: np.ndarray, width: int) -> np.ndarray:
-        return np.bitwise_or.reduce(words.reshape(-1, width)) if len(words) > width else words
-
     def candidates(self, percent: int) -> Iterator[tuple[int, int]]:
         """Places of pairs in different components whose overlap may be large enough."""
         stack = [(len(self.levels) - 1, 0, 0)]
@@ -241,8 +265,34 @@ class Tree:
             yield int(self.order[a * LEAF + i]), int(self.order[b * LEAF + j])
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs to compare, from rows (token, bucket, own, doc_id, n, component, bits) sorted by token and bucket."""
+class Union:
+    """Which components are connected so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _links(found) -> pa.RecordBatch:
+    flat = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+
+
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that may be linked, from rows (token, bucket, own, doc_id, n, component, bits) sorted by token and bucket.
+
+    Of each group as many pairs as connect what may be connected, fewer than the group has rows.
+    """
 
     def go(batches):
         for part in whole_groups(batches, 2):
@@ -253,45 +303,88 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if hi - lo < 2 or not own[lo:hi].any() or (component[lo:hi] == component[lo]).all():
                     continue
-                tree = Tree(n[lo:hi], component[lo:hi], [np.frombuffer(m, np.uint64) for m in maps[lo:hi]])
+                tree, joined = Tree(n[lo:hi], component[lo:hi], maps[lo:hi]), Union()
                 for i, j in tree.candidates(percent):
-                    if own[lo + i] or own[lo + j]:
-                        x, y = int(doc[lo + i]), int(doc[lo + j])
+                    x, y = int(component[lo + i]), int(component[lo + j])
+                    if (own[lo + i] or own[lo + j]) and joined.join(x, y):
                         found.add((min(x, y), max(x, y)))
-                if len(found) > 100_000:
-                    yield _pairs(found)
-                    found = set()
-            yield _pairs(found)
-
-    def _pairs(found):
-        flat = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+            yield _links(found)
 
     return rows.mapInArrow(go, "a bigint, b bigint")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = settled(pairs)
-    ids = settled(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def _fetched(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, set): the whole sets of some documents, as bytes."""
+    ids = settled(ids.distinct())
     own = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def build(batches):
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in sets_of(batch.column(1), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "set"])
+            for ids, sets in sets_of(batch, k):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
+
+    return settled(own.mapInArrow(build, "doc_id bigint, set binary"))
 
-    sets = settled(own.mapInArrow(build, "doc_id bigint, set binary"))
+
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    common = int((v[at] == u).sum())
+    return 100 * common >= percent * (len(u) + len(v) - common)
+
+
+def _connected(docs: DataFrame, labelled: DataFrame, near: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect the components which are connected, from pairs ``near`` of components that may be.
+
+    Components that may be connected, directly or through others, are a cluster. Each set of a cluster is sent once to
+    the task that compares it; the sets of a large cluster are dealt into blocks, each pair of them a task. Within a
+    task only pairs that are not connected yet are compared.
+    """
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    clusters = components(near).toDF("component", "cluster")
+    members = settled(labelled.select("doc_id", "n", "component").join(clusters, "component"))
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("long").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = (
+        members.join(blocks, "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        .withColumn("other", other)
+        .join(_fetched(docs, members.select("doc_id"), k), "doc_id")
+        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "component", "set")
+        .repartition(parts, "cluster", "lo", "hi")
+        .sortWithinPartitions("cluster", "lo", "hi")
+    )
+
+    def go(batches):
+        for part in whole_groups(batches, 3):
+            keys = [part.column(i).to_numpy() for i in range(3)]
+            new = np.any([c[1:] != c[:-1] for c in keys], axis=0)
+            edges = np.flatnonzero(np.concatenate(([True], new, [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                some = part.slice(lo, hi - lo)
+                doc, component = some.column("doc_id").to_pylist(), some.column("component").to_numpy()
+                sets = [np.frombuffer(x, np.uint64) for x in some.column("set").to_pylist()]
+                tree = Tree(np.array([len(x) for x in sets]), component, [bitmap(x) for x in sets])
+                joined, found = Union(), set()
+                for i, j in tree.candidates(percent):
+                    x, y = int(component[i]), int(component[j])
+                    if joined.find(x) != joined.find(y) and similar(sets[i], sets[j], percent):
+                        joined.join(x, y)
+                        found.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                yield _links(found)
+
+    return dealt.mapInArrow(go, "a bigint, b bigint")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    pairs = settled(pairs)
+    sets = _fetched(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), k)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                common = int((v[at] == u).sum())
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
+            values = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+            keep = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for pair in values]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(compare, "a bigint, b bigint")
@@ -325,8 +418,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     known = settled(components(links))
 
     # Second round: whatever else may link two components.
-    labelled = single.select("doc_id", "bits").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = single.select("doc_id", "n", "bits").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labelled = settled(labelled.withColumn("component", F.coalesce("component", "doc_id")))
     tagged = met.select("token", "doc_id", "n").join(labelled.select("doc_id", "component"), "doc_id")
     mixed_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     # Similar sizes lie in the same bucket or the next one; the margin is for rounding.
@@ -334,14 +427,15 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(1).cast("long").alias("own"))
     next_ = F.struct((F.col("_bucket") + 1).alias("bucket"), F.lit(0).cast("long").alias("own"))
     rows = (
-        met.select("token", "doc_id", "n").join(mixed_, "token", "left_semi").join(labelled, "doc_id")
+        met.select("token", "doc_id", "n").join(mixed_, "token", "left_semi").join(labelled.drop("n"), "doc_id")
         .withColumn("_bucket", bucket)
         .withColumn("place", F.explode(F.array(own, next_)))
         .select("token", "place.bucket", "place.own", "doc_id", "n", "component", "bits")
         .repartition(parts, "token", "bucket")
         .sortWithinPartitions("token", "bucket")
     )
-    more = settled(_linked(docs, _candidates(rows, percent).distinct(), shingle, percent))
+    near = settled(_near(rows, percent).distinct())
+    more = settled(_connected(docs, labelled, near, shingle, percent))
     whole = components(links.union(more))
     done = member.join(whole.withColumnRenamed("id", "first"), "first", "left")
     # A class is named by its first member, so a component by its first class.
