@@ -312,7 +312,8 @@ def deduped(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drop = settled(repeats(own))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(drop.withColumnRenamed("doc_id", "_id"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    # The same plan at every size: the texts are shuffled once and not sorted.
+    joined = rows.join(drop.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     joined = joined.select("row", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
     schema = joined.select("row", F.col("row.text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
