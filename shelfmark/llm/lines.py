@@ -1,10 +1,12 @@
 """Line dedup by a segment-partition edit join.
 
-A line is a repeat if an earlier line, by document and place, equals it or is within ``EDITS`` edits of it. Of two lines
-so close, cut into EDITS + 1 segments by the shorter one's length, at least one segment of the shorter is in the longer,
-at a place that the edits to its left and right can explain. So each line is entered under its own segments, and under
-those pieces of it that could be a segment of a line of its length or up to EDITS less. Keys are hashes of
-(length, segment, text); lines that share a key are compared by a banded bit-parallel edit distance.
+A line that is not blank is a repeat if an earlier line, by document and place, equals it or is within some edits of it:
+one for every CHARS_AN_EDIT characters of the shorter line, ``EDITS`` at most, so the shortest lines are repeats only
+where they are equal. Of two lines that are ``e`` edits apart, cut into e + 1 segments by the shorter one's length, at
+least one segment of the shorter is in the longer, at a place that the edits to its left and right can explain. So each
+line is entered under its own segments, and under those pieces of it that could be a segment of a line of its length or
+up to e less. Keys are hashes of (length, segment, text); lines that share a key are compared by a banded bit-parallel
+edit distance.
 
 Only keys and line hashes move at first, 16 bytes a row; texts are fetched for lines whose key another line has. A key
 with very many lines is split: two lines that share a segment are as close without it, so the rest of each line is cut
@@ -24,12 +26,13 @@ from shelfmark.llm.jaccard import BROADCAST_IDS, whole_groups
 
 EDITS = 2
 
-# Shorter lines are never repeats: few edits make any of them any other.
-LEAST_CHARS = 30
+# Few edits make any short line any other, so the edits allowed fall with the length: 2, 1 and, for the shortest, none.
+CHARS_AN_EDIT = 10
 
-# A key with more lines is split, this many times at most.
+# A key with more lines is split, this many times at most, while its lines have enough characters left to be cut.
 MANY = 256
 SPLITS = 4
+LEAST_REST = 5
 
 CHUNK = 1 << 20
 BLANKS = " \t\n\v\f\r"
@@ -114,33 +117,58 @@ def places(n: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
     return out
 
 
-_places: dict[int, list[tuple[int, int, int, int]]] = {}
+_places: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
 
 
-def keys(line: str, salt: int) -> list[tuple[int, int, int]]:
+def keys(line: str, salt: int, edits: int = EDITS) -> list[tuple[int, int, int]]:
     """(key, begin, size) for each place of a line."""
-    n = len(line)
-    found = _places.get(n)
+    return _hashed(line, salt, _places_of(len(line), edits))
+
+
+def _places_of(n: int, edits: int) -> list[tuple[int, int, int, int]]:
+    found = _places.get((n, edits))
     if found is None:
         if len(_places) > 10_000:
             _places.clear()
-        found = _places[n] = places(n)
+        found = _places[n, edits] = places(n, edits)
+    return found
+
+
+def _hashed(line: str, salt: int, found) -> list[tuple[int, int, int]]:
     return [
         (xxhash.xxh64_intdigest(f"{length},{i},{line[begin : begin + size]}", salt) - (1 << 63), begin, size)
         for length, i, begin, size in found
     ]
 
 
+def allowed(n: int) -> int:
+    """The edits by which two lines may differ, the shorter one of ``n`` characters."""
+    return min(EDITS, n // CHARS_AN_EDIT)
+
+
+def line_keys(line: str) -> list[tuple[int, int, int, int]]:
+    """(key, begin, size, edits) for each place of a whole line, by the edits that the shorter line allows."""
+    n, out = len(line), []
+    for edits in range(1, EDITS + 1):
+        found = _places_of(n, edits)
+        if n - edits < EDITS * CHARS_AN_EDIT:
+            found = [p for p in found if allowed(p[0]) == edits]
+        elif edits < EDITS:
+            continue
+        out += [(*k, edits) for k in _hashed(line, EDITS - edits, found)]
+    return out
+
+
 def line_hash(line: str) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(line)
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def long_lines(text: str | None):
-    """(place, line) of the lines of at least LEAST_CHARS characters, without blanks around them."""
+def long_lines(text: str | None, least: int = 1):
+    """(place, line) of the lines of at least ``least`` characters, without blanks around them; all that are not blank."""
     for k, line in enumerate((text or "").split("\n")):
         line = line.strip(BLANKS)
-        if len(line) >= LEAST_CHARS:
+        if len(line) >= least:
             yield k, line
 
 
@@ -183,15 +211,15 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _entries(docs: DataFrame) -> DataFrame:
-    """(key, a) for every line, once for those that a chunk of documents repeats."""
+    """(key, a) for every line that may be edited, once for those that a chunk of documents repeats."""
 
     def go(batches):
         for batch in batches:
             for rows in _texts(batch):
-                distinct = {line for _, text in rows for _, line in long_lines(text)}
+                distinct = {line for _, text in rows for _, line in long_lines(text, CHARS_AN_EDIT)}
                 key, own = [], []
                 for line in distinct:
-                    found = [k for k, _, _ in keys(line, 0)]
+                    found = [k for k, *_ in line_keys(line)]
                     key += found
                     own += [line_hash(line)[0]] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64())], names=["key", "a"])
@@ -200,14 +228,14 @@ def _entries(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(a, b, doc_id, line, text) of every line, the first of those that a chunk of documents repeats."""
+    """(a, b, doc_id, line, text) of every line that may be edited, the first of those that a chunk of documents repeats."""
 
     def go(batches):
         for batch in batches:
             for rows in _texts(batch):
                 first: dict[str, tuple] = {}
                 for doc_id, text in rows:
-                    for k, line in long_lines(text):
+                    for k, line in long_lines(text, CHARS_AN_EDIT):
                         place = (doc_id is None, doc_id, k)
                         if line not in first or place < first[line]:
                             first[line] = place
@@ -219,7 +247,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(go, "a bigint, b bigint, doc_id bigint, line bigint, text string")
 
 
-ROW = "key bigint, salt bigint, rest string, a bigint, b bigint, doc_id bigint, line bigint, text string"
+ROW = "key bigint, salt bigint, edits bigint, rest string, a bigint, b bigint, doc_id bigint, line bigint, text string"
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -230,14 +258,16 @@ def _split(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for small in [batch.slice(i, 64) for i in range(0, batch.num_rows, 64)]:
                 out = []
-                for key, salt, rest, *own in zip(*(c.to_pylist() for c in small.columns), strict=True):
-                    for k, begin, size in keys(rest, salt):
+                for key, salt, edits, rest, *own in zip(*(c.to_pylist() for c in small.columns), strict=True):
+                    # No edits: a whole line, whose keys say how many.
+                    found = [(*k, edits) for k in keys(rest, salt, edits)] if edits else line_keys(rest)
+                    for k, begin, size, most in found:
                         if k == key:
                             left = rest[:begin] + rest[begin + size :]
                             deeper = key + (1 << 63)
-                            out += [(new, deeper, left, *own) for new in {x for x, _, _ in keys(left, deeper)}]
+                            out += [(new, deeper, most, left, *own) for new in {x for x, _, _ in keys(left, deeper, most)}]
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-                kinds = [pa.int64(), pa.uint64(), pa.string(), *[pa.int64()] * 4, pa.string()]
+                kinds = [pa.int64(), pa.uint64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string()]
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 arrays[1] = arrays[1].to_numpy(zero_copy_only=False).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
@@ -257,7 +287,7 @@ def _close(rows: DataFrame) -> DataFrame:
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for i in range(lo + 1, hi):
                     x = texts[i]
-                    if ids[i] not in found and any(texts[j] != x and within(texts[j], x, EDITS) for j in range(lo, i)):
+                    if ids[i] not in found and any(texts[j] != x and within(texts[j], x, allowed(min(len(texts[j]), len(x)))) for j in range(lo, i)):
                         found.add(ids[i])
             flat = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
@@ -274,11 +304,12 @@ def close_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "a", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line")
     first = lines.groupBy("a", "b", "text").agg(F.min(place).alias("p")).select("a", "b", "p.doc_id", "p.line", "text")
-    rows = met.join(settled(first), "a").select("key", F.lit(0).cast("long").alias("salt"), F.col("text").alias("rest"), "a", "b", "doc_id", "line", "text")
+    rows = met.join(settled(first), "a").select("key", F.lit(0).cast("long").alias("salt"), F.lit(0).cast("long").alias("edits"), F.col("text").alias("rest"), "a", "b", "doc_id", "line", "text")
     found = None
     for turn in range(SPLITS + 1):
         rows = settled(rows)
-        crowded = settled(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("key"))
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("rest")).alias("least"))
+        crowded = settled(counts.where((F.col("n") > MANY) & (F.col("least") >= LEAST_REST)).select("key"))
         last = turn == SPLITS or crowded.isEmpty()
         now = rows if last else rows.join(crowded, "key", "left_anti").select(*rows.columns)
         ready = now.select("key", "a", "b", "doc_id", "line", "text").repartition(parts, "key")
@@ -305,8 +336,8 @@ def deduped(docs: DataFrame) -> DataFrame:
     """(row, text, n_lines, n_dropped): each document without the lines that repeat an earlier one.
 
     ``row`` holds all columns of the document; places in order are (doc_id, line), a null doc_id after all others. Lines
-    are what line feeds part, compared without blanks at both ends; those under LEAST_CHARS characters stay, as do all
-    line feeds between lines that stay. It is the input that is judged: a line close to a repeat is one too. A document that
+    are what line feeds part, compared without blanks at both ends; blank ones stay, as do all line feeds between lines
+    that stay. It is the input that is judged: a line close to a repeat is one too. A document that
     is there twice with its doc_id is not a repeat of itself. A null text has no lines and stays null.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -350,6 +350,28 @@ def test_repeated_lines(shipped, monkeypatch, many):
     assert {(r["row"]["doc_id"], r["text"], r["n_dropped"]) for r in got} == {(i, *v) for i, v in want.items()}
 
 
+@pytest.mark.parametrize("many", [256, 3])
+def test_repeated_short_lines(shipped, monkeypatch, many):
+    monkeypatch.setattr(lines, "MANY", many)
+    rng = random.Random(17)
+    bases = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 24))) for _ in range(40)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(bases), 2) for _ in range(5))) for i in range(60)]
+    rows += [(90, "All rights reserved.\nsome"), (91, "x\n All rights reserved.\t\n\nother"), (92, "}\n}\n{")]
+    first = {}
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            if x.strip():
+                first.setdefault(x.strip(), (i, k))
+    near = {x for x in first for y in first if first[y] < first[x] and distance(x, y) <= min(2, min(len(x), len(y)) // 10)}
+    want = {}
+    for i, t in rows:
+        want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip() or (first[x.strip()] == (i, k) and x.strip() not in near))
+    assert want[91] == "x\n\nother" and want[92] == "}\n{"
+    assert {min(2, len(x) // 10) for x in near} == {1, 2}
+    got = rows_of(lines.deduped(documents(shipped, rows).repartition(3)))
+    assert {r["row"]["doc_id"]: r["text"] for r in got} == want
+
+
 # --- 8 ------------------------------------------------------------------------------------
 
 
