@@ -11,7 +11,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # A task hashes texts in pieces of about so many bytes, which bounds its arrays.
 PIECE = 1 << 20
@@ -42,6 +43,37 @@ def settled(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(row, id, text): all columns of each document, and a number that no other document has.
+
+    Numbers follow doc_id, then a hash of the text; documents without doc_id come last. Rows that are equal in doc_id and
+    text are one document, except those without doc_id, each of which is one. The number is the doc_id where that tells
+    all documents apart; otherwise the rows are written once with their numbers.
+    """
+    id_, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    hash_ = F.xxhash64(text, text.isNull())
+    plain = rows.select("row", id_.alias("id"), text.alias("text"))
+    shared = rows.select(id_.alias("id"), hash_.alias("hash")).groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    if shared.where("id IS NULL OR lo <> hi").isEmpty():
+        return plain
+    order = ["late", "doc_id", "hash", "copy"]
+    once = settled(rows.withColumn("place", F.monotonically_increasing_id()))
+    copy = F.when(id_.isNull(), F.col("place")).otherwise(F.lit(0).cast("long"))
+    keys = once.select("place", id_.isNull().alias("late"), id_.alias("doc_id"), hash_.alias("hash"), copy.alias("copy"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = settled(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    ranked = settled(ranged.withColumn("rank", F.dense_rank().over(Window.partitionBy("part").orderBy(*order)).cast("long")).select("place", "part", "rank"))
+    ends, starts = 0, []
+    for part, most in sorted(map(tuple, ranked.groupBy("part").agg(F.max("rank")).collect())):  # a row for each partition
+        starts.append((part, ends))
+        ends += most
+    first = F.broadcast(docs.sparkSession.createDataFrame(starts, "part int, start bigint"))
+    numbers = ranked.join(first, "part").select("place", (F.col("start") + F.col("rank")).alias("id"))
+    numbered = settled(once.join(numbers, "place").select("row", "id"))
+    return numbered.select("row", "id", text.alias("text"))
+
+
 _sent: set[str] = set()
 
 

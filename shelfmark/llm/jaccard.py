@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from shelfmark.llm.common import Words, grams, mixed, raw, row_chunks, settled, table
+from shelfmark.llm.common import Words, grams, mixed, raw, row_chunks, settled, table, told_apart
 from shelfmark.llm.graph import components
 from shelfmark.llm.quality import BLANKS
 
@@ -443,10 +443,16 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The first document of every component, by doc_id, with all its columns."""
-    found = similar_groups(docs.select("doc_id", "text"), shingle, percent)
-    drop = settled(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of every component, by doc_id, with all its columns.
+
+    Rows that share a doc_id and differ in text are documents of their own; those without doc_id all stay.
+    """
+    rows = told_apart(docs)
+    number = F.when(F.col("row.doc_id").isNotNull(), F.col("id"))
+    found = similar_groups(rows.select(number.alias("doc_id"), "text"), shingle, percent)
+    drop = settled(found.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct())
+    kept = rows.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, "id", "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

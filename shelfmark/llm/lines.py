@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import raw, row_chunks, settled, table
+from shelfmark.llm.common import raw, row_chunks, settled, table, told_apart
 from shelfmark.llm.jaccard import BROADCAST_IDS, whole_groups
 
 EDITS = 2
@@ -335,16 +335,17 @@ def repeats(docs: DataFrame) -> DataFrame:
 def deduped(docs: DataFrame) -> DataFrame:
     """(row, text, n_lines, n_dropped): each document without the lines that repeat an earlier one.
 
-    ``row`` holds all columns of the document; places in order are (doc_id, line), a null doc_id after all others. Lines
+    ``row`` holds all columns of the document; places in order are (doc_id, line), a null doc_id after all others. Rows that
+    share a doc_id and differ in text, and rows without doc_id, are documents of their own. Lines
     are what line feeds part, compared without blanks at both ends; blank ones stay, as do all line feeds between lines
     that stay. It is the input that is judged: a line close to a repeat is one too. A document that
     is there twice with its doc_id is not a repeat of itself. A null text has no lines and stays null.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drop = settled(repeats(own))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = told_apart(docs)
+    drop = settled(repeats(rows.select(F.col("id").alias("doc_id"), "text")))
+    rows = rows.select("row", "id")
     # The same plan at every size: the texts are shuffled once and not sorted.
-    joined = rows.join(drop.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    joined = rows.join(drop.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("id") == F.col("_id"), "left")
     joined = joined.select("row", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
     schema = joined.select("row", F.col("row.text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 

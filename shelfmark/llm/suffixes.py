@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import _BASE, _INVERSE, byte_values, mixed, powers, raw, row_chunks, settled, sliding_min, table
+from shelfmark.llm.common import _BASE, _INVERSE, byte_values, mixed, powers, raw, row_chunks, settled, sliding_min, table, told_apart
 from shelfmark.llm.decontaminate import merged
 from shelfmark.llm.jaccard import whole_groups
 
@@ -367,12 +367,11 @@ def without_repeated(docs: DataFrame) -> DataFrame:
     A repeat is a string of LENGTH bytes that starts earlier too, in a document with a smaller doc_id or earlier in the
     same one; matches do not cross documents, overlaps count, and the input is judged. ``row`` has all columns of the
     document. A null text is empty; a null doc_id comes after all others; a document there twice with its doc_id
-    is one document.
+    is one document. Rows that share a doc_id and differ in text, and rows without doc_id, are documents of their own.
     """
-    spans = repeated(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    id_ = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(np.iinfo(np.int64).max))
-    joined = rows.withColumn("_id", id_).join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    rows = told_apart(docs)
+    spans = repeated(rows.select(F.col("id").alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = rows.select("row", F.col("id").alias("_id")).join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left")
     joined = joined.select("row", F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("spans"))
     schema = joined.select(
         "row", F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]

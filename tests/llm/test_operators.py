@@ -459,6 +459,32 @@ def test_contamination(shipped, edge, monkeypatch, slice_bytes):
     assert left.count() == sum(not hits_by_hand(t, items)[2] for _, t in ROWS)
 
 
+# --- documents that share a doc_id --------------------------------------------------------
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(shipped):
+    rng = random.Random(23)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common, own = text(60), [text(60) for _ in range(7)]
+    rows = [(1, f"{common}\n{own[0]}"), (5, f"{own[1]}\n{common}"), (5, f"{own[2]}\n{own[3]}"), (None, f"{own[4]}\n{common}"), (None, f"{own[5]}\n{own[6]}"), (None, f"{own[5]}\n{own[6]}")]
+    got = collections.Counter((r["row"]["doc_id"], r["text"]) for r in rows_of(lines.deduped(documents(shipped, rows).repartition(3))))
+    assert got == collections.Counter([rows[0], (5, own[1]), rows[2], (None, own[4]), rows[4], (None, "")])
+
+    passage, tails = text(300), [text(150) for _ in range(5)]
+    rows = [(1, passage + tails[0]), (5, passage + tails[1]), (5, tails[2]), (None, tails[3]), (None, tails[3]), (None, tails[4])]
+    for bound in (suffixes.BROADCAST_ANCHORS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffixes, "BROADCAST_ANCHORS", bound)
+            got = collections.Counter((r["row"]["doc_id"], bytes(r["kept"]).decode()) for r in rows_of(suffixes.without_repeated(documents(shipped, rows).repartition(3))))
+        assert got == collections.Counter([rows[0], (5, tails[1]), rows[2], rows[3], (None, ""), rows[5]])
+
+    words = lambda: " ".join(text(5) for _ in range(40))
+    a, b = words(), words()
+    rows = [(1, a), (5, a), (5, b), (7, b + " end"), (None, words())]
+    got = {tuple(r.values()) for r in rows_of(jaccard.one_of_each(documents(shipped, rows).repartition(3)))}
+    assert got == {rows[0], rows[2], rows[4]}
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
