@@ -48,6 +48,8 @@ def test_twins(shipped, edge, sf, name):
             continue  # its twin compares ids that may be null; see test_exact_groups
         if folder == edge and name == "op10_decontaminate":
             continue  # its twin takes ids as unique; see test_contamination
+        if folder == edge and name == "op11_resampling":
+            continue  # its twin takes ids as unique and not null; see test_resampling.py
         want = db.execute(queries.ORACLES[name]).fetchdf()
         got = queries.QUERIES[name](shipped, folder).toPandas()[sorted(want.columns)]
         assert canonical(got).equals(canonical(want)), folder
