@@ -10,6 +10,7 @@ from shelfmark.llm.jaccard import op3_jaccard
 from shelfmark.llm.likelihood import op4_lattice
 from shelfmark.llm.lines import op7_line_dedup
 from shelfmark.llm.packing import op5_packing
+from shelfmark.llm.pii import op13_personal_data
 from shelfmark.llm.quality import op9_quality
 from shelfmark.llm.resampling import OP11_SQL, op11_resampling
 from shelfmark.llm.sharding import op6_sharding, op6_sql
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_decontaminate": shipped(op10_decontaminate),
     "op11_resampling": shipped(op11_resampling),
     "op12_filter_audit": op12_filter_audit,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES = {
