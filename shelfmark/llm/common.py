@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -167,12 +168,16 @@ def byte_values(fold: bool, seed: int = 7) -> np.ndarray:
     return values
 
 
+LONG_WORD = 256
+
+
 class Words:
     """Finds and hashes the words of many texts at once.
 
     ``breaks`` are the bytes between words; every other byte, those of UTF-8 sequences
-    included, is part of a word. A-Z count as a-z. Words are equal when their hashes are:
-    64 bits of a random polynomial, mixed.
+    included, is part of a word. A-Z count as a-z. Words are equal when their hashes are: 64 bits of
+    a random polynomial, mixed. Its sums are taken modulo 2**64, which long words of a certain build would
+    defeat (from 1,024 bytes on), so words over ``LONG_WORD`` bytes take 64 bits of a cryptographic hash.
     """
 
     def __init__(self, breaks: bytes):
@@ -204,6 +209,9 @@ class Words:
             s, e = starts[lo:hi] - base, ends[lo:hi] - base
             out[lo:hi] = mixed((sums[e] - sums[s]) * powers(_INVERSE, n)[s])
             lo = hi
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            word = data[starts[i] : ends[i]].tobytes().lower()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return out
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -395,9 +395,23 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
     Two documents link when their sets' overlap is at least ``percent`` hundredths of the union; a component is
     named by its least doc_id. A null or empty text and one without words have an empty set, linked with nothing.
-    A row repeated with its doc_id is the same document; a null doc_id links with nothing and has no component.
+    A row repeated with its doc_id is the same document; rows that share a doc_id and differ in text are documents of
+    their own. A null doc_id links with nothing and has no component.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = told_apart(docs.select("doc_id", "text"))
+    number = F.when(F.col("row.doc_id").isNotNull(), F.col("id"))
+    found = _groups(rows.select(number.alias("doc_id"), "text"), shingle, percent)
+    names = rows.where("row.doc_id IS NOT NULL AND id <> row.doc_id").select("id", F.col("row.doc_id").cast("long").alias("name")).distinct()
+    if names.isEmpty():
+        return found
+    # Numbers follow the ids, so the least number of a component is that of its least id.
+    names = settled(names)
+    own = found.join(names.toDF("doc_id", "own"), "doc_id", "left").join(names.toDF("component_id", "first"), "component_id", "left")
+    return own.select(F.coalesce("own", "doc_id").alias("doc_id"), "n_shingles", F.coalesce("first", "component_id").alias("component_id"))
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``similar_groups`` for documents with an id each, or none."""
     all_ = settled(described(docs, shingle, percent))
     some = all_.where("doc_id IS NOT NULL AND n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
@@ -449,7 +463,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """
     rows = told_apart(docs)
     number = F.when(F.col("row.doc_id").isNotNull(), F.col("id"))
-    found = similar_groups(rows.select(number.alias("doc_id"), "text"), shingle, percent)
+    found = _groups(rows.select(number.alias("doc_id"), "text"), shingle, percent)
     drop = settled(found.where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct())
     kept = rows.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, "id", "left_anti")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

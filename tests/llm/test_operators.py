@@ -514,3 +514,28 @@ def test_stages(shipped, sf):
 def test_pipeline_on_odd_rows(shipped, edge):
     assert corpus_pipeline.run(shipped, edge).columns[:2] == ["doc_id", "start"]
     assert corpus_pipeline.run(shipped, edge).count() > 0
+
+
+# --- words that a sum of powers would take for one, and ids that several texts share ---------
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_of_one_sum_are_told_apart(shipped, size):
+    one, other = thue_morse(size), thue_morse(size, "b", "a")
+    docs = documents(shipped, [(1, one), (2, other), (3, one.upper())])
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(jaccard.similar_groups(docs))} == {1: 1, 2: 2, 3: 1}
+    bench = shipped.createDataFrame([(7, other)], "item_id BIGINT, text STRING")
+    assert {r["row"]["doc_id"]: r["items"] for r in rows_of(decontaminate.contamination(docs, bench))} == {1: [], 2: [7], 3: []}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_similar_texts_of_a_shared_id(shipped, parts):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a + " q"), (5, a), (5, b), (7, b + " q"), (5, a), (None, a)]
+    order = rows if parts == 1 else rows[::-1]
+    got = sorted(tuple(r.values()) for r in rows_of(jaccard.similar_groups(documents(shipped, order).repartition(parts))) if r["doc_id"] is not None)
+    assert got == [(1, 39, 1), (5, 38, 1), (5, 38, 1), (5, 38, 5), (7, 39, 5)]
