@@ -24,8 +24,9 @@ LENGTH = 2048
 END = 1
 GROUP = 8192
 
-# A worker keeps the ids of up to twice so many words, about 200 bytes each.
-KEPT_WORDS = 400_000
+# A worker keeps the ids of up to twice so many words, and of twice so many heads of words, about 200 bytes each.
+KEPT_WORDS = 200_000
+KEPT_HEADS = 500_000
 
 # Texts of about so many bytes are split into words at a time, and so many new words are encoded in a row.
 CHUNK = 1 << 20
@@ -34,12 +35,36 @@ IN_A_ROW = 4096
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, otherwise the next from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+class Kept:
+    """A dictionary of the last entries: at ``size`` it becomes the older one, from which entries come back as they are asked for."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+
+
 class Tokens:
     """Ids of whole texts as little-endian 32-bit integers, each blank-separated word encoded once.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a
-    row; it also parts letters from marks, so a word of letters with marks after it is its two parts in a row.
-    Words of letters are encoded many at a time: each ends with the one id that ends a word.
+    row; it also parts letters from marks, so a word of letters with marks after it is its two parts in a row. A head, the
+    letters in their normal form, is one word to the tokenizer's model and goes there at once; all else takes the whole way.
     """
 
     MARKS = "!#$%&()*+,-./:;=?@[]^_`{|}~"
@@ -49,62 +74,61 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words, self.heads = Kept(KEPT_WORDS), Kept(KEPT_HEADS)
+        self.marks: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
 
     def encode(self, words: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.asarray(c.ids, "<u4").tobytes() for c in codes]
 
-    def encode_letters(self, words: list[str]) -> list[bytes]:
-        code = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.asarray(code.ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):  # a letter that is no letter in its normal form
-            return self.encode(words)
-        whole, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
-
     @staticmethod
-    def is_letters(word: str) -> bool:
-        """Letters alone, in the tokenizer's normal form too."""
-        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+    def head(base: str) -> str | None:
+        """The tokenizer's normal form of a run of letters; None where it may be no single word of it."""
+        if base.isascii():
+            return base.lower() if base.isalpha() else None
+        # The tokenizer lowers each letter by itself, Python a final capital sigma by its place.
+        if "\u03a3" in base or not base.isalpha():
+            return None
+        low = unicodedata.normalize("NFC", base).lower()
+        return low if low.isalpha() else None
+
+    def encode_head(self, head: str) -> bytes:
+        shown = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Makes all of ``words`` known."""
-        known, older = self.known, self.older
-        new = []
+        known, get, marks = self.words.new, self.heads.get, self.marks
+        plain = []
         for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            else:
-                new.append(w)
-        split = [(w, w.rstrip(self.MARKS)) for w in new]
-        letters = [(w, base) for w, base in split if self.is_letters(base)]
-        plain = [w for w, base in split if not self.is_letters(base)]
-        parts = {base for _, base in letters} | {w[len(base) :] for w, base in letters}
-        parts = [p for p in parts if p not in known]
-        heads, tails = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
-        for i in range(0, len(heads), IN_A_ROW):
-            some = heads[i : i + IN_A_ROW]
-            known.update(zip(some, self.encode_letters(some), strict=True))
-        plain += tails
+            if self.words.get(w) is not None:
+                continue
+            base = w.rstrip(self.MARKS)
+            head = self.head(base)
+            if head is None:
+                plain.append(w)
+                continue
+            ids = get(head)
+            if ids is None:
+                ids = self.heads.new[head] = self.encode_head(head)
+            tail = w[len(base) :]
+            if tail not in marks:
+                if len(marks) > IN_A_ROW:
+                    marks = self.marks = {"": b""}
+                marks[tail] = self.encode([tail])[0]
+            known[w] = ids + marks[tail]
         for i in range(0, len(plain), IN_A_ROW):
             some = plain[i : i + IN_A_ROW]
             known.update(zip(some, self.encode(some), strict=True))
-        for w, base in letters:
-            known[w] = known[base] + known[w[len(base) :]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_WORDS:
-            self.known, self.older = {}, self.known
+        self.words.turn()
+        self.heads.turn()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         distinct = set().union(*split)
-        self.learn(distinct.difference(self.known))
-        get = self.known.__getitem__
+        self.learn(distinct.difference(self.words.new))
+        get = self.words.new.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
