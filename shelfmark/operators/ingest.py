@@ -88,16 +88,21 @@ def item_counters(judged: DataFrame) -> DataFrame:
 
 
 def measure_counters(judged: DataFrame, items: DataFrame) -> DataFrame:
-    """As ``item_counters``. Unlisted measures are not skips; without any item nothing is read."""
+    """As ``item_counters``. Unlisted measures are not skips; without any item all are zero."""
     reason = F.col("reject_reason")
-    any_item = items.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() > 0
-    sent = reason.isNull() & any_item
-    skipped = reason.isNotNull() & (reason != "unlisted_measure") & any_item
-    return judged.agg(
+    sent = reason.isNull()
+    counted = judged.agg(
         F.count_if(sent).alias("inserted"),
-        F.count_if(skipped).alias("skipped"),
+        F.count_if(~sent & (reason != "unlisted_measure")).alias("skipped"),
         F.count_distinct(F.when(sent, F.col("row_id"))).alias("distinct_ids"),
-    ).select(F.lit("measures").alias("source"), "inserted", "skipped", "distinct_ids")
+    )
+    # One row: an item or none. Without one nothing was sent, and what was refused is no skip.
+    any_item = items.select(F.lit(True).alias("any")).limit(1)
+    both = counted.join(F.broadcast(any_item), F.lit(True), "left")
+    there = F.col("any").isNotNull()
+    return both.select(F.lit("measures").alias("source"), *[
+        F.when(there, F.col(c)).otherwise(0).alias(c) for c in ("inserted", "skipped", "distinct_ids")
+    ])
 
 
 def load_counters(judged_items: DataFrame, judged_measures: DataFrame) -> DataFrame:

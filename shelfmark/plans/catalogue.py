@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -99,22 +100,22 @@ def quality_checks(spark: SparkSession, folder: str, multi_line: bool = True) ->
     The checks of a source are computed here, a handful of rows each, as only reading a file shows
     whether it can be read.
     """
-    raw = read_catalogue(spark, folder, multi_line)
     item_source, measure_source, reference_source = quality.SOURCES
-
+    at = {name: f"{folder.rstrip('/')}/{file}" for name, file in FILES.items()}
     parts = [
-        (raw.items, item_source, lambda t: quality.item_checks(t.rows)),
-        (raw.measures, measure_source, lambda t: quality.measure_checks(t.rows)),
-        (raw.reference, reference_source, lambda t: quality.reference_checks(t.rows, t.missing_columns)),
+        (at["items"], read_items, item_source, lambda t: quality.item_checks(t.rows)),
+        (at["measures"], read_measures, measure_source, lambda t: quality.measure_checks(t.rows)),
+        (at["reference"], read_reference, reference_source, lambda t: quality.reference_checks(t.rows, t.missing_columns)),
     ]
-    checks = [_checked(spark, table, source, build) for table, source, build in parts]
+    checks = [_checked(spark, lambda read=read, path=path: read(spark, path, multi_line), source, build) for path, read, source, build in parts]
     return checks[0].unionByName(checks[1]).unionByName(checks[2])
 
 
-def _checked(spark: SparkSession, table: RawTable, source: str, build) -> DataFrame:
-    if not table.found:
-        return quality.unreadable_source(spark, source, f"File not found: {table.path}")
+def _checked(spark: SparkSession, read: Callable[[], RawTable], source: str, build: Callable[[RawTable], DataFrame]) -> DataFrame:
     try:
+        table = read()
+        if not table.found:
+            return quality.unreadable_source(spark, source, f"File not found: {table.path}")
         checks = build(table)
         return spark.createDataFrame(checks.collect(), checks.schema)
     except (PySparkException, Py4JJavaError) as error:

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -34,22 +34,25 @@ def read_raw(
 
     Doubled quotes are one quote, absent and short fields are null, extra fields and
     blank lines are passed over, nothing is inferred. ``multi_line`` allows line breaks
-    inside quotes; a file is still read by as many tasks as it has splits. All files of a folder
+    inside quotes: where ``has_broken_records`` finds none, files are still read by as many tasks as they have
+    splits, otherwise each by one task, as Spark can only find such records from a file's start. All files of a folder
     must have the same header; a different one fails the read. A missing path gives an
     empty table with ``found`` false. ``ordered`` adds ``READ_ORDER``: file, split and place in
     the split, taken on the scan, so no later shuffle changes it.
     """
+    reader = (
+        spark.read.option("header", True)
+        .option("encoding", "UTF-8")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("enforceSchema", False)
+        .option("maxCharsPerColumn", -1)
+    )
     try:
-        table = (
-            spark.read.option("header", True)
-            .option("encoding", "UTF-8")
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .option("enforceSchema", False)
-            .option("maxCharsPerColumn", -1)
-            .csv(path)
-        )
+        table = reader.csv(path)
+        if multi_line and has_broken_records(spark, path):
+            table = reader.option("multiLine", True).csv(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -58,75 +61,26 @@ def read_raw(
         if ordered:
             empty = empty.withColumn(READ_ORDER, _place(F.lit(""), F.lit(0).cast("long")))
         return RawTable(empty, path, False, ())
-    if multi_line:
-        table = _records(spark, path, table.schema)
     present = set(table.columns)
+    place = _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias(READ_ORDER)
     rows = table.select(*[
         (F.col(f"`{header}`") if header in present else F.lit(None).cast("string")).alias(name)
         for header, name in columns.items()
-    ], *([_order(multi_line)] if ordered else []))
+    ], *([place] if ordered else []))
     return RawTable(rows, path, True, tuple(h for h in columns if h not in present))
 
 
-def _place(file: Column, start: Column) -> Column:
-    return F.struct(file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("row"))
-
-
-def _order(multi_line: bool) -> Column:
-    if multi_line:
-        return F.col("`_at`").alias(READ_ORDER)
-    return _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias(READ_ORDER)
-
-
-def _earlier(rows: DataFrame, number: Column) -> DataFrame:
-    """(file, start, _earlier): the sum of ``number`` over the splits of the file before each split, a row per split."""
-    along = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("file", "start").agg(F.sum(number).alias("_n"))
-    return sums.select("file", "start", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_earlier"))
-
+def has_broken_records(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, as the first and the last line of a record with line breaks do.
 
-def _records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The rows of ``path`` with line breaks allowed inside quotes, and ``_at``, the place of their first line.
-
-    A line begins a record if the quotes before it in its file are even. They are counted in each split, and the
-    splits' parities (a row each) are added up along the file, so a split is judged without the others' lines. A line that is
-    a record by itself is read as it is; only the lines of broken records are brought together, by record.
+    The scan has one column and no shuffle, and ends at the first such line. Without one, every line is a record of its own.
     """
-    lines = spark.read.text(path).select(
-        "value", _place(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("_at")
-    )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    split = ["_at.file", "_at.start"]
-    so_far = Window.partitionBy(*split).orderBy("_at.row").rowsBetween(Window.unboundedPreceding, -1)
-    counted = lines.withColumn("_odd", quotes % 2).withColumn("_before", F.coalesce(F.sum("_odd").over(so_far), F.lit(0)))
-    in_split = lambda df: df.withColumn("file", F.col("_at.file")).withColumn("start", F.col("_at.start"))
-    placed = in_split(counted).join(_earlier(in_split(lines), quotes % 2), ["file", "start"])
-    inside = (F.col("_before") + F.col("_earlier")) % 2 == 1
-    marked = placed.select("value", "_at", "file", "start", inside.alias("_inside"), (F.col("_odd") == 1).alias("_odd"))
-    whole = marked.where("NOT _inside AND NOT _odd").select("value", "_at")
-    # Of a broken record the first and the last line are odd; its number in the file counts the first ones.
-    pieces = marked.where("_inside OR _odd")
-    opens = F.when(F.col("_odd") & ~F.col("_inside"), 1).otherwise(0)
-    here = F.sum(opens).over(Window.partitionBy("file", "start").orderBy("_at.row").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = pieces.withColumn("_here", here).join(_earlier(pieces, opens), ["file", "start"])
-    broken = numbered.withColumn("_record", F.col("_here") + F.col("_earlier")).groupBy("file", "_record").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_lines")
-    )
-    joined = broken.select(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"), F.col("_lines")[0]["_at"].alias("_at"))
-    records = whole.unionByName(joined).where("trim(value) <> ''")
-    first = records.groupBy(F.col("_at.file").alias("file")).agg(F.min("_at").alias("_first"))
-    rows = records.join(first.select(F.col("_first").alias("_at")), "_at", "left_anti")
-    heads = records.join(first.select(F.col("_first").alias("_at")), "_at", "left_semi")
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
-    names = F.array(*[F.lit(c) for c in schema.names])
-    text = StructType([StructField(f"c{i}", StringType()) for i in range(len(schema.names))])
-    found = F.from_csv("value", text.simpleString()[len("struct<"):-1].replace(":", " "), options)
-    same = F.array(*[found[f"c{i}"] for i in range(len(schema.names))])
-    wrong = heads.where(~same.eqNullSafe(names)).select("value").limit(1).collect()
-    if wrong:
-        raise ValueError(f"the header of a file differs: {wrong[0]['value']}")
-    parsed = rows.select(found.alias("_row"), "_at")
-    return parsed.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(schema.names)], "_at")
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _place(file: Column, start: Column) -> Column:
+    return F.struct(file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("row"))
 
 
 def read_reference(spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = False) -> RawTable:

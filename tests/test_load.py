@@ -71,9 +71,10 @@ def test_reader_by_header_name(spark, folder):
     assert measures.first().asDict() == {"row_id": "100", "item_id": "1", "measure_id": "1008", "amount": "10.5"}
 
 
-def test_records_over_split_ends_in_many_tasks(spark, tmp_path):
+@pytest.mark.parametrize("alphabet", ['ab,"\n ', 'ab, '])
+def test_records_with_and_without_line_breaks(spark, tmp_path, alphabet):
     rng = random.Random(8)
-    rows = [(str(i), "".join(rng.choice('ab,"\n ') for _ in range(rng.randint(0, 90))) + "z") for i in range(300)]
+    rows = [(str(i), "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) + "z") for i in range(300)]
     for name, part in (("a.csv", rows[:200]), ("b.csv", rows[200:])):
         with open(tmp_path / name, "w", newline="") as f:
             out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
@@ -82,13 +83,17 @@ def test_records_over_split_ends_in_many_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
         table = read_raw(spark, str(tmp_path), {"id": "id", "name": "name"}, multi_line=True, ordered=True)
+        tasks = table.rows.rdd.getNumPartitions()
         got = table.rows.orderBy(READ_ORDER).select("id", "name").collect()
+        plan = table.rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [tuple(r) for r in got] == rows
+    assert "Exchange" not in plan
+    # Files whose lines are all whole records are read in splits, the others as a whole.
+    assert tasks == 2 if "\n" in alphabet else tasks > 10
 
 
 def test_missing_file_and_columns(spark, tmp_path):
