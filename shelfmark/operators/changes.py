@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.fixed import EVENT_KEYS, INDEXED_CLASS, ITEM_TABLE, MAX_RETRIES, MEASURE_TABLE
 from shelfmark.functions.parsing import clean_text
+from shelfmark.operators.digests import DEPTH, differing_rows
 from shelfmark.operators.documents import documents_for, of_class
 
 
@@ -55,6 +56,22 @@ def table_events(
     )
 
 
+def table_events_by_digests(
+    old_items: DataFrame,
+    new_items: DataFrame,
+    old_measures: DataFrame,
+    new_measures: DataFrame,
+    item_class: str = INDEXED_CLASS,
+    notify_both_owners: bool = True,
+    trim_class: bool = True,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """``table_events`` with the images joined only where their digests differ; the same events."""
+    items = differing_rows(old_items, new_items, "item_id", depth=depth)
+    measures = differing_rows(old_measures, new_measures, "row_id", depth=depth)
+    return table_events(*items, *measures, item_class, notify_both_owners, trim_class)
+
+
 def with_payload(events: DataFrame) -> DataFrame:
     """Adds ``payload``, the event as JSON text."""
     table, op, item = EVENT_KEYS

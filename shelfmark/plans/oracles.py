@@ -443,3 +443,10 @@ ORACLES["search_after_events"] = f"""WITH {_IMAGES}, {_image_docs('old')}, {_ima
     UNION SELECT item_id, name FROM new_docs WHERE item_id IN (SELECT item_id FROM folded WHERE action = 'refresh'))""",
     _TYPED_REQUESTS)}
 SELECT query_id, rank, doc_id, score, name FROM hits"""
+
+
+# The same rows as without buckets or digests.
+ORACLES["upsert_bucketed"] = ORACLES["upsert_items"]
+ORACLES["update_bucketed"] = ORACLES["partial_update"]
+ORACLES["derive_events_by_digests"] = ORACLES["derive_events"]
+ORACLES["store_changes"] = ORACLES["docs_rebuild"]

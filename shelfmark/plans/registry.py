@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import parsing
 from shelfmark.functions.text import sanitize_query
-from shelfmark.operators import changes, constraints, documents, ingest, mutations, quality
+from shelfmark.operators import changes, constraints, documents, ingest, mutations, quality, store
 from shelfmark.operators import index as indexes
 from shelfmark.operators import requests as req
 from shelfmark.operators import search as text_search
 from shelfmark.operators import typos
+from shelfmark.operators.digests import differing_rows
 from shelfmark.plans import bindings as b
 from shelfmark.plans.catalogue import table_counts
 from shelfmark.session import scratch_dir, settled
@@ -21,6 +22,9 @@ from shelfmark.session import scratch_dir, settled
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Buckets of the tables that queries keep in buckets.
+BUCKETS = 16
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -219,6 +223,49 @@ def delete_reference(spark: SparkSession, sf: str) -> DataFrame:
     return statuses.join(left.withColumn("stays", F.lit(True)), "nation", "left").select("nation", "status", F.coalesce("stays", F.lit(False)).alias("stays"))
 
 
+def _bucketed_items(spark: SparkSession, sf: str) -> store.KeyedTable:
+    return store.create_table(b.images(spark, sf)["old_items"], scratch_dir(spark), "item_id", BUCKETS)
+
+
+@query
+def upsert_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert of ``upsert_items`` on a table in buckets."""
+    table = _bucketed_items(spark, sf)
+    lines = b.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("item_id"),
+        F.concat(F.lit("FLAG "), "l_returnflag").alias("item_class"),
+        F.col("l_linestatus").alias("description"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    changed = lines.groupBy("item_id", "seq").agg(
+        F.max("item_class").alias("item_class"), F.max("description").alias("description")
+    )
+    table.upsert(settled(changed), "seq")
+    return table.rows()
+
+
+@query
+def update_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The updates of ``partial_update`` on a table in buckets."""
+    table = _bucketed_items(spark, sf)
+    table.update(settled(_updates(spark, sf)), "seq")
+    return table.rows()
+
+
+@query
+def store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of the older image that follows to the newer one, then the documents of all its items."""
+    images = {name: settled(df) for name, df in b.images(spark, sf).items()}
+    kept = store.create_store(images["old_items"], images["old_measures"], scratch_dir(spark), BUCKETS)
+    old, new = map(settled, differing_rows(images["old_measures"], images["new_measures"], "row_id"))
+    kept.delete_measures(old.join(new.select("row_id"), "row_id", "left_anti"))
+    kept.upsert_measures(new.withColumn("seq", F.lit(0)), "seq")
+    old, new = map(settled, differing_rows(images["old_items"], images["new_items"], "item_id"))
+    kept.items.delete(old.join(new.select("item_id"), "item_id", "left_anti"))
+    kept.items.upsert(new.withColumn("seq", F.lit(0)), "seq")
+    return documents.explode_documents(kept.documents_for(kept.items.rows(), item_class=b.CLASS, mapping=b.MAPPING))
+
+
 def _updates(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "events").select(
         F.col("user_id").alias("item_id"),
@@ -468,6 +515,16 @@ def derive_events(spark: SparkSession, sf: str) -> DataFrame:
     return changes.with_payload(events).groupBy("table", "op", "item_id", "payload").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def derive_events_by_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of ``derive_events``, from the rows whose digests differ between the images."""
+    images = b.images(spark, sf)
+    events = changes.table_events_by_digests(
+        *[settled(images[f"{which}_{table}"]) for table in ("items", "measures") for which in ("old", "new")], b.CLASS
+    )
+    return changes.with_payload(events).groupBy("table", "op", "item_id", "payload").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def parse_events(spark: SparkSession, sf: str) -> DataFrame:
     return changes.parse_events(b.feed(spark, sf)).select("seq", "table", "op", "item_id", "reject_reason")
