@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,8 +158,12 @@ def document_changes(actions: DataFrame, items: DataFrame, measures: DataFrame,
 
     A refreshed item that is gone or not of the class becomes a deletion.
     """
-    refreshed = actions.where("action = 'refresh'")
-    rebuilt = documents_for(items, measures, refreshed.select("item_id"), **options).withColumn("_built", F.lit(True))
+    return changes_by(actions, lambda ids: documents_for(items, measures, ids, **options))
+
+
+def changes_by(actions: DataFrame, rebuild: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``document_changes`` with the documents of the refreshed ids (item_id) that ``rebuild`` gives."""
+    rebuilt = rebuild(actions.where("action = 'refresh'").select("item_id")).withColumn("_built", F.lit(True))
     return actions.join(rebuilt, "item_id", "left").select(
         "item_id", "name", "nutrients", F.col("_built").isNull().alias("deleted")
     )

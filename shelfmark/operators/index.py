@@ -58,10 +58,10 @@ def total_row(words: DataFrame) -> DataFrame:
     sums = words.where("doc_len > 0").agg(
         F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("bigint").alias("sum_len")
     )
-    return _with_average(sums)
+    return with_average(sums)
 
 
-def _with_average(sums: DataFrame) -> DataFrame:
+def with_average(sums: DataFrame) -> DataFrame:
     return sums.withColumn("avg_len", F.try_divide(F.col("sum_len").cast("double"), F.col("n_docs")))
 
 
@@ -122,7 +122,7 @@ def updated(index: SearchIndex, before: DataFrame, after: DataFrame, pattern: st
     terms = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
     less = total_row(old).select((-F.col("n_docs")).alias("n_docs"), (-F.col("sum_len")).alias("sum_len"))
     sums = index.totals.select("n_docs", "sum_len").unionByName(less).unionByName(total_row(new).select("n_docs", "sum_len"))
-    totals = _with_average(sums.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_len").alias("sum_len")))
+    totals = with_average(sums.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_len").alias("sum_len")))
     return SearchIndex(postings, terms, totals, index.buckets)
 
 

@@ -23,14 +23,18 @@ def load_reference(raw: DataFrame, mapping: Mapping[int, str] = MEASURE_NAMES) -
     ).where(_listed(mapping)).withColumn("measure_id", F.col("measure_id").cast("int"))
 
 
-def judge_items(raw: DataFrame, item_class: str = INDEXED_CLASS) -> DataFrame:
-    """Typed items with ``reject_reason`` (null for rows to load). A blank description stays ''."""
+def judge_items(raw: DataFrame, item_class: str = INDEXED_CLASS, keep: Mapping[str, Column] | None = None) -> DataFrame:
+    """Typed items with ``reject_reason`` (null for rows to load). A blank description stays ''.
+
+    ``keep`` are further columns, by name, worked out on the raw ones.
+    """
     return raw.select(
         safe_int("item_id").alias("item_id"),
         clean_text("item_class").alias("item_class"),
         clean_text("description").alias("description"),
         safe_date("published").alias("published"),
         *_order(raw),
+        *[value.alias(name) for name, value in (keep or {}).items()],
     ).withColumn(
         "reject_reason",
         F.when(F.col("item_class") != item_class, "other_class").when(F.col("item_id").isNull(), "bad_item_id"),

@@ -92,6 +92,34 @@ def update_status(base: DataFrame, changes: DataFrame, key: str, order: str) ->
     )
 
 
+def measure_update_status(
+    base: DataFrame, changes: DataFrame, items: DataFrame, reference: DataFrame, key: str = "row_id", order: str = "seq"
+) -> DataFrame:
+    """``update_status`` of measures: a change to an item or a measure that is not there is refused, as ``unknown_item`` or ``unknown_measure``."""
+    marked = _referred(changes, items, reference)
+    refused = marked.where("_reason IS NOT NULL").select(key, order, F.col("_reason").alias("status"))
+    good = marked.where("_reason IS NULL").select(*changes.columns)
+    return refused.unionByName(update_status(base, good, key, order))
+
+
+def update_measures(
+    base: DataFrame, changes: DataFrame, items: DataFrame, reference: DataFrame, key: str = "row_id", order: str = "seq"
+) -> DataFrame:
+    """``partial_update`` of measures with the changes that ``measure_update_status`` does not refuse."""
+    good = _referred(changes, items, reference).where("_reason IS NULL").select(*changes.columns)
+    return partial_update(base, good, key, order)
+
+
+def _referred(changes: DataFrame, items: DataFrame, reference: DataFrame) -> DataFrame:
+    """``changes`` with ``_reason`` where they refer to what is not there; a field that is null changes nothing."""
+    marked = with_membership(changes, items, "item_id", "_item")
+    marked = with_membership(marked, reference, "measure_id", "_measure")
+    reason = F.when(F.col("item_id").isNotNull() & ~F.col("_item"), "unknown_item").when(
+        F.col("measure_id").isNotNull() & ~F.col("_measure"), "unknown_measure"
+    )
+    return marked.withColumn("_reason", reason)
+
+
 def delete_status(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """(key, deleted) per distinct key asked for."""
     asked = keys.select(key).distinct()

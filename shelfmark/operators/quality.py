@@ -38,6 +38,16 @@ REFERENCE_LABELS = {
 SOURCES = ("food", "food_nutrient", "nutrient")
 
 
+def scanned(raw: DataFrame, max_rows: int | None = None, fraction: float | None = None, seed: int = 0) -> DataFrame:
+    """The rows that a check looks at: all by default.
+
+    ``max_rows`` stops before so many rows, so one less is looked at; none and 0 are no cap. ``fraction`` takes a random share of all
+    rows, the same one for a ``seed``; it is read in every task, while a cap ends with the first rows found.
+    """
+    rows = raw if fraction is None else raw.sample(fraction=fraction, seed=seed)
+    return rows.limit(max_rows - 1) if max_rows else rows
+
+
 def item_checks(raw: DataFrame, item_class: str = INDEXED_CLASS, source: str = SOURCES[0]) -> DataFrame:
     text = F.coalesce("description", F.lit(""))
     clean = clean_text("description")
@@ -57,7 +67,7 @@ def item_checks(raw: DataFrame, item_class: str = INDEXED_CLASS, source: str = S
         _sum("empty").alias("empty_descriptions"),
         _sum("padded").alias("padded_descriptions"),
     )
-    return _rows(totals, source, ITEM_LABELS)
+    return check_rows(totals, source, ITEM_LABELS)
 
 
 def reference_checks(
@@ -70,7 +80,7 @@ def reference_checks(
         F.count_if(F.col("id").isNotNull() & (F.col("n") > 1)).alias("duplicate_ids"),
         _sum(F.when(F.col("id").isNull(), F.col("n"))).alias("bad_ids"),
     )
-    return _rows(totals, source, REFERENCE_LABELS)
+    return check_rows(totals, source, REFERENCE_LABELS)
 
 
 def measure_checks(
@@ -103,7 +113,7 @@ def measure_checks(
         # A listed measure has a valid id by definition; the line is kept for its shape.
         F.lit(0).cast("bigint").alias("bad_measure_ids"),
     )
-    return _rows(totals, source, MEASURE_LABELS)
+    return check_rows(totals, source, MEASURE_LABELS)
 
 
 def unreadable_source(spark, source: str, message: str) -> DataFrame:
@@ -152,7 +162,7 @@ def _sum(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
 
 
-def _rows(totals: DataFrame, source: str, labels: Mapping[str, str]) -> DataFrame:
+def check_rows(totals: DataFrame, source: str, labels: Mapping[str, str]) -> DataFrame:
     """The one-row ``totals`` turned into a row per check."""
     checks = F.array(*[
         F.struct(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import shuffle_partitions
+from shelfmark.operators.bloom import KeyFilter, key_filter
+from shelfmark.session import settled, shuffle_partitions
 
 # A key side up to this many distinct keys is broadcast; its size is counted first.
 BROADCAST_KEYS = 1_000_000
@@ -68,11 +69,26 @@ def with_membership(
 
 
 def keep_known(facts: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
-    return with_membership(facts, keys, key, "_known", limit).where("_known").drop("_known")
+    """The rows of ``facts`` whose key is among ``keys``; beyond ``limit`` keys a Bloom filter of them goes before the shuffle."""
+    maybe, known, _ = _filtered(facts, keys, key, limit)
+    return with_membership(maybe, known, key, "_known", limit).where("_known").drop("_known")
 
 
 def drop_known(facts: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
-    return with_membership(facts, keys, key, "_known", limit).where("NOT _known").drop("_known")
+    """The other rows. Those that the filter tells apart stay where they are; for that ``facts`` is read a second time."""
+    maybe, known, filter_ = _filtered(facts, keys, key, limit)
+    left = with_membership(maybe, known, key, "_known", limit).where("NOT _known").drop("_known")
+    return left if filter_ is None else left.unionByName(filter_.failing(facts, key))
+
+
+def _filtered(facts: DataFrame, keys: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame, KeyFilter | None]:
+    """(rows that may have one of ``keys``, the distinct keys, the filter that said so)."""
+    known = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    if fits_broadcast(known, limit):
+        return facts, known, None
+    known = settled(known)
+    filter_ = key_filter(known, key, known.count())
+    return (facts if filter_ is None else filter_.passing(facts, key)), known, filter_
 
 
 def latest(df: DataFrame, key: str, order: Column | str) -> DataFrame:

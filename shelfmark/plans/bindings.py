@@ -175,6 +175,20 @@ def measure_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _derived(table(spark, sf, "events"), NEW_MEASURES_BATCH)
 
 
+# One change of a measure per event: of rows that are there and others, to items and measures that are there and others.
+MEASURE_CHANGES = {
+    "row_id": "(event_id % 3000) * 10 + 1 + event_id % 7",
+    "item_id": "CASE WHEN event_type = 'view' THEN user_id WHEN event_type = 'error' THEN -1 - user_id END",
+    "measure_id": "CAST(CASE WHEN value < 5 THEN 99 WHEN value < 20 THEN event_id % 25 END AS INT)",
+    "amount": "CASE WHEN value > 30 THEN value END",
+    "seq": "event_id",
+}
+
+
+def measure_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return _derived(table(spark, sf, "events"), MEASURE_CHANGES)
+
+
 # Every event tries to insert its user; some have no key, some no order.
 INSERTS = {
     "item_id": "CASE WHEN event_type = 'error' THEN NULL ELSE user_id END",

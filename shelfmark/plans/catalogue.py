@@ -94,17 +94,21 @@ def funnel(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFra
     return load_funnel(judge_measures(raw.measures.rows, load_items(raw.items.rows)))
 
 
-def quality_checks(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
+def quality_checks(
+    spark: SparkSession, folder: str, multi_line: bool = True, max_rows: int | None = None, fraction: float | None = None
+) -> DataFrame:
     """All checks over the three files; a missing or unreadable file is an issue of its source.
 
+    ``max_rows`` or ``fraction`` limit the rows of items and measures looked at, as in ``quality.scanned``.
+
     The checks of a source are computed here, a handful of rows each, as only reading a file shows
     whether it can be read.
     """
     item_source, measure_source, reference_source = quality.SOURCES
     at = {name: f"{folder.rstrip('/')}/{file}" for name, file in FILES.items()}
     parts = [
-        (at["items"], read_items, item_source, lambda t: quality.item_checks(t.rows)),
-        (at["measures"], read_measures, measure_source, lambda t: quality.measure_checks(t.rows)),
+        (at["items"], read_items, item_source, lambda t: quality.item_checks(quality.scanned(t.rows, max_rows, fraction))),
+        (at["measures"], read_measures, measure_source, lambda t: quality.measure_checks(quality.scanned(t.rows, max_rows, fraction))),
         (at["reference"], read_reference, reference_source, lambda t: quality.reference_checks(t.rows, t.missing_columns)),
     ]
     checks = [_checked(spark, lambda read=read, path=path: read(spark, path, multi_line), source, build) for path, read, source, build in parts]

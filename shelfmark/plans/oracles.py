@@ -184,7 +184,7 @@ UNION ALL SELECT (SELECT m FROM highest) + row_number() OVER (ORDER BY seq), ite
 
 ORACLES["delete_reference"] = """WITH keys AS (SELECT n_nationkey AS nation FROM nation UNION SELECT n_nationkey + 20 FROM nation),
 judged AS (SELECT nation, CASE WHEN nation NOT IN (SELECT n_nationkey FROM nation) THEN 'not_found'
-    WHEN nation IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000) THEN 'restricted'
+    WHEN nation IN (SELECT s_nationkey FROM supplier) THEN 'restricted'
     ELSE 'deleted' END AS status FROM keys)
 SELECT CAST(nation AS INTEGER) AS nation, status, status = 'restricted' AS stays FROM judged"""
 
@@ -450,3 +450,23 @@ ORACLES["upsert_bucketed"] = ORACLES["upsert_items"]
 ORACLES["update_bucketed"] = ORACLES["partial_update"]
 ORACLES["derive_events_by_digests"] = ORACLES["derive_events"]
 ORACLES["store_changes"] = ORACLES["docs_rebuild"]
+ORACLES["event_outcomes_keyed"] = ORACLES["event_outcomes"]
+ORACLES["observed_counters"] = ORACLES["load_counters"]
+ORACLES["observed_funnel"] = ORACLES["load_funnel"]
+ORACLES["observed_quality"] = ORACLES["quality_lines"]
+
+_REFERRED = f"""{_MEASURES}, {_derived('batch', b.MEASURE_CHANGES, 'events')}, judged AS (
+    SELECT *, CASE WHEN item_id IS NOT NULL AND item_id NOT IN (SELECT p_partkey FROM part) THEN 'unknown_item'
+        WHEN measure_id IS NOT NULL AND measure_id NOT IN (SELECT n_nationkey FROM nation) THEN 'unknown_measure' END AS reason
+    FROM batch)"""
+ORACLES["measure_update_status"] = f"""WITH {_REFERRED} SELECT row_id, seq, CASE WHEN reason IS NOT NULL THEN reason
+    WHEN item_id IS NULL AND measure_id IS NULL AND amount IS NULL THEN 'no_change'
+    WHEN row_id IN (SELECT row_id FROM measures) THEN 'updated' ELSE 'not_found' END AS status FROM judged"""
+ORACLES["update_measures"] = f"""WITH {_REFERRED}, folded AS (
+    SELECT row_id, arg_max(item_id, seq) FILTER (WHERE item_id IS NOT NULL) AS item_id,
+        arg_max(measure_id, seq) FILTER (WHERE measure_id IS NOT NULL) AS measure_id,
+        arg_max(amount, seq) FILTER (WHERE amount IS NOT NULL) AS amount
+    FROM judged WHERE reason IS NULL GROUP BY row_id)
+SELECT m.row_id, coalesce(f.item_id, m.item_id) AS item_id, coalesce(f.measure_id, m.measure_id) AS measure_id,
+    coalesce(f.amount, m.amount) AS amount FROM measures m LEFT JOIN folded f USING (row_id)"""
+ORACLES["search_segments"] = ORACLES["search_after_events"]

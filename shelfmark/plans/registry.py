@@ -13,11 +13,14 @@ from shelfmark.operators import changes, constraints, documents, ingest, mutatio
 from shelfmark.operators import index as indexes
 from shelfmark.operators import requests as req
 from shelfmark.operators import search as text_search
+from shelfmark.operators import segments
 from shelfmark.operators import typos
 from shelfmark.operators.digests import differing_rows
 from shelfmark.plans import bindings as b
 from shelfmark.plans.catalogue import table_counts
+from shelfmark.plans.observed import Loaded, scratch_load
 from shelfmark.session import scratch_dir, settled
+from shelfmark.streaming.keyed import EventState, event_states, keyed_state, read_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,13 +216,29 @@ def insert_measures(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _nations(spark: SparkSession, sf: str) -> DataFrame:
+    return b.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("measure_id"))
+
+
+@query
+def measure_update_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a change of a measure, refused where it refers to a part or a nation's key that is not there."""
+    base, batch = b.keyed_measures(spark, sf), b.measure_changes(spark, sf)
+    return mutations.measure_update_status(base, batch, b.items(spark, sf), _nations(spark, sf))
+
+
+@query
+def update_measures(spark: SparkSession, sf: str) -> DataFrame:
+    base = b.keyed_measures(spark, sf).select("row_id", "item_id", "measure_id", "amount")
+    return mutations.update_measures(base, b.measure_changes(spark, sf), b.items(spark, sf), _nations(spark, sf))
+
+
 @query
 def delete_reference(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations and some other keys, asked to be deleted while customers of one market segment refer to them."""
+    """Nations and some other keys, asked to be deleted while suppliers refer to some of them."""
     nations = b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))
     keys = nations.union(nations.select((F.col("nation") + 20).cast("int")))
-    users = b.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
-    left, statuses = mutations.delete_reference(nations, keys, users, "nation", "c_nationkey")
+    left, statuses = mutations.delete_reference(nations, keys, b.table(spark, sf, "supplier"), "nation", "s_nationkey")
     return statuses.join(left.withColumn("stays", F.lit(True)), "nation", "left").select("nation", "status", F.coalesce("stays", F.lit(False)).alias("stays"))
 
 
@@ -411,7 +430,8 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    index = indexes.scratch_index(b.corpus(spark, sf), "doc_id", "name")
+    """The statistics alone, so nothing of the index is written."""
+    index = indexes.build_index(b.corpus(spark, sf), "doc_id", "name")
     n_docs = index.totals.select("n_docs").scalar()
     return indexes.term_statistics(index).withColumn("n_docs", n_docs)
 
@@ -474,20 +494,43 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     return text_search.search(b.passages(spark, sf), index, docs).select("query_id", "rank", "doc_id", "score")
 
 
-@query
-def search_after_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names searched after the feed: the older documents are indexed, and the index follows the changes."""
+def _followed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The older documents, what the feed changed in them, and all of them afterwards."""
     images = b.images(spark, sf)
     old = settled(_image_documents(spark, sf, "old"))
-    index = indexes.scratch_index(old.select(F.col("item_id").alias("doc_id"), "name"), "doc_id", "name")
     actions = changes.last_actions(changes.route_events(changes.parse_events(b.feed(spark, sf))))
     changed = settled(changes.document_changes(
         actions, images["new_items"], images["new_measures"], item_class=b.CLASS, mapping=b.MAPPING,
     ))
+    return old, changed, settled(changes.apply_changes(old, changed).select(F.col("item_id").alias("doc_id"), "name"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.col("item_id").alias("doc_id"), "name")
+
+
+@query
+def search_after_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names searched after the feed: the older documents are indexed, and the index follows the changes."""
+    old, changed, docs = _followed(spark, sf)
+    index = indexes.scratch_index(_named(old), "doc_id", "name")
     before = old.join(changed.select("item_id"), "item_id", "left_semi")
-    named = [df.select(F.col("item_id").alias("doc_id"), "name") for df in (before, changed.where("NOT deleted"))]
-    docs = settled(changes.apply_changes(old, changed).select(F.col("item_id").alias("doc_id"), "name"))
-    found = text_search.search(b.name_requests(spark, sf, b.TYPED_REQUESTS), indexes.updated(index, *named), docs)
+    index = indexes.updated(index, _named(before), _named(changed.where("NOT deleted")))
+    found = text_search.search(b.name_requests(spark, sf, b.TYPED_REQUESTS), index, docs)
+    return found.select("query_id", "rank", "doc_id", "score", "name")
+
+
+@query
+def search_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The search of ``search_after_events`` on an index to which the changes were appended in three batches."""
+    old, changed, docs = _followed(spark, sf)
+    path = scratch_dir(spark)
+    indexes.save_index(_named(old), "doc_id", "name", path)
+    for batch in range(3):
+        part = changed.where(F.pmod(F.xxhash64("item_id"), F.lit(3)) == batch)
+        before = old.join(part.select("item_id"), "item_id", "left_semi")
+        segments.append_segment(spark, path, batch, _named(before), _named(part.where("NOT deleted")))
+    found = text_search.search(b.name_requests(spark, sf, b.TYPED_REQUESTS), segments.load_segments(spark, path), docs)
     return found.select("query_id", "rank", "doc_id", "score", "name")
 
 
@@ -549,6 +592,47 @@ def event_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return changes.settle_events(routed, failed).select("seq", "item_id", "attempt", "outcome")
 
 
+@query
+def event_outcomes_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcomes of ``event_outcomes`` from a stream with the state of each item."""
+
+    def attempt(item_id: int, action: str) -> str | None:
+        return "not reachable" if item_id % 3 == 0 else None
+
+    target = scratch_dir(spark)
+    schema = b.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    feed = events.selectExpr("event_id AS seq", f"{b.PAYLOAD} AS payload")
+    routed = changes.route_events(changes.parse_events(feed)).withColumn("attempt", F.pmod("seq", F.lit(5)).cast("int"))
+    with keyed_state(spark):
+        found = event_states(routed, EventState(attempt))
+        writer = found.writeStream.format("parquet").option("path", f"{target}/outcomes").option("checkpointLocation", f"{target}/checkpoint")
+        read_all(writer.outputMode("append").trigger(availableNow=True).start())
+    done = spark.read.schema(found.schema).parquet(f"{target}/outcomes")
+    return done.where("NOT retried").select("seq", "item_id", "attempt", "outcome")
+
+
+def _observed(spark: SparkSession, sf: str) -> Loaded:
+    raw = (b.raw_items(spark, sf), b.raw_measures(spark, sf), b.raw_reference(spark, sf))
+    return scratch_load(*raw, item_class=b.CLASS, mapping=b.MAPPING)
+
+
+@query
+def observed_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of ``load_counters``, seen while the tables are loaded."""
+    return _observed(spark, sf).counters
+
+
+@query
+def observed_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    return _observed(spark, sf).funnel
+
+
+@query
+def observed_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.report_lines(_observed(spark, sf).checks).select("source", "line")
+
+
 @query
 def retry_split(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as one that failed, tried as often before as its value says."""

@@ -29,15 +29,16 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from shelfmark.fixed import MAX_RETRIES, RETRY_INTERVAL
 from shelfmark.operators.changes import (
-    document_changes,
+    changes_by,
     last_actions,
     parse_events,
     route_events,
     settle_events,
 )
-from shelfmark.operators.documents import write_documents
+from shelfmark.operators.documents import documents_for, write_documents
 from shelfmark.operators.index import SearchIndex, updated
 from shelfmark.operators.skew import latest
+from shelfmark.operators.store import CatalogueStore
 from shelfmark.schemas import DOCUMENTS
 from shelfmark.session import settled
 
@@ -45,12 +46,15 @@ LOG = StructType([*DOCUMENTS.fields, StructField("deleted", BooleanType())])
 REJECTS = "seq BIGINT, payload STRING, reject_reason STRING"
 RETRY = "seq BIGINT, payload STRING, attempt INT, error STRING, outcome STRING, due DOUBLE"
 
-Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
+Tables = Callable[[SparkSession], tuple[DataFrame, DataFrame] | CatalogueStore]
 
 
 @dataclass
 class DocumentSync:
-    """``tables`` returns the current (items, measures); it is asked once per micro-batch."""
+    """``tables`` returns the current (items, measures), or the store that keeps them; it is asked once per micro-batch.
+
+    Of a store a micro-batch reads the buckets of its items alone.
+    """
 
     target: str
     tables: Tables
@@ -109,9 +113,15 @@ class DocumentSync:
         if actions.isEmpty():
             return failures
         try:
-            items, measures = self.tables(spark)
+            current = self.tables(spark)
         except Exception as error:  # noqa: BLE001 - whatever failed, its events are kept for another try
             return actions.select("item_id", F.lit(str(error)).alias("error"))
+
+        def rebuild(ids: DataFrame) -> DataFrame:
+            if isinstance(current, CatalogueStore):
+                return current.documents_for(ids, **self.options)
+            return documents_for(*current, ids, **self.options)
+
         parts = [(1, 0)]
         while parts:
             modulus, rest = parts.pop()
@@ -119,7 +129,7 @@ class DocumentSync:
             if modulus > 1 and mine.isEmpty():
                 continue
             try:
-                changes = settled(document_changes(mine, items, measures, **self.options).select(*LOG.names))
+                changes = settled(changes_by(mine, rebuild).select(*LOG.names))
             except Exception as error:  # noqa: BLE001
                 if modulus >= 1 << 40 or len(mine.limit(2).collect()) == 1:
                     failures = failures.union(mine.select("item_id", F.lit(str(error)).alias("error")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import changes, digests, mutations, store
 from shelfmark.operators.documents import build_documents
 from shelfmark.session import scratch_dir
+from shelfmark.streaming.sync import DocumentSync
 
 ITEM = "item_id BIGINT, item_class STRING, description STRING"
 MEASURE = "row_id BIGINT, item_id BIGINT, measure_id INT, amount DOUBLE"
@@ -166,3 +167,30 @@ def test_only_rows_of_differing_leaves_are_joined(spark):
     assert rows(changes.item_events(before, after, "a")) == [("foods", "UPDATE", 7 + 2_000 * i) for i in range(10)] or len(rows(changes.item_events(before, after, "a"))) == 10
     levels = {r.level: r.n for r in tree.groupBy("level").agg(F.sum("n").alias("n")).collect()}
     assert levels == {level: 20_000 for level in range(digests.DEPTH + 1)}
+
+
+def test_a_micro_batch_of_a_store_gives_the_same_documents(spark, items, measures):
+    """The stream over a store and over plain tables; the store's batch opens only the buckets of its items."""
+    kept = store.create_store(items, measures, scratch_dir(spark), 64)
+    opened = []
+
+    class Seen(store.CatalogueStore):
+        def documents_for(self, ids, **options):
+            found = super().documents_for(ids, **options)
+            opened.extend(files_read(found))
+            return found
+
+    batch = spark.createDataFrame(
+        [(1, '{"table":"foods","op":"UPDATE","fdc_id":3}'), (2, '{"table":"food_nutrients","op":"DELETE","fdc_id":6}'),
+         (3, '{"table":"foods","op":"DELETE","fdc_id":9}'), (4, '{"table":"foods","op":"INSERT","fdc_id":7777}'), (5, "none")],
+        "seq BIGINT, payload STRING",
+    )
+    found = []
+    for tables in (lambda spark: (items, measures), lambda spark: Seen(kept.items, kept.measures, kept.owners)):
+        sync = DocumentSync(scratch_dir(spark), tables, {"item_class": "c0"})
+        sync.rebuild(spark.createDataFrame([(9, "old", [])], "item_id BIGINT, name STRING, nutrients ARRAY<STRUCT<type STRING, amount DOUBLE>>"))
+        sync.handle(batch, 0)
+        found.append(rows(sync.current(spark)))
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {3, 6}
+    ids = spark.createDataFrame([(3,), (6,), (7777,)], "item_id BIGINT")
+    assert opened and set(opened) <= set(map(str, kept.items.touched(ids)))
