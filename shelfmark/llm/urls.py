@@ -28,8 +28,8 @@ MOST_BITS = 1 << 28
 # A level leaves a fiftieth of the keys of the one before the last.
 MOST_LEVELS = 64
 
-# Rules may have at most so many different path lengths: the keys of a URL are as many times its host's parts.
-MOST_PATH_LENGTHS = 4096
+# Up to so many different lengths of rule paths are looked at by name; beyond them a URL's path is cut at every length, which finds the same rules.
+NAMED_PATH_LENGTHS = 4096
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,14 +44,20 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.regexp_extract(after, r"^[^?#]*", 0)
 
 
-def keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """The keys that could be a rule, the longest first, of equal ones that of the longer host."""
+def keys(host: Column, path: Column, lengths: list[int] | None) -> Column:
+    """The keys that could be a rule, the longest first, of equal ones that of the longer host; without ``lengths`` for paths of any length.
+
+    A URL has as many keys as its host has parts times the lengths that its path reaches.
+    """
     parts = F.split(host, r"\.")
     hosts = F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."),
     )
-    paths = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    if lengths is None:
+        paths = F.sequence(F.lit(0), F.length(path))
+    else:
+        paths = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     pairs = F.flatten(
         F.transform(hosts, lambda h: F.transform(paths, lambda n: F.struct(
             (F.length(h) + n).alias("size"), F.length(h).alias("host"), F.concat(h, F.substring(path, F.lit(1), n)).alias("key")
@@ -172,9 +178,9 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str
     """
     spark = pages.sparkSession
     rules = settled(rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''"))
-    lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").limit(MOST_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MOST_PATH_LENGTHS:
-        raise ValueError(f"rules have more than {MOST_PATH_LENGTHS} different path lengths")
+    lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").limit(NAMED_PATH_LENGTHS + 1).collect()]
+    if len(lengths) > NAMED_PATH_LENGTHS:
+        lengths = None
     host, path = host_path(F.col(url))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
     found = keys(F.col("host"), F.col("path"), lengths)

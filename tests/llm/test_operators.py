@@ -76,6 +76,8 @@ def test_cascade_is_exact_and_may_be_sliced(shipped, monkeypatch):
     assert verdicts() == want
     monkeypatch.setattr(urls, "MOST_BITS", 512)
     assert verdicts() == want
+    monkeypatch.setattr(urls, "NAMED_PATH_LENGTHS", 1)
+    assert verdicts() == want
 
 
 # --- 2 ------------------------------------------------------------------------------------
