@@ -31,6 +31,15 @@ EVENT_KEYS = ("table", "op", "fdc_id")
 # Titles of the quality report's parts, by source.
 REPORT_TITLES = {"food": "Food issues:", "food_nutrient": "Food nutrient issues:", "nutrient": "Nutrient issues:"}
 
+# Fixed sentences of the quality report, which readers of the report rely on; %s stands for the counts by source or the ids.
+REPORT_HEADING = "=== Data cleaning report ==="
+REPORT_IDS = "Nutrient IDs checked (from config): %s"
+REPORT_ISSUES = "Cleaning checks found issues: %s."
+REPORT_NO_ISSUES = (
+    "Cleaning checks completed. No issues found; data is acceptable for ingest "
+    "(filtering and validation will still run at ingest time)."
+)
+
 # Request limits and the codes/messages of refused requests.
 DEFAULT_SIZE = 20
 MIN_SIZE = 1

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES
+from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES, REPORT_ISSUES, REPORT_NO_ISSUES
 from shelfmark.functions.parsing import clean_text, safe_double, safe_int
 
 # Check name -> label of its report line, in report order. Fixed values.
@@ -151,10 +151,7 @@ def summary_text(checks: DataFrame, sources: Sequence[str] = SOURCES) -> DataFra
     parts = ", ".join(f"{s}=%d" for s in sources)
     return counts.select(
         found.alias("has_issues"),
-        F.when(found, F.format_string(f"Cleaning checks found issues: {parts}.", *columns)).otherwise(
-            "Cleaning checks completed. No issues found; data is acceptable for ingest "
-            "(filtering and validation will still run at ingest time)."
-        ).alias("summary"),
+        F.when(found, F.format_string(REPORT_ISSUES % parts, *columns)).otherwise(REPORT_NO_ISSUES).alias("summary"),
     )
 
 

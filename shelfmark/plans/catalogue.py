@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES, REPORT_TITLES
+from shelfmark.fixed import INDEXED_CLASS, MEASURE_NAMES, REPORT_HEADING, REPORT_IDS, REPORT_TITLES
 from shelfmark.operators import quality
 from shelfmark.operators.documents import build_documents, of_class, write_documents
 from shelfmark.operators.index import SearchIndex, save_index
@@ -131,9 +131,9 @@ def quality_report(checks: DataFrame) -> str:
     lines = quality.report_lines(checks).orderBy("position").collect()
     summary = quality.summary_text(checks).first()
     text = [
-        "=== Data cleaning report ===",
+        REPORT_HEADING,
         "",
-        f"Nutrient IDs checked (from config): {sorted(MEASURE_NAMES)}",
+        REPORT_IDS % sorted(MEASURE_NAMES),
         "",
         f"Has issues: {summary['has_issues']}",
         "",

@@ -30,12 +30,13 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from shelfmark.fixed import MAX_RETRIES, RETRY_INTERVAL
 from shelfmark.operators.changes import (
     changes_by,
+    document_changes,
     last_actions,
     parse_events,
     route_events,
     settle_events,
 )
-from shelfmark.operators.documents import documents_for, write_documents
+from shelfmark.operators.documents import write_documents
 from shelfmark.operators.index import SearchIndex, updated
 from shelfmark.operators.skew import latest
 from shelfmark.operators.store import CatalogueStore
@@ -117,10 +118,10 @@ class DocumentSync:
         except Exception as error:  # noqa: BLE001 - whatever failed, its events are kept for another try
             return actions.select("item_id", F.lit(str(error)).alias("error"))
 
-        def rebuild(ids: DataFrame) -> DataFrame:
+        def changed(mine: DataFrame) -> DataFrame:
             if isinstance(current, CatalogueStore):
-                return current.documents_for(ids, **self.options)
-            return documents_for(*current, ids, **self.options)
+                return changes_by(mine, lambda ids: current.documents_for(ids, **self.options))
+            return document_changes(mine, *current, **self.options)
 
         parts = [(1, 0)]
         while parts:
@@ -129,7 +130,7 @@ class DocumentSync:
             if modulus > 1 and mine.isEmpty():
                 continue
             try:
-                changes = settled(changes_by(mine, rebuild).select(*LOG.names))
+                changes = settled(changed(mine).select(*LOG.names))
             except Exception as error:  # noqa: BLE001
                 if modulus >= 1 << 40 or len(mine.limit(2).collect()) == 1:
                     failures = failures.union(mine.select("item_id", F.lit(str(error)).alias("error")))

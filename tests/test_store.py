@@ -24,7 +24,7 @@ def plan(df):
 
 def files_read(df):
     """Bucket folders that a scan of ``df`` opens."""
-    return {p.split("_bucket=")[1].split("/")[0] for p in df.inputFiles()}
+    return {p.split("_bucket=")[1].split("/")[0] for p in df.inputFiles() if "_bucket=" in p}
 
 
 def above_scans(explained, what):
