@@ -150,6 +150,11 @@ def in_training(doc_id: Column, modulus: int = 7, held: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus != held
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a row, by doc_id and text: rows that share a doc_id, or have none, are spread by their texts."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+
+
 def fitted(counts: DataFrame, pieces: Pieces, ends: int) -> Pieces:
     """Probabilities from the pieces expected in all training words, (word, c). A fixed number of sums is gathered."""
     for _ in range(ROUNDS):
@@ -184,8 +189,7 @@ def scored(docs: DataFrame, pieces: Pieces) -> DataFrame:
     training = in_training(F.col("doc_id"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(training.cast("long")).alias("ends")).first()
     ends, blocks = size["ends"] or 0, max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    dealt = docs.withColumn("block", spread).withColumn("training", training)
+    dealt = docs.withColumn("block", block_of(blocks)).withColumn("training", training)
 
     def count(key, part):
         learnt, other = Counter(), set()

@@ -204,7 +204,9 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose((total * model.lengths).sum(), data.size, rel_tol=1e-9)
 
 
-def test_likelihood_counts(shipped):
+@pytest.mark.parametrize("block_bytes", [likelihood.BLOCK_BYTES, 20_000])
+def test_likelihood_counts(shipped, monkeypatch, block_bytes):
+    monkeypatch.setattr(likelihood, "BLOCK_BYTES", block_bytes)
     got = rows_of(likelihood.scored(documents(shipped, ROWS), likelihood.vocabulary(likelihood.pieces_path())))
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     words = lambda t: (t or "").encode().lower().split() + [None]
@@ -217,6 +219,13 @@ def test_likelihood_counts(shipped):
     assert all(r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_doc_id_are_spread(shipped, doc_id):
+    docs = documents(shipped, [(doc_id, f"text {i}") for i in range(400)])
+    sizes = [r["count"] for r in docs.groupBy(likelihood.block_of(8)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 100
+
+
 # --- 5 ------------------------------------------------------------------------------------
 
 
