@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import TOKEN, tokens as split
+from shelfmark.operators.skew import fits_broadcast
 from shelfmark.session import drop_folder, scratch_dir, written
 
 # Postings of a folder, about; their number decides how many folders there are.
@@ -41,11 +42,37 @@ def analysed(docs: DataFrame, id_column: str, text_column: str, pattern: str = T
 
 
 def posting_rows(words: DataFrame, buckets: int = 1) -> DataFrame:
-    """Occurrences folded by term and document; those of a document lie in one task, so little is left to shuffle."""
-    rows = words.select("doc_id", "doc_len", F.posexplode("words").alias("pos", "term"))
-    folded = rows.groupBy("term", "doc_id", "doc_len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return folded.select(
-        bucket_of(F.col("term"), buckets).alias("bucket"), "term", "doc_id", "doc_len", F.size("positions").alias("tf"), "positions"
+    """Occurrences folded by term and document, within the row of the document, so nothing is shuffled.
+
+    Only rows that share their doc_id with another one are brought together, by term and length.
+    """
+    ids = words.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    repeated = F.broadcast(ids) if fits_broadcast(ids) else ids
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    keys = ["term", "doc_id", "doc_len"]
+    merged = _folded(words.join(repeated, same, "left_semi")).groupBy(*keys).agg(
+        F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+    )
+    folded = _folded(words.join(repeated, same, "left_anti")).unionByName(merged)
+    return folded.select(bucket_of(F.col("term"), buckets).alias("bucket"), *keys, F.size("positions").alias("tf"), "positions")
+
+
+def _folded(words: DataFrame) -> DataFrame:
+    """(term, doc_id, doc_len, positions) of each row: its words are sorted by term and place and cut where the term changes.
+
+    The arrays pass through ``explode``, so each is made once for all the places that read it.
+    """
+    places = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
+    at = lambda i: F.get("_places", i)["term"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("_places") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_places"))
+    runs = F.transform("_starts", lambda s, k: F.struct(at(s).alias("term"), F.slice("_places", s + 1, end(k) - s)["pos"].alias("positions")))
+    return (
+        words.where("doc_len > 0")
+        .select("doc_id", "doc_len", F.explode(F.array(places)).alias("_places"))
+        .select("doc_id", "doc_len", "_places", F.explode(F.array(starts)).alias("_starts"))
+        .select("doc_id", "doc_len", F.inline(runs))
+        .select("term", "doc_id", "doc_len", "positions")
     )
 
 
