@@ -46,15 +46,35 @@ def posting_rows(words: DataFrame, buckets: int = 1) -> DataFrame:
 
     Only rows that share their doc_id with another one are brought together, by term and length.
     """
+    alone, repeated = _by_id(words)
+    folded = _folded(alone).unionByName(_merged(repeated))
+    return folded.select(bucket_of(F.col("term"), buckets).alias("bucket"), *_KEYS, F.size("positions").alias("tf"), "positions")
+
+
+def term_counts(words: DataFrame) -> DataFrame:
+    """``term_rows`` of the postings of ``words`` without making them: each word counts as an occurrence, each distinct one of a row as a document."""
+    alone, repeated = _by_id(words)
+    rows = alone.select("doc_len", F.posexplode(F.concat("words", F.array_distinct("words"))).alias("_i", "term"))
+    again = F.col("_i") >= F.col("doc_len")
+    counts = rows.groupBy("term").agg(F.count_if(again).alias("df"), F.count_if(~again).alias("cf"))
+    shared = term_rows(_merged(repeated).withColumn("tf", F.size("positions")))
+    return counts.unionByName(shared).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+_KEYS = ("term", "doc_id", "doc_len")
+
+
+def _by_id(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id no other row has, and the others; null counts as an id."""
     ids = words.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
     repeated = F.broadcast(ids) if fits_broadcast(ids) else ids
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    keys = ["term", "doc_id", "doc_len"]
-    merged = _folded(words.join(repeated, same, "left_semi")).groupBy(*keys).agg(
-        F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
-    )
-    folded = _folded(words.join(repeated, same, "left_anti")).unionByName(merged)
-    return folded.select(bucket_of(F.col("term"), buckets).alias("bucket"), *keys, F.size("positions").alias("tf"), "positions")
+    return words.join(repeated, same, "left_anti"), words.join(repeated, same, "left_semi")
+
+
+def _merged(words: DataFrame) -> DataFrame:
+    """``_folded`` over all rows of a doc_id that have the same length."""
+    return _folded(words).groupBy(*_KEYS).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def _folded(words: DataFrame) -> DataFrame:
@@ -93,12 +113,11 @@ def with_average(sums: DataFrame) -> DataFrame:
 
 
 def index_of(words: DataFrame) -> SearchIndex:
-    postings = posting_rows(words)
-    return SearchIndex(postings, term_rows(postings), total_row(words))
+    return SearchIndex(posting_rows(words), term_counts(words), total_row(words))
 
 
 def build_index(docs: DataFrame, id_column: str, text_column: str, pattern: str = TOKEN) -> SearchIndex:
-    """The tables as plans over ``docs``; nothing is computed or kept."""
+    """The tables as plans over ``docs``; nothing is kept, and only the ids that several rows share are looked for."""
     return index_of(analysed(docs, id_column, text_column, pattern))
 
 

@@ -30,3 +30,13 @@ def test_documents_that_share_an_id_or_have_none_count_together(spark):
         ("a", 1, 2): (2, [0, 1]), ("b", 1, 2): (2, [0, 1]), ("a", 1, 1): (1, [0]),
         ("c", None, 2): (3, [0, 1, 1]), ("d", None, 2): (1, [0]), ("a", 2, 1): (1, [0]),
     }
+
+
+def test_term_counts_need_no_postings(spark, capsys):
+    docs = spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None), (5, "c b"), (5, "b c"), (None, "a c"), (None, "a c"), (5, "c")], DOCS)
+    words = indexes.analysed(docs, "doc_id", "name")
+    counts = {(r.term, r.df, r.cf) for r in indexes.term_counts(words).collect()}
+    assert counts == {(r.term, r.df, r.cf) for r in indexes.term_rows(indexes.posting_rows(words)).collect()}
+    assert counts == {("a", 3, 4), ("b", 2, 4), ("c", 3, 5)}
+    terms = indexes.build_index(docs.where("doc_id < 5"), "doc_id", "name").terms
+    assert "collect_list" not in plan_of(terms, capsys).split("Initial Plan")[0]
