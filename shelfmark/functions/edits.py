@@ -25,28 +25,27 @@ def edit_count(a: Column, b: Column, plain: Column) -> Column:
     """0, 1 or 2 edits, null beyond; ``plain`` is ``plain_distance(a, b)``.
 
     A swap counts two in the plain distance, so only pairs above it by the right amount
-    are tried with swaps. A swap keeps the length and the letters.
+    are tried with swaps. A swap keeps the length and the letters, which is looked at first. A swap
+    undoes itself, so two swaps lead from one term to the other if one swap of each gives the same.
     """
     apart = F.abs(F.length(a) - F.length(b))
-    one_swap = (apart == 0) & F.exists(_swaps(a), lambda s: s == b)
+    one_swap = (apart == 0) & (_strangers(a, b) == 0) & F.array_contains(_swaps(a), b)
     swap_and_edit = (apart <= 1) & (
         F.exists(_swaps(a), lambda s: _near(s, b)) | F.exists(_swaps(b), lambda s: _near(a, s))
     )
-    two_swaps = (apart == 0) & F.exists(_swaps(a), lambda s: F.exists(_swaps(s), lambda t: t == b))
+    two_swaps = (apart == 0) & (_strangers(a, b) == 0) & F.arrays_overlap(_swaps(a), _swaps(b))
     return (
         F.when(plain == 0, 0)
         .when(plain == 1, 1)
         .when(plain == 2, F.when(one_swap, 1).otherwise(2))
-        .when((plain > 2) & _same_letters(a, b) & (swap_and_edit | two_swaps), 2)
+        .when((plain > 2) & (_strangers(a, b) <= 1) & (_strangers(b, a) <= 1) & _same_letters(a, b) & (swap_and_edit | two_swaps), 2)
     )
 
 
 def drop_letters(term: Column, i: Column, j: Column) -> Column:
-    """``term`` without letters ``i`` and ``j`` (one if equal, none if ``i`` is 0)."""
-    n = F.length(term)
-    head, tail = F.substring(term, F.lit(1), i - 1), F.substring(term, j + 1, n)
-    between = F.substring(term, i + 1, j - i - 1)
-    return F.when(i == 0, term).when(i == j, F.concat(head, tail)).otherwise(F.concat(head, between, tail))
+    """``term`` without letters ``i`` and ``j`` (one if equal, none if both are 0, as pieces of negative length are empty)."""
+    head, tail = F.substring(term, F.lit(1), i - 1), F.substring(term, j + 1, F.length(term))
+    return F.concat(head, F.substring(term, i + 1, j - i - 1), tail)
 
 
 def segment(length: Column, s: Column, parts: int) -> tuple[Column, Column]:
@@ -73,6 +72,11 @@ def _swaps(term: Column) -> Column:
     )
 
 
+def _strangers(a: Column, b: Column) -> Column:
+    """How many letters of ``a`` do not occur in ``b``."""
+    return F.length(F.call_function("translate", a, b, F.lit("")))
+
+
 def _same_letters(a: Column, b: Column) -> Column:
     """Whether the letters in sorted order differ by at most one letter exchanged for another."""
     def letters(term: Column) -> Column:

@@ -27,20 +27,17 @@ SEGMENTS = 5
 LONGEST = 255
 
 
-def query_keys(words: DataFrame, term: str = "qterm") -> DataFrame:
-    """``words`` with a row per key in ``_key``."""
+def query_keys(words: DataFrame, term: str = "qterm") -> tuple[DataFrame, DataFrame]:
+    """``words`` with a row per key in ``_key``: those keyed by dropped letters, and those keyed by pieces."""
     n = F.length(term)
-    long = n >= LONG_TERM
-    steps = F.when(long, F.sequence(F.lit(-SEGMENTS), F.lit(-1))).otherwise(
-        F.sequence(F.lit(0), F.when(n <= 2, 0).otherwise(n))
-    )
-    s = -F.col("_i") - 1
-    start, size = segment(n, s, SEGMENTS)
-    piece = _piece_key(n, s, F.substring(term, start, size))
-    return _keyed(words, term, steps, n >= 6, piece)
+    short = _dropped(words.where(n < LONG_TERM), term, F.when(n <= 2, 0).otherwise(n), n >= 6)
+    start, size = segment(n, F.col("_i"), SEGMENTS)
+    piece = _piece_key(n, F.col("_i"), F.substring(term, start, size))
+    long = words.where(n >= LONG_TERM).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))).withColumn("_key", piece)
+    return short, long.drop("_i")
 
 
-def term_keys(terms: DataFrame, term: str = "term") -> DataFrame:
+def term_keys(terms: DataFrame, term: str = "term") -> tuple[DataFrame, DataFrame]:
     """As ``query_keys`` for catalogue terms: any term within the allowed edits shares a key.
 
     A partner may have two letters more or fewer, so both kinds of key are made for
@@ -48,19 +45,17 @@ def term_keys(terms: DataFrame, term: str = "term") -> DataFrame:
     shift.
     """
     n = F.length(term)
-    pieces = 5 * SEGMENTS * 5
-    steps = F.sequence(
-        F.when(n >= LONG_TERM - 2, -pieces).otherwise(0),
-        F.when(n == 1, 0).when(n <= LONG_TERM + 1, n).otherwise(0),
-    )
-    m = -F.col("_i") - 1
+    short = _dropped(terms.where(n <= LONG_TERM + 1), term, F.when(n == 1, 0).otherwise(n), n >= 4)
+    m = F.col("_i")
     partner = n + F.floor(m / (5 * SEGMENTS)).cast("int") - 2
     s = F.floor(m / 5).cast("int") % SEGMENTS
     start, size = segment(partner, s, SEGMENTS)
-    start = start + m % 5 - 2
-    fits = (partner >= LONG_TERM) & (start >= 1) & (start + size - 1 <= n)
-    piece = F.when(fits, _piece_key(partner, s, F.substring(term, start, size)))
-    return _keyed(terms, term, steps, n >= 4, piece)
+    cut = terms.where(n >= LONG_TERM - 2).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(5 * SEGMENTS * 5 - 1)))).select(
+        *terms.columns, partner.alias("_partner"), s.alias("_s"), (start + m % 5 - 2).alias("_start"), size.alias("_size")
+    )
+    fits = cut.where((F.col("_partner") >= LONG_TERM) & (F.col("_start") >= 1) & (F.col("_start") + F.col("_size") - 1 <= n))
+    piece = _piece_key(F.col("_partner"), F.col("_s"), F.substring(term, F.col("_start"), F.col("_size")))
+    return short, fits.select(*terms.columns, piece.alias("_key"))
 
 
 def fuzzy_terms(
@@ -75,16 +70,20 @@ def fuzzy_terms(
     # Few bytes make many keys, so the terms are spread before they are expanded.
     near = spread(_near_lengths(terms, wanted).select("term", "df"), "term")
     q, t = F.col("qterm"), F.col("term")
+    # Pairs share several keys, so each is compared once, and each step through ``explode``: as a plain column
+    # it would be computed again by the filter on it.
+    # Each kind of key is joined by itself: code for both in one stage is too long to be compiled by the JVM.
+    short, long = (
+        found.join(asked, "_key").where(F.abs(F.length(q) - F.length(t)) <= allowed_edits(q)).select("qterm", "term", "df")
+        for found, asked in zip(term_keys(near), query_keys(wanted), strict=True)
+    )
+    candidates = short.unionByName(long).distinct()
     pairs = (
-        term_keys(near)
-        .join(query_keys(wanted), "_key")
-        .where(F.abs(F.length(q) - F.length(t)) <= allowed_edits(q))
-        .withColumn("_plain", plain_distance(q, t))
+        candidates.select("*", F.explode_outer(F.array(plain_distance(q, t))).alias("_plain"))
         .where("_plain >= 0")
-        .withColumn("edits", edit_count(q, t, F.col("_plain")))
+        .select("*", F.explode_outer(F.array(edit_count(q, t, F.col("_plain")))).alias("edits"))
         .where(F.col("edits") <= allowed_edits(q))
         .select("qterm", "term", "df", "edits")
-        .distinct()
     )
     weighted = pairs.withColumn("weight", F.lit(1.0) - F.col("edits") / F.least(F.length(q), F.length(t)))
     if max_expansions is None:
@@ -93,22 +92,19 @@ def fuzzy_terms(
     return weighted.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_expansions).drop("_r")
 
 
-def _keyed(rows: DataFrame, term: str, steps: Column, two: Column, piece: Column) -> DataFrame:
-    """A key per dropped letter (or two, where ``two``); negative steps are pieces."""
+def _dropped(rows: DataFrame, term: str, letters: Column, two: Column) -> DataFrame:
+    """A key for the term itself and for each of its ``letters`` dropped, or two of them where ``two``."""
     i, j = F.col("_i"), F.col("_j")
     last = F.when((i > 0) & two, F.length(term)).otherwise(i)
-    key = F.when(i < 0, piece).otherwise(drop_letters(F.col(term), i, j))
     return (
-        rows.withColumn("_i", F.explode(steps))
+        rows.withColumn("_i", F.explode(F.sequence(F.lit(0), letters)))
         .withColumn("_j", F.explode(F.sequence(i, last)))
-        .withColumn("_key", key)
-        .where("_key IS NOT NULL")
+        .withColumn("_key", drop_letters(F.col(term), i, j))
         .drop("_i", "_j")
     )
 
 
 def _piece_key(length: Column, s: Column, text: Column) -> Column:
-    # No term holds a colon first, so pieces and shortened terms cannot be mixed up.
     return F.concat_ws(":", F.lit(""), length, s, text)
 
 

@@ -444,10 +444,10 @@ def _words(requests: DataFrame, sanitize: bool = True) -> DataFrame:
 
 @query
 def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of the documents close to a word of the benchmark texts, all of them."""
-    index = indexes.scratch_index(b.corpus(spark, sf), "doc_id", "name")
+    """Terms of the documents close to a word of the benchmark texts, all of them. Nothing else of the index is made."""
+    terms = settled(indexes.term_counts(indexes.analysed(b.corpus(spark, sf), "doc_id", "name")))
     words = settled(_words(b.passages(spark, sf)).select("qterm").distinct())
-    found = typos.fuzzy_terms(words, index.terms)
+    found = typos.fuzzy_terms(words, terms)
     return found.select("qterm", "term", "edits")
 
 
