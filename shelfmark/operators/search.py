@@ -5,28 +5,34 @@ with the last one a prefix, and any word with typos allowed. Their scores are ad
 the best documents of each request are ranked.
 
 A request's words are reduced to distinct terms before any term table is read; postings
-are joined on their terms, and documents that cannot reach a request's list are left out by
-upper bounds before frequent terms are looked up.
+are joined on their terms, and what they add to the requests is summed where a document's
+postings lie, so that only the best of each part of the documents go on.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.fixed import BM25_K1, MATCH_BOOST, MAX_SIZE, MIN_SIZE, PHRASE_BOOST, PREFIX_BOOST
+from shelfmark.fixed import MATCH_BOOST, MAX_SIZE, MIN_SIZE, PHRASE_BOOST, PREFIX_BOOST
 from shelfmark.functions.scoring import idf, saturation
 from shelfmark.functions.text import TOKEN, sanitize_query
 from shelfmark.operators.index import SearchIndex, bucket_of
 from shelfmark.operators.requests import query_tokens, valid_requests
 from shelfmark.operators.skew import fits_broadcast
 from shelfmark.operators.typos import LONGEST, fuzzy_terms
-from shelfmark.session import settled
+from shelfmark.session import settled, shuffle_partitions
 
 STRATEGIES = ("combined", "match")
 
-# A request's rarest terms are scored first until they have so many postings for each place of its list.
-SEEDS = 8
+# A term is frequent from this share of the documents on. As a document holds a limited number of terms, their number does
+# not grow with the documents.
+FREQUENT_SHARE = 1000
+
+# Scores are added up in so many parts of the documents for each shuffle partition; several small ones per task even out.
+DOCUMENT_PARTS = 4
 
 
 def prefix_terms(
@@ -53,81 +59,91 @@ def prefix_terms(
     )
 
 
+@dataclass(frozen=True)
+class MatchWeights:
+    """What a word adds to a score is ``u`` times the sum, over its near terms in the document, of ``weight`` times the frequency part."""
+
+    asked: DataFrame  # query_id, qterm, u
+    near: DataFrame  # qterm, term, df, weight
+
+
 def match_weights(
     words: DataFrame, index: SearchIndex, max_expansions: int | None = None
-) -> DataFrame:
-    """(query_id, term, df, w): what one full occurrence of ``term`` adds to the score.
+) -> MatchWeights:
+    """The words of each request and the terms near each word, which are the same for every request.
 
     All expansions of a searched term share its rarest-case weight: the idf of the
     largest document frequency among them. A word asked for twice counts twice.
     """
-    expanded = settled(fuzzy_terms(words, index.terms, max_expansions))
+    near = settled(fuzzy_terms(words, index.terms, max_expansions).select("qterm", "term", "df", "weight"))
     n_docs = index.totals.select("n_docs").scalar()
-    widest = expanded.groupBy("qterm").agg(F.max("df").alias("_df"))
-    scored = expanded.join(widest, "qterm").select(
-        "qterm", "term", "df", (F.col("weight") * idf(n_docs, F.col("_df"))).alias("_w")
-    )
-    asked = words.groupBy("query_id", "qterm").agg(F.count(F.lit(1)).alias("_times"))
-    return asked.join(scored, "qterm").groupBy("query_id", "term", "df").agg(
-        F.sum(F.col("_w") * F.col("_times")).alias("w")
-    )
+    widest = near.groupBy("qterm").agg(F.max("df").alias("_df"))
+    asked = words.groupBy("query_id", "qterm").agg(F.count(F.lit(1)).alias("_times")).join(widest, "qterm")
+    return MatchWeights(settled(asked.select("query_id", "qterm", (idf(n_docs, F.col("_df")) * F.col("_times")).alias("u"))), near)
 
 
-def match_scores(weights: DataFrame, index: SearchIndex, boost: float = MATCH_BOOST) -> DataFrame:
+def match_scores(weights: MatchWeights, index: SearchIndex, boost: float = MATCH_BOOST) -> DataFrame:
     """(query_id, doc_id, score) per request, document and matched term; to be summed."""
-    found = _postings_of(index, weights.select("term").distinct())
     average = index.totals.select("avg_len").scalar()
-    part = saturation(F.col("tf"), F.col("doc_len"), average)
-    return weights.join(found, "term").select(
-        "query_id", "doc_id", (F.lit(boost) * F.col("w") * part).alias("score")
-    )
+    part = F.col("weight") * saturation(F.col("tf"), F.col("doc_len"), average)
+    found = _near_postings(index.postings, weights.near, index).join(_few(weights.asked), "qterm")
+    return found.select("query_id", "doc_id", (F.lit(boost) * F.col("u") * part).alias("score"))
+
+
+def _near_postings(postings: DataFrame, near: DataFrame, index: SearchIndex) -> DataFrame:
+    """(doc_id, doc_len, tf, qterm, weight): each of ``postings`` with the words that its term is near to."""
+    placed = near.where("term >= ''").select(bucket_of(F.col("term"), index.buckets).alias("bucket"), "term", "qterm", "weight")
+    return postings.join(_few(placed), ["bucket", "term"]).select("doc_id", "doc_len", "tf", "qterm", "weight")
 
 
 def best_scores(
-    weights: DataFrame, others: DataFrame, sizes: DataFrame, index: SearchIndex, boost: float = MATCH_BOOST
+    weights: MatchWeights, others: DataFrame, sizes: DataFrame, index: SearchIndex, boost: float = MATCH_BOOST
 ) -> DataFrame:
-    """(query_id, doc_id, score), summed, for every document that can be among the ``size`` best of its request.
-
-    ``weights`` are the words' terms, ``others`` (query_id, doc_id, score) what other clauses add, ``sizes``
-    (query_id, size). A term adds at most its weight times ``BM25_K1 + 1``. First the documents of each request's
-    rarest terms are scored, enough of them to fill its list several times over; the score in its last place is one that every hit
-    reaches. Terms that together stay below it cannot bring a document in by themselves, so documents are found
-    by the other terms alone, and the frequent terms are looked up for those documents only. The result is that of
-    scoring everything; stop words do not multiply requests by documents.
+    """(query_id, doc_id, score), summed, for the documents that reach the ``size`` best of their request.
+
+    ``others`` (query_id, doc_id, score) is what other clauses add, ``sizes`` (query_id, size). What the words have in
+    a document and what the other clauses add are brought together by document, once for all requests. The task that holds
+    a document then adds up its score for each request and passes on only what is among the best of its own documents,
+    so rows of requests times documents are neither shuffled nor written.
     """
-    most = F.lit(boost * (BM25_K1 + 1)) * F.col("w")
-    by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    by_weight = Window.partitionBy("query_id").orderBy("_most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    planned = settled(
-        weights.withColumn("_most", most)
-        .withColumn("_before", F.coalesce(F.sum("df").over(by_rarity), F.lit(0)))
-        .withColumn("_upto", F.sum("_most").over(by_weight))
-        .join(sizes, "query_id")
-    )
-    rare = planned.where(F.col("_before") < SEEDS * F.col("size")).select("query_id", "term", "w")
-    seeds = _summed(match_scores(rare, index, boost).unionByName(others))
-    # A partial score of the last place, a little lower for rounding; without a full list none.
-    reached = (
-        _top(seeds, [F.desc("score")], "_place").join(sizes, "query_id").where("_place = size")
-        .select("query_id", (F.col("score") - 1e-4).alias("_reach"))
+    partitions = shuffle_partitions(sizes.sparkSession)
+    n_docs, average = (index.totals.select(c).scalar() for c in ("n_docs", "avg_len"))
+    # Frequent terms hold most postings and are near to several words each, so their words are looked up after the shuffle.
+    often = F.col("df") * FREQUENT_SHARE >= n_docs
+    often = often if fits_broadcast(weights.near.where(often)) else F.lit(False)
+    frequent = F.broadcast(weights.near.where(often).select("term", F.col("qterm").alias("_near"), F.col("weight").alias("_w")))
+    known = F.broadcast(weights.near.where(often).select("term").distinct())
+    rows = {
+        "frequent": _postings_of(index, known).select("doc_id", "doc_len", "tf", "term"),
+        "rare": _near_postings(index.postings.join(known, "term", "left_anti"), weights.near.where(~often), index),
+        "others": others.select("doc_id", F.col("score").alias("weight"), F.col("query_id").alias("_query")),
+    }
+    placed = (
+        rows["frequent"].unionByName(rows["rare"], allowMissingColumns=True).unionByName(rows["others"], allowMissingColumns=True)
+        .withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(DOCUMENT_PARTS * partitions)))
+        .repartition(partitions, "_part")
     )
-    judged = settled(planned.join(reached, "query_id", "left").withColumn("_weak", F.coalesce(F.col("_upto") < F.col("_reach"), F.lit(False))))
-    strong = judged.where("NOT _weak").select("query_id", "term", "w")
-    scores = settled(_summed(match_scores(strong, index, boost).unionByName(others)))
-    weak = judged.where("_weak")
-    rest = weak.groupBy("query_id").agg(F.max("_upto").alias("_rest"), F.first("_reach").alias("_reach"))
-    near = scores.join(rest, "query_id", "left").where("_reach IS NULL OR score + _rest >= _reach").select("query_id", "doc_id", "score")
-    asked = near.select("query_id", "doc_id").join(weak.select("query_id", "term", "w"), "query_id")
-    found = _postings_of(index, weak.select("term").distinct()).select("term", "doc_id", "doc_len", "tf")
-    average = index.totals.select("avg_len").scalar()
-    added = asked.join(found, ["term", "doc_id"]).select(
-        "query_id", "doc_id", (F.lit(boost) * F.col("w") * saturation(F.col("tf"), F.col("doc_len"), average)).alias("score")
+    words = placed.join(frequent, "term", "left").withColumn("qterm", F.coalesce("qterm", "_near"))
+    part = F.lit(boost) * F.col("u") * saturation(F.col("tf"), F.col("doc_len"), average)
+    score = F.coalesce(part, F.lit(1.0)) * F.coalesce("weight", "_w")
+    scores = words.join(_few(weights.asked), "qterm", "left").groupBy(
+        "_part", F.coalesce("query_id", "_query").alias("query_id"), "doc_id"
+    ).agg(F.sum(score).alias("score"))
+    # Equal after rounding is a tie, as in the ranking; all of those on the last place stay.
+    own = Window.partitionBy("_part", "query_id").orderBy(F.desc(F.round("score", 6)))
+    wanted = _few(sizes.groupBy("query_id").agg(F.max("size").alias("size")))
+    best = scores.withColumn("_rank", F.rank().over(own)).where(F.col("_rank") <= MAX_SIZE).join(wanted, "query_id").where("_rank <= size")
+    best = settled(best.select("query_id", "size", "doc_id", "score"))
+    reached = _top(best, [F.desc(F.round("score", 6))], "_place").where("_place = size").select(
+        "query_id", F.round("score", 6).alias("_reach")
     )
-    return _summed(near.unionByName(added))
+    near = best.join(_few(reached), "query_id", "left").where(F.col("_reach").isNull() | (F.round("score", 6) >= F.col("_reach")))
+    return near.select("query_id", "doc_id", "score")
 
 
-def _summed(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+def _few(rows: DataFrame) -> DataFrame:
+    """To be broadcast if it is small; otherwise as it is."""
+    return F.broadcast(rows) if fits_broadcast(rows) else rows
 
 
 def phrase_slots(words: DataFrame, index: SearchIndex, boost: float = PHRASE_BOOST) -> DataFrame:
@@ -172,9 +188,9 @@ def phrase_matches(slots: DataFrame, index: SearchIndex) -> DataFrame:
     chosen = settled(slots.join(plans.select(*keys, "idf_sum", F.col("_rarest.qpos").alias("_at")), keys))
     found = _postings_of(index, chosen.select("term").distinct()).select("term", "doc_id", "doc_len", "positions")
     columns = [*keys, "idf_sum", "qpos", "doc_id", "doc_len"]
-    first = chosen.where("qpos = _at").join(found, "term").select(*columns, "positions")
-    others = chosen.where("qpos <> _at").join(first.select(*keys, "doc_id").distinct(), keys)
-    more = others.join(found, ["term", "doc_id"]).select(*columns, "positions")
+    first = settled(found.join(_few(chosen.where("qpos = _at")), "term").select(*columns, "positions"))
+    others = settled(chosen.where("qpos <> _at").join(first.select(*keys, "doc_id").distinct(), keys))
+    more = found.join(_few(others), ["term", "doc_id"]).select(*columns, "positions")
     begins = first.unionByName(more).select(
         *columns, F.explode(F.transform("positions", lambda p: p - F.col("qpos"))).alias("_start")
     ).where("_start >= 0 AND _start + n <= doc_len")
@@ -211,12 +227,12 @@ def search(
     valid = valid_requests(requests)
     text = sanitize_query("query", unicode_queries) if strategy == "combined" else F.col("query")
     words = settled(query_tokens(valid.select("query_id", text.alias("text")), pattern))
-    weights = settled(match_weights(words, index, max_expansions))
+    weights = match_weights(words, index, max_expansions)
     if strategy == "combined":
         slots = settled(phrase_slots(words, index).unionByName(prefix_slots(words, index, max_expansions)))
         others = phrase_scores(phrase_matches(slots, index), index)
     else:
-        others = weights.select("query_id", F.lit(None).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")).where("false")
+        others = weights.asked.select("query_id", F.lit(None).cast(documents.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")).where("false")
     # A document that went since the index was built must not take a place.
     there = documents.select("doc_id")
     present = SearchIndex(index.postings.join(there, "doc_id", "left_semi"), index.terms, index.totals, index.buckets) if stale else index
@@ -265,7 +281,7 @@ def _postings_of(index: SearchIndex, searched: DataFrame) -> DataFrame:
     joined table if that is filtered, and a comparison that all terms pass will do.
     """
     keys = searched.where("term >= ''").withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    return index.postings.join(keys, ["bucket", "term"], "left_semi")
+    return index.postings.join(_few(keys), ["bucket", "term"], "left_semi")
 
 
 def _length_class(term: Column) -> Column:

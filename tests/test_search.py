@@ -169,3 +169,20 @@ def test_a_size_out_of_range_is_refused(spark, docs, index):
     requests = spark.createDataFrame([(1, 101)], "query_id BIGINT, size INT")
     with pytest.raises(Exception, match="out of range"):
         text_search.rank_hits(scores, requests, docs).collect()
+
+
+@pytest.mark.parametrize("share", [1, 2, 1000])
+def test_scores_by_parts_of_the_documents_are_those_of_all_rows(spark, index, docs, monkeypatch, share):
+    """Whichever terms count as frequent, with other clauses, ties on the last place and a list that is not filled."""
+    monkeypatch.setattr(text_search, "FREQUENT_SHARE", share)
+    requests = spark.createDataFrame([(1, "milk whole", 1), (2, "raw fish raw", 2), (3, "soup", 9)], REQUEST)
+    words = req.query_tokens(requests.select("query_id", F.col("query").alias("text")))
+    weights = text_search.match_weights(words, index)
+    # A word and the terms near it are kept once, however many requests ask for it.
+    assert weights.near.columns == ["qterm", "term", "df", "weight"]
+    others = spark.createDataFrame([(3, 7, 0.5), (1, 4, 50.0)], "query_id BIGINT, doc_id BIGINT, score DOUBLE")
+    best = text_search.best_scores(weights, others, requests.select("query_id", "size"), index)
+    whole = text_search.match_scores(weights, index).unionByName(others)
+    ranked = [sorted((r.query_id, r.rank, r.doc_id, r.score) for r in text_search.rank_hits(s, requests, docs).collect()) for s in (best, whole)]
+    assert ranked[0] == ranked[1] and {r[0] for r in ranked[0]} == {1, 2, 3}
+    assert {r.doc_id for r in best.where("query_id = 1").collect()} == {4}
