@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.fixed import MATCH_BOOST, MAX_SIZE, MIN_SIZE, PHRASE_BOOST, PREFIX_BOOST
@@ -31,8 +31,8 @@ STRATEGIES = ("combined", "match")
 # not grow with the documents.
 FREQUENT_SHARE = 1000
 
-# Scores are added up in so many parts of the documents for each shuffle partition; several small ones per task even out.
-DOCUMENT_PARTS = 4
+# Pairs of a request and a document that one task adds up, about.
+PART_PAIRS = 500_000
 
 
 def prefix_terms(
@@ -106,7 +106,7 @@ def best_scores(
     a document then adds up its score for each request and passes on only what is among the best of its own documents,
     so rows of requests times documents are neither shuffled nor written.
     """
-    partitions = shuffle_partitions(sizes.sparkSession)
+    partitions = _parts(sizes.sparkSession, _pairs(weights, sizes, index), PART_PAIRS)
     n_docs, average = (index.totals.select(c).scalar() for c in ("n_docs", "avg_len"))
     # Frequent terms hold most postings and are near to several words each, so their words are looked up after the shuffle.
     often = F.col("df") * FREQUENT_SHARE >= n_docs
@@ -120,8 +120,8 @@ def best_scores(
     }
     placed = (
         rows["frequent"].unionByName(rows["rare"], allowMissingColumns=True).unionByName(rows["others"], allowMissingColumns=True)
-        .withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(DOCUMENT_PARTS * partitions)))
-        .repartition(partitions, "_part")
+        .withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(partitions)).cast("int"))
+        .repartitionById(partitions, "_part")
     )
     words = placed.join(frequent, "term", "left").withColumn("qterm", F.coalesce("qterm", "_near"))
     part = F.lit(boost) * F.col("u") * saturation(F.col("tf"), F.col("doc_len"), average)
@@ -141,6 +141,18 @@ def best_scores(
     return near.select("query_id", "doc_id", "score")
 
 
+def _pairs(weights: MatchWeights, sizes: DataFrame, index: SearchIndex) -> int:
+    """Pairs of a request and a document that words bring together, at most; a word has each document of its near terms."""
+    times = weights.asked.groupBy("qterm").agg(F.count(F.lit(1)).alias("_asked"))
+    rows = weights.near.groupBy("qterm").agg(F.sum("df").alias("_df")).join(times, "qterm").agg(F.sum(F.col("_df") * F.col("_asked")).alias("n"))
+    return min(rows.first()["n"] or 0, sizes.count() * (index.totals.first()["n_docs"] or 0))
+
+
+def _parts(spark: SparkSession, rows: int, each: int) -> int:
+    """The shuffle partitions, or more of about ``each`` rows, so what a task holds does not grow with the rows."""
+    return max(shuffle_partitions(spark), -(-rows // each))
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """To be broadcast if it is small; otherwise as it is."""
     return F.broadcast(rows) if fits_broadcast(rows) else rows
