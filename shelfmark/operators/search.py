@@ -21,7 +21,7 @@ from shelfmark.functions.scoring import idf, saturation
 from shelfmark.functions.text import TOKEN, sanitize_query
 from shelfmark.operators.index import SearchIndex, bucket_of
 from shelfmark.operators.requests import query_tokens, valid_requests
-from shelfmark.operators.skew import fits_broadcast
+from shelfmark.operators.skew import BROADCAST_KEYS, fits_broadcast
 from shelfmark.operators.typos import LONGEST, fuzzy_terms
 from shelfmark.session import settled, shuffle_partitions
 
@@ -34,6 +34,9 @@ FREQUENT_SHARE = 1000
 # Pairs of a request and a document that one task adds up, about.
 PART_PAIRS = 500_000
 
+# Places of phrases that one task counts, about.
+PART_PLACES = 250_000
+
 
 def prefix_terms(
     prefixes: DataFrame, terms: DataFrame, max_expansions: int | None = None
@@ -201,9 +204,15 @@ def phrase_matches(slots: DataFrame, index: SearchIndex) -> DataFrame:
     found = _postings_of(index, chosen.select("term").distinct()).select("term", "doc_id", "doc_len", "positions")
     columns = [*keys, "idf_sum", "qpos", "doc_id", "doc_len"]
     first = settled(found.join(_few(chosen.where("qpos = _at")), "term").select(*columns, "positions"))
-    others = settled(chosen.where("qpos <> _at").join(first.select(*keys, "doc_id").distinct(), keys))
-    more = found.join(_few(others), ["term", "doc_id"]).select(*columns, "positions")
-    begins = first.unionByName(more).select(
+    # Rows take few bytes in files, so few tasks would read them; they are brought together by document in parts that follow their number.
+    spark, n_first = first.sparkSession, first.count()
+    candidates = first.select(*keys, "doc_id").repartition(_parts(spark, n_first, PART_PLACES), "doc_id").distinct()
+    others = settled(chosen.where("qpos <> _at").join(candidates, keys))
+    n_others = others.count()
+    asked = F.broadcast(others) if n_others <= BROADCAST_KEYS else others.repartition(_parts(spark, n_others, PART_PLACES), "term", "doc_id")
+    more = found.join(asked, ["term", "doc_id"]).select(*columns, "positions")
+    placed = first.unionByName(more).repartition(_parts(spark, n_first + n_others, PART_PLACES), "doc_id")
+    begins = placed.select(
         *columns, F.explode(F.transform("positions", lambda p: p - F.col("qpos"))).alias("_start")
     ).where("_start >= 0 AND _start + n <= doc_len")
     # A position may be held by several terms, a place by one of them.

@@ -186,3 +186,18 @@ def test_scores_by_parts_of_the_documents_are_those_of_all_rows(spark, index, do
     ranked = [sorted((r.query_id, r.rank, r.doc_id, r.score) for r in text_search.rank_hits(s, requests, docs).collect()) for s in (best, whole)]
     assert ranked[0] == ranked[1] and {r[0] for r in ranked[0]} == {1, 2, 3}
     assert {r.doc_id for r in best.where("query_id = 1").collect()} == {4}
+
+
+def test_parts_of_the_documents_follow_the_pairs_and_places(spark, index, docs, monkeypatch):
+    """What one task adds up is bounded, so more rows give more parts, with the same results."""
+    requests = spark.createDataFrame([(1, "whole milk", 2), (2, "milk", 3), (3, "raw fish", 2)], REQUEST)
+    run_all = lambda: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in text_search.search(requests, index, docs).collect())
+    plain = run_all()
+    for name in ("PART_PAIRS", "PART_PLACES"):
+        monkeypatch.setattr(text_search, name, 1)
+    asked, original = [], text_search._parts
+    monkeypatch.setattr(text_search, "_parts", lambda s, rows, each: asked.append((rows, original(s, rows, each))) or asked[-1][1])
+    assert run_all() == plain and plain
+    assert len(asked) >= 3 and all(parts == max(4, rows) for rows, parts in asked) and max(parts for _, parts in asked) > 4
+    monkeypatch.setattr(text_search, "BROADCAST_KEYS", 0)
+    assert run_all() == plain
