@@ -11,6 +11,7 @@ from shelfmark.fixed import EVENT_KEYS, INDEXED_CLASS, ITEM_TABLE, MAX_RETRIES,
 from shelfmark.functions.parsing import clean_text
 from shelfmark.operators.digests import DEPTH, differing_rows
 from shelfmark.operators.documents import documents_for, of_class
+from shelfmark.session import settled
 
 
 def item_events(
@@ -20,7 +21,7 @@ def item_events(
 
     An insert or delete counts if the row is of the class, an update if it was or is.
     """
-    both = _images(old, new, "item_id")
+    both = changed_rows(old, new, "item_id")
     was, now = (of_class(f"{side}.item_class", item_class, trim_class) for side in ("_old", "_new"))
     return both.where(F.coalesce(was, F.lit(False)) | F.coalesce(now, F.lit(False))).select(
         F.lit(ITEM_TABLE).alias("table"), _op().alias("op"), "item_id"
@@ -33,7 +34,7 @@ def measure_events(old: DataFrame, new: DataFrame, notify_both_owners: bool = Tr
     A measure that moved to another item notifies the new owner, and the old one too
     unless ``notify_both_owners`` is off, as its document would stay stale.
     """
-    both = _images(old, new, "row_id")
+    both = changed_rows(old, new, "row_id")
     before, after = F.col("_old.item_id"), F.col("_new.item_id")
     owners = F.array(F.coalesce(after, before))
     if notify_both_owners:
@@ -92,7 +93,9 @@ def parse_events(events: DataFrame) -> DataFrame:
     """
     # Fields taken out with inline are read once; as plain columns they would be read
     # again for every condition on them.
-    event = F.try_parse_json("payload")
+    # The text itself is read once, for all fields: the steps of one ``inline`` do not share it.
+    event = F.col("_event")
+    read = events.select(*events.columns, F.explode_outer(F.array(F.try_parse_json("payload"))).alias("_event"))
     parts = []
     for name, key in zip(("_table", "_op", "_id"), EVENT_KEYS):
         value = F.try_variant_get(event, f"$.{key}", "variant")
@@ -101,7 +104,7 @@ def parse_events(events: DataFrame) -> DataFrame:
             F.schema_of_variant(value).alias(f"{name}_kind"),
         ]
     names = [f"{n}{s}" for n in ("_table", "_op", "_id") for s in ("", "_kind")]
-    fields = events.select(*events.columns, F.inline_outer(F.array(F.struct(*parts))).alias(*names))
+    fields = read.select(*events.columns, F.inline_outer(F.array(F.struct(*parts))).alias(*names))
     text = clean_text("_id")
     number = F.when(F.col("_id_kind") == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))).when(
         F.col("_id_kind").rlike("^(BIGINT|DECIMAL.*)$"), F.col("_id").try_cast("decimal(38,18)").try_cast("bigint")
@@ -156,7 +159,7 @@ def last_actions(routed: DataFrame, order: str = "seq") -> DataFrame:
 def document_changes(actions: DataFrame, items: DataFrame, measures: DataFrame, **options) -> DataFrame:
     """(item_id, name, nutrients, deleted) for every item acted on.
 
-    A refreshed item that is gone or not of the class becomes a deletion.
+    A refreshed item that is gone or not of the class becomes a deletion. ``actions`` is read several times, so it is best settled.
     """
     return changes_by(actions, lambda ids: documents_for(items, measures, ids, **options))
 
@@ -178,7 +181,7 @@ def apply_changes(documents: DataFrame, changes: DataFrame) -> DataFrame:
 def apply_events(
     documents: DataFrame, routed: DataFrame, items: DataFrame, measures: DataFrame, order: str = "seq", **options
 ) -> DataFrame:
-    return apply_changes(documents, document_changes(last_actions(routed, order), items, measures, **options))
+    return apply_changes(documents, document_changes(settled(last_actions(routed, order)), items, measures, **options))
 
 
 def split_failures(failures: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -197,7 +200,7 @@ def settle_events(routed: DataFrame, failed: DataFrame, max_retries: int = MAX_R
     return bad.unionByName(marked.where("error IS NULL").withColumn("outcome", F.lit("done")))
 
 
-def _images(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def changed_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, _old, _new) for the keys whose rows differ; either image may be absent."""
     columns = [c for c in new.columns if c != key]
     before = old.select(key, F.struct(*columns).alias("_old"))

@@ -136,8 +136,9 @@ def keyed_measures(spark: SparkSession, sf: str) -> DataFrame:
     return latest(rows, "row_id", "seq").drop("seq")
 
 
-def images(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    part, measure = table(spark, sf, "part"), keyed_measures(spark, sf)
+def images(spark: SparkSession, sf: str, measure: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Both images of the tables. Who reads both of the measures gives ``keyed_measures`` settled, which are folded for each image otherwise."""
+    part, measure = table(spark, sf, "part"), keyed_measures(spark, sf) if measure is None else measure
     return {
         "old_items": spark.sql(OLD_ITEMS.replace("FROM part", "FROM {part}"), part=part),
         "new_items": spark.sql(NEW_ITEMS.replace("FROM part", "FROM {part}"), part=part),

@@ -496,9 +496,9 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _followed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The older documents, what the feed changed in them, and all of them afterwards."""
-    images = b.images(spark, sf)
-    old = settled(_image_documents(spark, sf, "old"))
-    actions = changes.last_actions(changes.route_events(changes.parse_events(b.feed(spark, sf))))
+    images = b.images(spark, sf, settled(b.keyed_measures(spark, sf)))
+    old = settled(documents.build_documents(images["old_items"], images["old_measures"], item_class=b.CLASS, mapping=b.MAPPING))
+    actions = settled(changes.last_actions(changes.route_events(changes.parse_events(b.feed(spark, sf)))))
     changed = settled(changes.document_changes(
         actions, images["new_items"], images["new_measures"], item_class=b.CLASS, mapping=b.MAPPING,
     ))
@@ -644,10 +644,10 @@ def retry_split(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def apply_events(spark: SparkSession, sf: str) -> DataFrame:
     """The older documents after the feed, read against the newer tables."""
-    images = b.images(spark, sf)
-    routed = changes.route_events(changes.parse_events(b.feed(spark, sf)))
+    images = b.images(spark, sf, settled(b.keyed_measures(spark, sf)))
+    actions = settled(changes.last_actions(changes.route_events(changes.parse_events(b.feed(spark, sf)))))
     changed = settled(changes.document_changes(
-        changes.last_actions(routed), images["new_items"], images["new_measures"],
-        item_class=b.CLASS, mapping=b.MAPPING,
+        actions, images["new_items"], images["new_measures"], item_class=b.CLASS, mapping=b.MAPPING,
     ))
-    return documents.explode_documents(changes.apply_changes(_image_documents(spark, sf, "old"), changed))
+    old = documents.build_documents(images["old_items"], images["old_measures"], b.CLASS, b.MAPPING)
+    return documents.explode_documents(changes.apply_changes(old, changed))

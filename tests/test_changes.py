@@ -330,3 +330,9 @@ def test_search_sees_changes(spark, shop, sync, tmp_path):
     followed = sync.index(spark, base)
     assert sorted(map(tuple, followed.terms.collect())) == sorted(map(tuple, whole.terms.collect()))
     assert followed.totals.first() == whole.totals.first()
+
+
+def test_the_text_of_an_event_is_read_once(spark):
+    feed = spark.createDataFrame([(1, "{}")], "seq BIGINT, payload STRING")
+    explained = changes.parse_events(feed)._jdf.queryExecution().optimizedPlan().toString()
+    assert explained.lower().count("parse_json(payload") == 1
