@@ -30,17 +30,23 @@ BUCKET = "_bucket"
 # Rows of a bucket, about, when a table is created; their number decides how many buckets there are.
 BUCKET_ROWS = 1_000_000
 
-_MODE = "spark.sql.sources.partitionOverwriteMode"
+# Folders with new rows are replaced, the others stay; a join on the key and more columns needs no exchange of a table in buckets of the key.
+_WRITING = {
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
 
 
 @contextmanager
-def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_MODE)
-    spark.conf.set(_MODE, "dynamic")
+def _rewriting(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name) for name in _WRITING}
     try:
+        for name, value in _WRITING.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(_MODE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 @dataclass(frozen=True)
@@ -73,14 +79,13 @@ class KeyedTable:
     def rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
         """Replaces the rows of the buckets of ``keys`` by what ``change`` makes of them; returns these buckets.
 
-        ``change`` must keep rows in their buckets or give rows of other buckets of ``keys``. The new rows are settled before a folder is
-        replaced. Folders are replaced one by one, so a reader may see some of them new and others not yet; a batch that is run again
+        ``change`` must keep rows in their buckets or give rows of other buckets of ``keys``. The new rows are written aside, by the overwrite
+        itself, before a folder is replaced. Folders are replaced one by one, so a reader may see some of them new and others not yet; a batch that is run again
         after a failure gives the same rows where ``change`` gives the same on its own result, as upserts, updates and deletes do.
         """
         buckets = self.touched(keys)
         if buckets:
-            new = settled(change(self._in(buckets)).select(*self.schema.names))
-            self._write(new, buckets)
+            self._write(change(self._in(buckets)).select(*self.schema.names), buckets)
         return buckets
 
     def upsert(self, changes: DataFrame, order: str, on_duplicate: str = "last") -> list[int]:
@@ -114,7 +119,7 @@ class KeyedTable:
         placed = rows.withColumn(BUCKET, self._bucket()).repartition(self.buckets, self.key)
         marks = self.spark.createDataFrame([(b,) for b in buckets], f"{BUCKET} INT")
         empty = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], BUCKET)
-        with _dynamic_overwrite(self.spark):
+        with _rewriting(self.spark):
             placed.unionByName(empty.coalesce(1)).write.insertInto(self.name, overwrite=True)
 
 
@@ -142,12 +147,17 @@ def create_table(rows: DataFrame, path: str, key: str, buckets: int | None = Non
     kept = rows.where(F.col(key).isNotNull())
     if buckets is None:
         kept = settled(kept)
-        buckets = max(1, -(-kept.count() // BUCKET_ROWS))
+        buckets = buckets_for(kept)
     table = _registered(spark, path, key, buckets, rows.schema)
     table._write(kept, list(range(buckets)))
     return table
 
 
+def buckets_for(rows: DataFrame) -> int:
+    """Of about ``BUCKET_ROWS`` rows each."""
+    return max(1, -(-rows.count() // BUCKET_ROWS))
+
+
 def _local(keys: DataFrame, table: KeyedTable, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Distinct ``keys`` to be joined with ``table``: few are broadcast, more are brought to its buckets; the table stays where it is."""
     return F.broadcast(keys) if fits_broadcast(keys, limit) else keys.repartition(table.buckets, table.key)
@@ -175,16 +185,18 @@ class CatalogueStore:
     def upsert_measures(self, changes: DataFrame, order: str) -> DataFrame:
         """Measures replaced or added by row_id, the last of each; returns (item_id) of the items they belonged or belong to."""
         new = settled(latest(changes.where("row_id IS NOT NULL"), "row_id", order).select(*self.measures.schema.names))
-        touched = self._owned_by(new, new.select("item_id"))
-        self.measures.rewrite(touched, lambda old: old.join(new.select("row_id"), "row_id", "left_anti").unionByName(new.where("item_id IS NOT NULL")))
+        was = settled(self.owners.lookup(new))
+        touched = settled(was.select("item_id").unionByName(new.select("item_id")).where("item_id IS NOT NULL").distinct())
+        self.measures.rewrite(touched, lambda old: self._without(old, was).unionByName(new.where("item_id IS NOT NULL")))
         self.owners.rewrite(new, lambda old: old.join(new.select("row_id"), "row_id", "left_anti").unionByName(new.select("row_id", "item_id")))
         return touched
 
     def delete_measures(self, keys: DataFrame) -> DataFrame:
         """Measures deleted by row_id; returns (item_id) of their items, which stay."""
         gone = settled(self.owners._keys(keys))
-        touched = self._owned_by(gone)
-        self.measures.rewrite(touched, lambda old: old.join(gone, "row_id", "left_anti"))
+        was = settled(self.owners.lookup(gone))
+        touched = settled(was.select("item_id").where("item_id IS NOT NULL").distinct())
+        self.measures.rewrite(touched, lambda old: self._without(old, was))
         self.owners.delete(gone)
         return touched
 
@@ -196,16 +208,16 @@ class CatalogueStore:
         self.items.delete(gone)
         self.owners.delete(measures)
 
-    def _owned_by(self, keys: DataFrame, more: DataFrame | None = None) -> DataFrame:
-        owners = self.owners.lookup(keys).select("item_id")
-        return settled((owners.unionByName(more) if more is not None else owners).where("item_id IS NOT NULL").distinct())
+    def _without(self, old: DataFrame, was: DataFrame) -> DataFrame:
+        """Measures without those in ``was`` (row_id, item_id). They are found within their item, so the measures stay in their buckets."""
+        return old.join(was, ["item_id", "row_id"], "left_anti")
 
 
 def create_store(items: DataFrame, measures: DataFrame, path: str, buckets: int | None = None) -> CatalogueStore:
     """``items`` (item_id, ...) and ``measures`` (row_id, item_id, ...) written below ``path``; their number of buckets follows the measures."""
     rows = settled(measures.where("row_id IS NOT NULL AND item_id IS NOT NULL"))
     if buckets is None:
-        buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+        buckets = buckets_for(rows)
     return CatalogueStore(
         create_table(items, f"{path}/items", "item_id", buckets),
         create_table(rows, f"{path}/measures", "item_id", buckets),

@@ -274,11 +274,14 @@ def update_bucketed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def store_changes(spark: SparkSession, sf: str) -> DataFrame:
     """A store of the older image that follows to the newer one, then the documents of all its items."""
-    images = {name: settled(df) for name, df in b.images(spark, sf).items()}
-    kept = store.create_store(images["old_items"], images["old_measures"], scratch_dir(spark), BUCKETS)
-    old, new = map(settled, differing_rows(images["old_measures"], images["new_measures"], "row_id"))
-    kept.delete_measures(old.join(new.select("row_id"), "row_id", "left_anti"))
-    kept.upsert_measures(new.withColumn("seq", F.lit(0)), "seq")
+    images = {name: settled(df) for name, df in b.images(spark, sf, settled(b.keyed_measures(spark, sf))).items()}
+    buckets = max(BUCKETS, store.buckets_for(images["old_measures"]))
+    kept = store.create_store(images["old_items"], images["old_measures"], scratch_dir(spark), buckets)
+    old, new = differing_rows(images["old_measures"], images["new_measures"], "row_id")
+    # Rows that share a leaf with a changed one are left out, so the store is sent the changes alone.
+    changed = settled(changes.changed_rows(old, new, "row_id"))
+    kept.delete_measures(changed.where("_new IS NULL"))
+    kept.upsert_measures(changed.where("_new IS NOT NULL").select("row_id", "_new.*", F.lit(0).alias("seq")), "seq")
     old, new = map(settled, differing_rows(images["old_items"], images["new_items"], "item_id"))
     kept.items.delete(old.join(new.select("item_id"), "item_id", "left_anti"))
     kept.items.upsert(new.withColumn("seq", F.lit(0)), "seq")

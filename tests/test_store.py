@@ -194,3 +194,28 @@ def test_a_micro_batch_of_a_store_gives_the_same_documents(spark, items, measure
     assert found[0] == found[1] and {r[0] for r in found[0]} == {3, 6}
     ids = spark.createDataFrame([(3,), (6,), (7777,)], "item_id BIGINT")
     assert opened and set(opened) <= set(map(str, kept.items.touched(ids)))
+
+
+def test_replaced_measures_are_found_without_moving_the_others(spark, items, measures, monkeypatch):
+    kept = store.create_store(items, measures, scratch_dir(spark), 8)
+    seen, write = [], store.KeyedTable._write
+
+    def watched(table, new, buckets):
+        with store._rewriting(spark):
+            seen.append((table.name, plan(new)))
+        write(table, new, buckets)
+
+    monkeypatch.setattr(store.KeyedTable, "_write", watched)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept.delete_measures(measures.where("row_id % 7 = 0").select("row_id"))
+        kept.upsert_measures(measures.where("row_id % 7 = 1").selectExpr("row_id", "item_id + 1 AS item_id", "measure_id", "amount", "0 AS seq"), "seq")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = [above for name, explained in seen if name == kept.measures.name for above in above_scans(explained, name)]
+    assert len(moved) == 2 and not any("Exchange" in line for above in moved for line in above)
+    want = measures.where("row_id IS NOT NULL AND item_id IS NOT NULL AND row_id % 7 <> 0").selectExpr(
+        "row_id", "CASE WHEN row_id % 7 = 1 THEN item_id + 1 ELSE item_id END AS item_id", "measure_id", "amount"
+    )
+    assert rows(kept.measures.rows()) == rows(want)
