@@ -169,6 +169,27 @@ def test_similar_groups(shipped, k, percent):
     assert collections.Counter(r["doc_id"] for r in kept) == want
 
 
+@pytest.mark.parametrize("late", ["none", "all", "some"])
+def test_order_of_shingles_changes_no_group(shipped, monkeypatch, late):
+    """Which shingles ``frequent`` finds decides the order of the prefixes alone, so any of them must give all groups."""
+    rng = random.Random(8)
+    rows = list(ROWS)
+    for base in range(3):
+        words = [f"v{rng.randint(0, 200)}" for _ in range(150)]
+        for c in range(10):
+            copy = [f"e{rng.randint(0, 9999)}" if rng.random() < 0.012 else w for w in words]
+            rows.append((1000 + 100 * base + c, " ".join(copy)))
+
+    def frequent(docs, k):
+        held = [s for r in docs.toArrow().to_batches() for _, sets in jaccard.sets_of(r, k) for s in sets]
+        tokens = np.unique(np.concatenate(held))
+        return {"none": tokens[:0], "all": tokens, "some": tokens[tokens % np.uint64(3) == 1]}[late]
+
+    monkeypatch.setattr(jaccard, "frequent", frequent)
+    got = rows_of(jaccard.similar_groups(documents(shipped, rows), 5, 80))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == components_by_hand(rows, 5, 80)
+
+
 def test_bound_never_leaves_out_a_similar_pair():
     rng = np.random.default_rng(4)
     for n in (5, 60, 700, 5000, 20_000):
