@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import TOKEN, tokens as split
+from shelfmark.operators.arrays import folded
 from shelfmark.operators.skew import fits_broadcast
 from shelfmark.session import drop_folder, scratch_dir, written
 
@@ -47,8 +48,8 @@ def posting_rows(words: DataFrame, buckets: int = 1) -> DataFrame:
     Only rows that share their doc_id with another one are brought together, by term and length.
     """
     alone, repeated = _by_id(words)
-    folded = _folded(alone).unionByName(_merged(repeated))
-    return folded.select(bucket_of(F.col("term"), buckets).alias("bucket"), *_KEYS, F.size("positions").alias("tf"), "positions")
+    rows = _folded(alone).unionByName(_merged(repeated))
+    return rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), *_KEYS, F.size("positions").alias("tf"), "positions")
 
 
 def term_counts(words: DataFrame) -> DataFrame:
@@ -78,22 +79,8 @@ def _merged(words: DataFrame) -> DataFrame:
 
 
 def _folded(words: DataFrame) -> DataFrame:
-    """(term, doc_id, doc_len, positions) of each row: its words are sorted by term and place and cut where the term changes.
-
-    The arrays pass through ``explode``, so each is made once for all the places that read it.
-    """
-    places = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
-    at = lambda i: F.get("_places", i)["term"]
-    starts = F.filter(F.sequence(F.lit(0), F.size("_places") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-    end = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_places"))
-    runs = F.transform("_starts", lambda s, k: F.struct(at(s).alias("term"), F.slice("_places", s + 1, end(k) - s)["pos"].alias("positions")))
-    return (
-        words.where("doc_len > 0")
-        .select("doc_id", "doc_len", F.explode(F.array(places)).alias("_places"))
-        .select("doc_id", "doc_len", "_places", F.explode(F.array(starts)).alias("_starts"))
-        .select("doc_id", "doc_len", F.inline(runs))
-        .select("term", "doc_id", "doc_len", "positions")
-    )
+    """(term, doc_id, doc_len, positions) of each row."""
+    return folded(words.where("doc_len > 0"))
 
 
 def term_rows(postings: DataFrame) -> DataFrame:

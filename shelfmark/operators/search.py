@@ -13,12 +13,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shelfmark.fixed import MATCH_BOOST, MAX_SIZE, MIN_SIZE, PHRASE_BOOST, PREFIX_BOOST
 from shelfmark.functions.scoring import idf, saturation
 from shelfmark.functions.text import TOKEN, sanitize_query
+from shelfmark.operators.arrays import best_of_documents
 from shelfmark.operators.index import SearchIndex, bucket_of
 from shelfmark.operators.requests import query_tokens, valid_requests
 from shelfmark.operators.skew import BROADCAST_KEYS, fits_broadcast
@@ -34,6 +38,9 @@ FREQUENT_SHARE = 1000
 # Pairs of a request and a document that one task adds up, about.
 PART_PAIRS = 500_000
 
+# Weights of frequent terms and requests that every task may hold (12 bytes each).
+TABLE_PRODUCTS = 4_000_000
+
 # Places of phrases that one task counts, about.
 PART_PLACES = 250_000
 
@@ -109,7 +116,26 @@ def best_scores(
     a document then adds up its score for each request and passes on only what is among the best of its own documents,
     so rows of requests times documents are neither shuffled nor written.
     """
-    partitions = _parts(sizes.sparkSession, _pairs(weights, sizes, index), PART_PAIRS)
+    products, every = _products(weights), sizes.count() * (index.totals.first()["n_docs"] or 0)
+    partitions = _parts(sizes.sparkSession, min(products, every), PART_PAIRS)
+    # Where words add to most pairs, each several times, the pairs are a table of numbers; elsewhere they are rows.
+    best = (_best_by_table if products >= every else _best_by_rows)(weights, others, sizes, index, boost, partitions)
+    best = settled(best.select("query_id", "size", "doc_id", "score"))
+    reached = _top(best, [F.desc(F.round("score", 6))], "_place").where("_place = size").select(
+        "query_id", F.round("score", 6).alias("_reach")
+    )
+    near = best.join(_few(reached), "query_id", "left").where(F.col("_reach").isNull() | (F.round("score", 6) >= F.col("_reach")))
+    return near.select("query_id", "doc_id", "score")
+
+
+def _by_part(rows: DataFrame, partitions: int) -> DataFrame:
+    return rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(partitions)).cast("int")).repartitionById(partitions, "_part")
+
+
+def _best_by_rows(
+    weights: MatchWeights, others: DataFrame, sizes: DataFrame, index: SearchIndex, boost: float, partitions: int
+) -> DataFrame:
+    """(query_id, size, doc_id, score): the best of each part, ranked among its rows."""
     n_docs, average = (index.totals.select(c).scalar() for c in ("n_docs", "avg_len"))
     # Frequent terms hold most postings and are near to several words each, so their words are looked up after the shuffle.
     often = F.col("df") * FREQUENT_SHARE >= n_docs
@@ -121,10 +147,8 @@ def best_scores(
         "rare": _near_postings(index.postings.join(known, "term", "left_anti"), weights.near.where(~often), index),
         "others": others.select("doc_id", F.col("score").alias("weight"), F.col("query_id").alias("_query")),
     }
-    placed = (
-        rows["frequent"].unionByName(rows["rare"], allowMissingColumns=True).unionByName(rows["others"], allowMissingColumns=True)
-        .withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(partitions)).cast("int"))
-        .repartitionById(partitions, "_part")
+    placed = _by_part(
+        rows["frequent"].unionByName(rows["rare"], allowMissingColumns=True).unionByName(rows["others"], allowMissingColumns=True), partitions
     )
     words = placed.join(frequent, "term", "left").withColumn("qterm", F.coalesce("qterm", "_near"))
     part = F.lit(boost) * F.col("u") * saturation(F.col("tf"), F.col("doc_len"), average)
@@ -135,20 +159,46 @@ def best_scores(
     # Equal after rounding is a tie, as in the ranking; all of those on the last place stay.
     own = Window.partitionBy("_part", "query_id").orderBy(F.desc(F.round("score", 6)))
     wanted = _few(sizes.groupBy("query_id").agg(F.max("size").alias("size")))
-    best = scores.withColumn("_rank", F.rank().over(own)).where(F.col("_rank") <= MAX_SIZE).join(wanted, "query_id").where("_rank <= size")
-    best = settled(best.select("query_id", "size", "doc_id", "score"))
-    reached = _top(best, [F.desc(F.round("score", 6))], "_place").where("_place = size").select(
-        "query_id", F.round("score", 6).alias("_reach")
+    return scores.withColumn("_rank", F.rank().over(own)).where(F.col("_rank") <= MAX_SIZE).join(wanted, "query_id").where("_rank <= size")
+
+
+def _best_by_table(
+    weights: MatchWeights, others: DataFrame, sizes: DataFrame, index: SearchIndex, boost: float, partitions: int
+) -> DataFrame:
+    """As ``_best_by_rows``, added up in a table of documents and requests.
+
+    What a term adds to each request is summed over the words it is near to before any posting is read. A posting of a frequent
+    term goes to its document once and meets the term's list there; one of a rare term takes its short list along.
+    """
+    spark = sizes.sparkSession
+    n_docs, average = (index.totals.select(c).scalar() for c in ("n_docs", "avg_len"))
+    asked = sizes.where("query_id IS NOT NULL").groupBy("query_id").agg(F.max("size").alias("size")).toArrow()
+    asked = asked.add_column(0, "_q", pa.array(np.arange(len(asked), dtype=np.int32)))
+    numbered = F.broadcast(spark.createDataFrame(asked, StructType([StructField("_q", IntegerType()), *(sizes.schema[c] for c in ("query_id", "size"))])))
+    adds = weights.near.join(_few(weights.asked), "qterm").join(numbered.select("query_id", "_q"), "query_id").groupBy("term", "_q").agg(
+        F.max("df").alias("df"), (F.lit(boost) * F.sum(F.col("u") * F.col("weight"))).alias("w")
     )
-    near = best.join(_few(reached), "query_id", "left").where(F.col("_reach").isNull() | (F.round("score", 6) >= F.col("_reach")))
-    return near.select("query_id", "doc_id", "score")
+    lists = adds.groupBy("term").agg(F.max("df").alias("df"), F.sort_array(F.collect_list(F.struct("_q", "w"))).alias("list"))
+    lists = settled(lists.withColumn("often", F.col("df") * FREQUENT_SHARE >= n_docs).withColumn("_t", F.monotonically_increasing_id()))
+    n_often = lists.where("often").agg(F.sum(F.size("list"))).first()[0] or 0
+    often = F.col("often") if n_often <= TABLE_PRODUCTS else F.lit(False)
+    placed = lists.where("term >= ''").select(
+        bucket_of(F.col("term"), index.buckets).alias("bucket"), "term", F.when(often, F.col("_t")).alias("_t"), F.when(~often, F.col("list")).alias("list")
+    )
+    part = saturation(F.col("tf"), F.col("doc_len"), average)
+    found = index.postings.join(_few(placed), ["bucket", "term"]).select("doc_id", part.alias("part"), "_t", F.inline_outer("list"))
+    found = found.select("doc_id", "_t", "_q", (F.col("part") * F.coalesce("w", F.lit(1.0))).alias("value"))
+    given = others.join(numbered, "query_id").select("doc_id", F.lit(None).cast("bigint").alias("_t"), "_q", F.col("score").alias("value"))
+    rows = _by_part(found.unionByName(given), partitions).sortWithinPartitions("doc_id")
+    best = best_of_documents(rows, lists.where(often).select("_t", "list").toArrow(), asked.column("size").fill_null(0).to_numpy().astype(np.int64))
+    return best.join(numbered, "_q")
 
 
-def _pairs(weights: MatchWeights, sizes: DataFrame, index: SearchIndex) -> int:
-    """Pairs of a request and a document that words bring together, at most; a word has each document of its near terms."""
+def _products(weights: MatchWeights) -> int:
+    """What words add to pairs of a request and a document, counted; a word has each document of its near terms."""
     times = weights.asked.groupBy("qterm").agg(F.count(F.lit(1)).alias("_asked"))
     rows = weights.near.groupBy("qterm").agg(F.sum("df").alias("_df")).join(times, "qterm").agg(F.sum(F.col("_df") * F.col("_asked")).alias("n"))
-    return min(rows.first()["n"] or 0, sizes.count() * (index.totals.first()["n_docs"] or 0))
+    return rows.first()["n"] or 0
 
 
 def _parts(spark: SparkSession, rows: int, each: int) -> int:

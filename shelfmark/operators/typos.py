@@ -5,6 +5,7 @@ The two lists are joined on keys and the pairs compared exactly:
 - a term under ``LONG_TERM`` letters is keyed by itself with up to as many letters
   dropped as edits are allowed. Two terms within that distance share such a key: dropping
   the letters an edit touches (one of the two for a swap) makes both equal.
+  For as many searched terms as a task may hold, these keys are numbers, made and looked up a column at a time.
 - a longer one is cut into five segments. Two edits touch at most four of them, as a
   swap touches two at most, so one segment stands whole in the other term, moved by at
   most two letters. That is fewer keys than all ways to drop two letters.
@@ -18,11 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.edits import allowed_edits, drop_letters, edit_count, plain_distance, segment
+from shelfmark.operators.arrays import pairs_of_dropped
+from shelfmark.operators.skew import fits_broadcast
 from shelfmark.session import spread
 
 LONG_TERM = 16
 SEGMENTS = 5
 
+# Searched terms whose keys every task may hold, up to some hundred of 16 bytes each.
+ARRAY_TERMS = 50_000
+
 # Term lengths from here on count as one, so a list of lengths has at most this many entries.
 LONGEST = 255
 
@@ -73,10 +79,14 @@ def fuzzy_terms(
     # Pairs share several keys, so each is compared once, and each step through ``explode``: as a plain column
     # it would be computed again by the filter on it.
     # Each kind of key is joined by itself: code for both in one stage is too long to be compiled by the JVM.
-    short, long = (
-        found.join(asked, "_key").where(F.abs(F.length(q) - F.length(t)) <= allowed_edits(q)).select("qterm", "term", "df")
-        for found, asked in zip(term_keys(near), query_keys(wanted), strict=True)
-    )
+    allowed = F.abs(F.length(q) - F.length(t)) <= allowed_edits(q)
+    made, asked = term_keys(near), query_keys(wanted)
+    if fits_broadcast(wanted, ARRAY_TERMS):
+        searched = [r["qterm"] for r in wanted.where(F.length(q) < LONG_TERM).collect()]
+        short = pairs_of_dropped(near.where(F.length(t) <= LONG_TERM + 1), searched, LONG_TERM + 1, 6, 4).where(allowed)
+    else:
+        short = made[0].join(asked[0], "_key").where(allowed).select("qterm", "term", "df")
+    long = made[1].join(asked[1], "_key").where(allowed).select("qterm", "term", "df")
     candidates = short.unionByName(long).distinct()
     pairs = (
         candidates.select("*", F.explode_outer(F.array(plain_distance(q, t))).alias("_plain"))
