@@ -251,16 +251,27 @@ def phrase_matches(slots: DataFrame, index: SearchIndex) -> DataFrame:
         F.min(F.struct("_df", "qpos")).alias("_rarest"),
     ).where(F.col("_found") == F.col("n"))
     chosen = settled(slots.join(plans.select(*keys, "idf_sum", F.col("_rarest.qpos").alias("_at")), keys))
-    found = _postings_of(index, chosen.select("term").distinct()).select("term", "doc_id", "doc_len", "positions")
+    found = lambda slots: _postings_of(index, slots.select("term").distinct()).select("term", "doc_id", "doc_len", "positions")
     columns = [*keys, "idf_sum", "qpos", "doc_id", "doc_len"]
-    first = settled(found.join(_few(chosen.where("qpos = _at")), "term").select(*columns, "positions"))
+    rarest, rest = chosen.where("qpos = _at"), chosen.where("qpos <> _at")
+    first = settled(found(rarest).join(_few(rarest), "term").select(*columns, "positions"))
     # Rows take few bytes in files, so few tasks would read them; they are brought together by document in parts that follow their number.
     spark, n_first = first.sparkSession, first.count()
-    candidates = first.select(*keys, "doc_id").repartition(_parts(spark, n_first, PART_PLACES), "doc_id").distinct()
-    others = settled(chosen.where("qpos <> _at").join(candidates, keys))
-    n_others = others.count()
-    asked = F.broadcast(others) if n_others <= BROADCAST_KEYS else others.repartition(_parts(spark, n_others, PART_PLACES), "term", "doc_id")
-    more = found.join(asked, ["term", "doc_id"]).select(*columns, "positions")
+    candidates = settled(first.select(*keys, "doc_id").repartition(_parts(spark, n_first, PART_PLACES), "doc_id").distinct())
+    # A request has a candidate for each of its documents, and looks up each term of its other positions there.
+    counts = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs")).join(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("_slots")), keys)
+    sums = counts.agg(F.sum(F.col("_docs") * F.col("_slots")).alias("slots"), F.sum("_docs").alias("docs")).first()
+    n_others, longest = sums["slots"] or 0, (sums["docs"] or 0) * (index.totals.first()["avg_len"] or 0)
+    if n_others > max(BROADCAST_KEYS, longest):
+        # A prefix may begin so many terms that those held by the candidates are fewer than those looked for.
+        there = candidates.select("doc_id").distinct()
+        held = found(rest).join(_few(there), "doc_id", "left_semi").join(candidates, "doc_id")
+        more = settled(held.join(rest, [*keys, "term"]).select(*columns, "positions"))
+        n_others = more.count()
+    else:
+        others = settled(rest.join(candidates, keys))
+        asked = F.broadcast(others) if n_others <= BROADCAST_KEYS else others.repartition(_parts(spark, n_others, PART_PLACES), "term", "doc_id")
+        more = found(rest).join(asked, ["term", "doc_id"]).select(*columns, "positions")
     placed = first.unionByName(more).repartition(_parts(spark, n_first + n_others, PART_PLACES), "doc_id")
     begins = placed.select(
         *columns, F.explode(F.transform("positions", lambda p: p - F.col("qpos"))).alias("_start")

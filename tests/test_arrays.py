@@ -59,6 +59,21 @@ def test_words_that_meet_most_documents_are_added_up_in_a_table(spark, monkeypat
     assert run() == by_table and len(sent) == 2 and len(by_table) > 8
 
 
+def test_terms_of_a_wide_prefix_are_not_written_for_each_candidate(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red fox a{i:03d}") for i in range(200)] + [(900, "red fox"), (901, "fox red a001")], "doc_id BIGINT, name STRING")
+    index = indexes.scratch_index(docs, "doc_id", "name")
+    words = req.query_tokens(spark.createDataFrame([(1, "red fox a")], "query_id BIGINT, text STRING"))
+    slots = text_search.prefix_slots(words, index)
+    run = lambda: {(r.query_id, r.doc_id, r.freq) for r in text_search.phrase_matches(slots, index).collect()}
+    plain = run()
+    assert plain == {(1, i, 1) for i in range(200)}
+    rows, original = [], text_search.settled
+    monkeypatch.setattr(text_search, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(text_search, "settled", lambda df: rows.append(original(df)) or rows[-1])
+    assert run() == plain
+    assert max(df.count() for df in rows) <= 3 * 202
+
+
 def test_near_terms_by_numbers_are_those_by_keys(spark, monkeypatch):
     rng = random.Random(7)
     terms = {"".join(rng.choice("abñ😀") for _ in range(rng.randint(1, 8))) for _ in range(250)}
